@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Transformer
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.operators.training_data import CATEGORICAL, NUMERIC
 
+MAX_VALUES = 1_000_000
+
 
 def _index(names: Sequence[str]) -> list[str]:
     return [f"{name}_idx" for name in names]
@@ -21,12 +29,43 @@ def _one_hot(names: Sequence[str]) -> list[str]:
     return [f"{name}_ohe" for name in names]
 
 
-def string_indexer(categorical: Sequence[str] = CATEGORICAL) -> StringIndexer:
-    """Index by falling frequency, ties in text order; NULL and unseen values share the
-    index after the last. One scan finds the labels of all columns."""
-    return StringIndexer(
-        inputCols=list(categorical), outputCols=_index(categorical), handleInvalid="keep"
+def string_indexers(
+    df: DataFrame, categorical: Sequence[str] = CATEGORICAL, max_values: int = MAX_VALUES
+) -> list[StringIndexerModel]:
+    """One fitted stage per column. Index by falling frequency, ties in text order; NULL and unseen values share the
+    index after the last.
+
+    The values of all columns are counted in one scan, by a grouped aggregate: the
+    estimator's own counting merges the maps of all tasks in a single one. Only the
+    distinct values come to the driver, where the encoder and the model need them, and
+    only after their number is found to be within ``max_values`` per column.
+    """
+    counts = (
+        df.unpivot([], list(categorical), "column", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .persist()
     )
+    try:
+        sizes = counts.groupBy("column").count().filter(F.col("count") > max_values).collect()
+        if sizes:
+            raise ValueError(
+                f"too many values for one-hot features: {[(r[0], r[1]) for r in sizes]}, over "
+                f"{max_values}: use a coarser column, or raise max_values and the driver's memory"
+            )
+        ranked = counts.orderBy("column", F.desc("n"), "value").collect()
+    finally:
+        counts.unpersist()
+    return [
+        StringIndexerModel.from_labels(
+            [r["value"] for r in ranked if r["column"] == column],
+            inputCol=column,
+            outputCol=index,
+            handleInvalid="keep",
+        )
+        for column, index in zip(categorical, _index(categorical))
+    ]
 
 
 def one_hot_encoder(categorical: Sequence[str] = CATEGORICAL) -> OneHotEncoder:
@@ -49,10 +88,14 @@ def scaler() -> StandardScaler:
 
 
 def feature_stages(
-    categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC
+    df: DataFrame,
+    categorical: Sequence[str] = CATEGORICAL,
+    numeric: Sequence[str] = NUMERIC,
+    max_values: int = MAX_VALUES,
 ) -> list[Estimator | Transformer]:
+    """Stages for a pipeline over ``df``; the categories are counted here already."""
     return [
-        string_indexer(categorical),
+        *string_indexers(df, categorical, max_values),
         one_hot_encoder(categorical),
         assembler(categorical, numeric),
         scaler(),
@@ -61,19 +104,21 @@ def feature_stages(
 
 def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Rows (column, value, idx): the index of every value, and of NULL where it occurs."""
-    model = string_indexer(categorical).fit(df)
+    indexers = string_indexers(df, categorical)
     # Only the values that differ are indexed, one column beside NULLs of the others.
     values = df.unpivot([], list(categorical), "column", "value").distinct()
     wide = values.select(
         "*", *[F.when(F.col("column") == c, F.col("value")).alias(c) for c in categorical]
     )
     own = F.coalesce(*[F.when(F.col("column") == c, F.col(f"{c}_idx")) for c in categorical])
-    return model.transform(wide).select("column", "value", own.cast("int").alias("idx"))
+    indexed = PipelineModel(indexers).transform(wide)
+    return indexed.select("column", "value", own.cast("int").alias("idx"))
 
 
 def hot_positions(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, idx, hot): where the one-hot vector of each value has its 1, or -1."""
-    indexed = string_indexer([column]).fit(df).transform(df.select(column).distinct())
+    (indexer,) = string_indexers(df, [column])
+    indexed = indexer.transform(df.select(column).distinct())
     encoded = one_hot_encoder([column]).fit(indexed).transform(indexed)
     hot = F.array_position(vector_to_array(f"{column}_ohe"), F.lit(1.0)) - 1
     return encoded.select(

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.config import MAX_ITERATIONS, REGULARIZATION
 from delaylake.operators import training_data
-from delaylake.operators.features import feature_stages
+from delaylake.operators.features import MAX_VALUES, feature_stages
 
 
 @dataclass(frozen=True)
@@ -22,24 +21,12 @@ class ModelParams:
     numeric: tuple[str, ...] = training_data.NUMERIC
     max_iterations: int = MAX_ITERATIONS
     regularization: float = REGULARIZATION
-    max_values: int = 1_000_000
+    max_values: int = MAX_VALUES
 
     def without_delays(self) -> ModelParams:
         """A cancelled flight has no delay, so the delays give the label away."""
         kept = tuple(c for c in self.numeric if c not in training_data.DELAYS)
-        return ModelParams(
-            self.categorical, kept, self.max_iterations, self.regularization, self.max_values
-        )
-
-
-def check_categories(seen: Row, params: ModelParams) -> None:
-    """The driver holds every category value and a coefficient for it: no more than it can."""
-    large = [c for c in params.categorical if seen[c] > params.max_values]
-    if large:
-        raise ValueError(
-            f"too many values for one-hot features in {large} (over {params.max_values}): "
-            "train on a coarser column, or raise max_values with the driver's memory"
-        )
+        return replace(self, numeric=kept)
 
 
 def prepare(silver: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
@@ -51,13 +38,11 @@ def prepare(silver: DataFrame, params: ModelParams = ModelParams()) -> DataFrame
 def fit(train: DataFrame, params: ModelParams = ModelParams()) -> PipelineModel:
     """Weighted logistic regression over one-hot categories and scaled numbers.
 
-    Scans: one for classes and category sizes, one for the category labels, one for the
-    deviations; the solver keeps its own cached blocks for the iterations.
+    Scans: one for the classes, one for the category values, one for the deviations, and
+    one to fill the blocks that the solver caches for its iterations.
     """
-    seen = training_data.profile(train, params.categorical)
-    check_categories(seen, params)
     needed = train.select("label", *params.categorical, *params.numeric)
-    weighted = training_data.with_class_weight(needed, seen)
+    weighted = training_data.with_class_weight(needed)
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="label",
@@ -65,7 +50,7 @@ def fit(train: DataFrame, params: ModelParams = ModelParams()) -> PipelineModel:
         maxIter=params.max_iterations,
         regParam=params.regularization,
     )
-    stages = feature_stages(params.categorical, params.numeric)
+    stages = feature_stages(needed, params.categorical, params.numeric, params.max_values)
     return Pipeline(stages=[*stages, regression]).fit(weighted)
 
 
@@ -92,11 +77,11 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def coefficients(model: PipelineModel, params: ModelParams = ModelParams()) -> list[tuple]:
     """(feature, coefficient) pairs, intercept first."""
-    indexer, regression = model.stages[0], model.stages[-1]
-    names: Sequence[str] = [
+    regression = model.stages[-1]
+    names = [
         f"{column}={value}"
-        for column, values in zip(params.categorical, indexer.labelsArray)
-        for value in values
+        for column, indexer in zip(params.categorical, model.stages)
+        for value in indexer.labels
     ]
     weights = [float(w) for w in regression.coefficients]
     return [("intercept", float(regression.intercept)), *zip([*names, *params.numeric], weights)]

@@ -70,8 +70,8 @@ def to_silver(parsed: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     return ruled.select(*SILVER_COLUMNS).fillna(FILL_DEFAULTS)
 
 
-def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Overwrite the table and return its row count, which Parquet keeps in its footers.
+def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Overwrite the table and return it as stored (its row count is in the footers).
 
     Unpartitioned, the job has no shuffle. With ``partition_by`` the rows are
     rebalanced first, so that a month is neither scattered over every task's own
@@ -79,4 +79,4 @@ def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ())
     """
     rows = silver.hint("rebalance", *partition_by) if partition_by else silver
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return silver.sparkSession.read.parquet(path).count()
+    return silver.sparkSession.read.schema(silver.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.config import SPLIT_SEED, TRAIN_SHARE
@@ -31,26 +31,19 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(labelled: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> Row:
-    """Rows per class, and about how many values each category has, from one scan."""
-    sizes = [F.approx_count_distinct(c).alias(c) for c in categorical]
-    return labelled.agg(
+def with_class_weight(labelled: DataFrame) -> DataFrame:
+    """Weight of the rows with label 1: as many times as the other class is larger."""
+    seen = labelled.agg(
         F.count_if(F.col("label") == 0).alias("negatives"),
         F.count_if(F.col("label") == 1).alias("positives"),
-        *sizes,
-    ).first()
-
-
-def with_class_weight(labelled: DataFrame, seen: Row | None = None) -> DataFrame:
-    """Weight of the rows with label 1: as many times as the other class is larger."""
-    seen = seen or profile(labelled, ())
-    if not seen["negatives"] or not seen["positives"]:
+    )
+    negatives, positives = seen.first()
+    if not negatives or not positives:
         raise ValueError(
-            f"both classes are needed: {seen['negatives']} rows with label 0, "
-            f"{seen['positives']} with label 1"
+            f"both classes are needed: {negatives} rows with label 0, {positives} with label 1"
         )
-    ratio = seen["negatives"] / seen["positives"]
-    return labelled.withColumn("class_weight", F.when(F.col("label") == 1, ratio).otherwise(1.0))
+    weight = F.when(F.col("label") == 1, negatives / positives).otherwise(1.0)
+    return labelled.withColumn("class_weight", weight)
 
 
 def in_training(keys: Sequence[Column], share: float = TRAIN_SHARE) -> Column:

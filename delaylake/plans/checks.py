@@ -24,13 +24,13 @@ from delaylake.sources.csv_records import read_csv_records, source_row_count
 from delaylake.sources.lineitem_records import flight_records, table
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
 from delaylake.streaming.replay import replay, stage_slices
-from delaylake.workspace import fresh_dir
+from delaylake.workspace import fresh_dir, spread_small
 
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flight_records(table(spark, sf_dir, "lineitem"))
+    return flight_records(spread_small(table(spark, sf_dir, "lineitem")))
 
 
 def bronze_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,14 @@ def silver_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.to_silver(parsed_of(spark, sf_dir))
 
 
+def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver as the later steps get it, from Parquet: the messages are parsed once, and
+    filters and column choice reach the scan."""
+    return silver.write_silver(silver_of(spark, sf_dir), fresh_dir(spark, "silver"))
+
+
 def fact_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.to_fact(silver_of(spark, sf_dir))
+    return gold.to_fact(stored_silver(spark, sf_dir))
 
 
 def labelled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,16 +185,13 @@ def fill_defaults(spark, sf_dir):
 
 
 def silver_table(spark, sf_dir):
-    path = fresh_dir(spark, "silver")
-    silver.write_silver(silver_of(spark, sf_dir), path)
-    return spark.read.parquet(path).drop("ingest_ts")
+    return stored_silver(spark, sf_dir).drop("ingest_ts")
 
 
 def silver_by_month(spark, sf_dir):
     """The same table, written in one folder per month and read back."""
     path = fresh_dir(spark, "silver_by_month")
-    silver.write_silver(silver_of(spark, sf_dir), path, ["year", "month"])
-    months = spark.read.parquet(path)
+    months = silver.write_silver(silver_of(spark, sf_dir), path, ["year", "month"])
     return months.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("cancelled_flag").alias("cancelled")
     )
@@ -259,38 +262,32 @@ def random_split(spark, sf_dir):
 
 
 def string_index(spark, sf_dir):
-    return features.category_index(silver_of(spark, sf_dir))
+    return features.category_index(stored_silver(spark, sf_dir))
 
 
 def one_hot(spark, sf_dir):
-    return features.hot_positions(silver_of(spark, sf_dir), "origin")
+    return features.hot_positions(stored_silver(spark, sf_dir), "origin")
 
 
-def _through(spark, sf_dir, stages):
-    rows = model.prepare(silver_of(spark, sf_dir))
-    return Pipeline(stages=stages).fit(rows).transform(rows)
+def _numeric_features(spark, sf_dir, vector):
+    rows = model.prepare(stored_silver(spark, sf_dir))
+    stages = features.feature_stages(rows)
+    if vector == "raw_features":
+        stages = stages[:-1]
+    return features.numeric_block(Pipeline(stages=stages).fit(rows).transform(rows), vector)
 
 
 def assemble_features(spark, sf_dir):
-    stages = features.feature_stages()[:3]
-    return features.numeric_block(_through(spark, sf_dir, stages), "raw_features")
+    return _numeric_features(spark, sf_dir, "raw_features")
 
 
 def scale_features(spark, sf_dir):
-    stages = features.feature_stages()
-    return features.numeric_block(_through(spark, sf_dir, stages), "features")
+    return _numeric_features(spark, sf_dir, "features")
 
 
 def _fitted(spark, sf_dir):
-    train, test = training_data.hash_split(
-        table(spark, sf_dir, "lineitem"), [F.col(c) for c in LINE_KEY]
-    )
-
-    def prepared(lines):
-        messages = to_messages(flight_records(lines)).withColumnRenamed("value", "json")
-        return model.prepare(silver.to_silver(parse_messages(messages)))
-
-    return model.fit(prepared(train)), prepared(test)
+    known, held_out = flow.split_silver(stored_silver(spark, sf_dir))
+    return model.fit(model.prepare(known)), model.prepare(held_out)
 
 
 def train_model(spark, sf_dir):

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import LakeConfig
+from delaylake.config import TRAIN_SHARE, LakeConfig
 from delaylake.functions.messages import parse_messages, to_messages
 from delaylake.operators import gold, metrics, model, silver, slicing, training_data
 from delaylake.sources.csv_records import POSITION, read_csv_records
@@ -21,6 +21,7 @@ from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka, write_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
 from delaylake.streaming.replay import publish_slice, stage_slices
+from delaylake.workspace import spread_small
 
 STEPS = ("ingest", "bronze", "silver", "train", "load")
 
@@ -64,11 +65,12 @@ def land(spark: SparkSession, cfg: LakeConfig) -> int:
 
 def refine(spark: SparkSession, cfg: LakeConfig) -> int:
     """Bronze to silver; returns the rows written."""
-    table = silver.to_silver(parse_messages(read_bronze(spark, cfg.bronze)))
-    return silver.write_silver(table, cfg.silver, cfg.silver_partitions)
+    messages = spread_small(read_bronze(spark, cfg.bronze))
+    table = silver.to_silver(parse_messages(messages))
+    return silver.write_silver(table, cfg.silver, cfg.silver_partitions).count()
 
 
-def split_silver(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+def split_silver(rows: DataFrame, share: float = TRAIN_SHARE) -> tuple[DataFrame, DataFrame]:
     """Silver has no row key, so the split goes by the whole content of a row."""
     content = [F.col(c) for c in silver.SILVER_COLUMNS if c != "ingest_ts"]
     return training_data.hash_split(rows, content, share)
@@ -79,7 +81,9 @@ def train(spark: SparkSession, cfg: LakeConfig) -> dict[str, float]:
     params = model.ModelParams()
     if not cfg.use_delays:
         params = params.without_delays()
-    known, held_out = split_silver(spark.read.parquet(cfg.silver), cfg.train_share)
+    known, held_out = split_silver(
+        spread_small(spark.read.parquet(cfg.silver)), cfg.train_share
+    )
     model.save(model.fit(model.prepare(known, params), params), cfg.model)
     # The saved model carries no training summary, which would go along with every task.
     fitted = model.load(cfg.model)

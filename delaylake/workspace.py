@@ -39,3 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Rows over all cores, if a scan has fewer tasks than there are cores.
+
+    For work that costs much more per row than a shuffle does. A table with more splits
+    than cores is left as it is. Only for plain scans: the number of tasks of a frame
+    with a shuffle in it is not known before it runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
