@@ -100,6 +100,10 @@ class LakeConfig:
     def fact(self) -> str:
         return self.path("fact")
 
+    @property
+    def training(self) -> str:
+        return self.path("training")
+
     @property
     def model(self) -> str:
         return self.path("model")

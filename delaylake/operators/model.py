@@ -32,7 +32,8 @@ class ModelParams:
 def prepare(silver: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
     """Label and features of the rows to learn from, before the split."""
     labelled = training_data.with_label(silver)
-    return training_data.fill_numeric(labelled, params.numeric)
+    filled = training_data.fill_numeric(labelled, params.numeric)
+    return training_data.name_empty(filled, params.categorical)
 
 
 def fit(train: DataFrame, params: ModelParams = ModelParams()) -> PipelineModel:

@@ -14,6 +14,7 @@ from delaylake.functions import rules
 CATEGORICAL = ("origin", "dest", "airline")
 NUMERIC = ("distance", "dep_delay", "arr_delay", "day_of_week", "month")
 DELAYS = ("dep_delay", "arr_delay")
+EMPTY_CATEGORY = "(empty)"
 
 
 def with_label(silver: DataFrame) -> DataFrame:
@@ -27,6 +28,12 @@ def fill_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     return df.fillna(0, subset=list(columns))
 
 
+def name_empty(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """A name for the empty category: Spark's encoder refuses a value without text. It
+    stays a value of its own, apart from NULL."""
+    return df.replace({"": EMPTY_CATEGORY}, subset=list(columns))
+
+
 def class_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -211,13 +211,11 @@ def stage_counts(spark, sf_dir):
 
 
 def quality_report(spark, sf_dir):
-    """Some messages are cut short, and some numbers spoiled, before the report."""
-    lines = table(spark, sf_dir, "lineitem")
-    spoiled = flight_records(lines.filter(F.col("l_orderkey") % 101 == 0)).withColumn(
-        "ARR_DELAY", F.lit("late")
-    )
-    sound = flight_records(lines.filter(F.col("l_orderkey") % 101 != 0))
-    messages = to_messages(sound.unionByName(spoiled))
+    """Some numbers are spoiled, and some messages cut short, before the report."""
+    lines = spread_small(table(spark, sf_dir, "lineitem"))
+    spoiled = F.when(F.col("l_orderkey") % 101 == 0, "late").otherwise(F.col("ARR_DELAY"))
+    records = flight_records(lines, "l_orderkey").withColumn("ARR_DELAY", spoiled)
+    messages = to_messages(records, MESSAGE_FIELDS)
     cut = F.when(F.col("value").contains('"DEST":"D7"'), F.substring("value", 1, 20))
     return quality.quality_report(
         messages.select(F.coalesce(cut, F.col("value")).alias("json"))
@@ -238,7 +236,8 @@ def class_counts(spark, sf_dir):
 
 
 def class_weight(spark, sf_dir):
-    weighted = training_data.with_class_weight(labelled_of(spark, sf_dir))
+    labelled = training_data.with_label(stored_silver(spark, sf_dir))
+    weighted = training_data.with_class_weight(labelled)
     return weighted.groupBy("label", F.round("class_weight", 9).alias("class_weight")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -258,7 +257,8 @@ def hash_split(spark, sf_dir):
 
 
 def random_split(spark, sf_dir):
-    return _split_counts(*training_data.random_split(labelled_of(spark, sf_dir)))
+    labelled = training_data.with_label(stored_silver(spark, sf_dir))
+    return _split_counts(*training_data.random_split(labelled))
 
 
 def string_index(spark, sf_dir):
@@ -286,8 +286,10 @@ def scale_features(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    known, held_out = flow.split_silver(stored_silver(spark, sf_dir))
-    return model.fit(model.prepare(known)), model.prepare(held_out)
+    known, held_out = flow.stage_training(
+        silver_of(spark, sf_dir), fresh_dir(spark, "training")
+    )
+    return model.fit(known), held_out
 
 
 def train_model(spark, sf_dir):

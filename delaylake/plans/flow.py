@@ -70,10 +70,26 @@ def refine(spark: SparkSession, cfg: LakeConfig) -> int:
     return silver.write_silver(table, cfg.silver, cfg.silver_partitions).count()
 
 
-def split_silver(rows: DataFrame, share: float = TRAIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Silver has no row key, so the split goes by the whole content of a row."""
+def stage_training(
+    rows: DataFrame,
+    path: str,
+    params: model.ModelParams = model.ModelParams(),
+    share: float = TRAIN_SHARE,
+) -> tuple[DataFrame, DataFrame]:
+    """Training rows and held-out rows, with nothing but the label and the features.
+
+    Silver has no row key, so the split goes by the whole content of a row. Both sides are
+    written by one scan of the wide table; the several scans of the training read the
+    narrow one, and do not hash again.
+    """
     content = [F.col(c) for c in silver.SILVER_COLUMNS if c != "ingest_ts"]
-    return training_data.hash_split(rows, content, share)
+    marked = rows.withColumn("known", training_data.in_training(content, share))
+    narrow = model.prepare(marked, params).select(
+        "label", *params.categorical, *params.numeric, "known"
+    )
+    narrow.write.mode("overwrite").partitionBy("known").parquet(path)
+    sides = rows.sparkSession.read.schema(narrow.schema).parquet(path)
+    return sides.filter("known").drop("known"), sides.filter("not known").drop("known")
 
 
 def train(spark: SparkSession, cfg: LakeConfig) -> dict[str, float]:
@@ -81,13 +97,11 @@ def train(spark: SparkSession, cfg: LakeConfig) -> dict[str, float]:
     params = model.ModelParams()
     if not cfg.use_delays:
         params = params.without_delays()
-    known, held_out = split_silver(
-        spread_small(spark.read.parquet(cfg.silver)), cfg.train_share
-    )
-    model.save(model.fit(model.prepare(known, params), params), cfg.model)
+    rows = spread_small(spark.read.parquet(cfg.silver))
+    known, held_out = stage_training(rows, cfg.training, params, cfg.train_share)
+    model.save(model.fit(known, params), cfg.model)
     # The saved model carries no training summary, which would go along with every task.
-    fitted = model.load(cfg.model)
-    return metrics.evaluate(model.score(fitted, model.prepare(held_out, params)))
+    return metrics.evaluate(model.score(model.load(cfg.model), held_out))
 
 
 def load(spark: SparkSession, cfg: LakeConfig) -> int:

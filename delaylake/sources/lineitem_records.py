@@ -10,8 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flight_records(lineitem: DataFrame) -> DataFrame:
-    """Nine text fields with missing, empty, malformed and over-long values in them."""
+def flight_records(lineitem: DataFrame, *also: str) -> DataFrame:
+    """Nine text fields with missing, empty, malformed and over-long values in them,
+    after the columns named in ``also``."""
     returned = F.col("l_returnflag") == "R"
     number = F.col("l_linenumber")
     supplier = F.col("l_suppkey")
@@ -20,6 +21,7 @@ def flight_records(lineitem: DataFrame) -> DataFrame:
         return F.lpad(value.cast("string"), width, "0")
 
     return lineitem.select(
+        *also,
         F.when(F.col("l_orderkey") % 97 == 0, "bad")
         .when(F.col("l_orderkey") % 89 == 0, None)
         .otherwise(F.col("l_shipdate").cast("date").cast("string"))

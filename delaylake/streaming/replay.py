@@ -27,14 +27,18 @@ def _published(spark: SparkSession, folder: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterable[str]) -> None:
-    """Write one slice as messages below ``landing``; a slice that is there stays as it is,
-    since files written again under new names would be landed a second time."""
+def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterable[str]) -> bool:
+    """Write one slice as messages below ``landing``; True if it was not there yet.
+
+    A slice that is there stays as it is, since files written again under new names would
+    be landed a second time.
+    """
     folder = f"{landing}/slice={number}"
     if _published(staged.sparkSession, folder):
-        return
+        return False
     rows = staged.filter(F.col("slice") == number)
     to_messages(rows, columns).write.mode("overwrite").parquet(folder)
+    return True
 
 
 def replay(
@@ -47,7 +51,7 @@ def replay(
     pause_seconds: float = 0.0,
     keep: Iterable[str] = (),
 ) -> list[StreamingQuery]:
-    """Publish and land slice after slice; returns the ended query of each landing.
+    """Publish and land slice after slice; returns the ended queries of the landings.
 
     Landing a slice before the next one is published keeps the stream from falling
     behind, so a pause is not needed; it only spaces the slices out in time.
@@ -56,7 +60,10 @@ def replay(
     for number in range(1, slices + 1):
         if number > 1 and pause_seconds:
             time.sleep(pause_seconds)
-        publish_slice(staged, number, landing, columns)
-        messages = read_landing(staged.sparkSession, landing)
-        landed.append(drain_bronze(messages, bronze, checkpoint, keep=keep))
+        new = publish_slice(staged, number, landing, columns)
+        # A run that was cut off may have left a slice published but not landed, which
+        # the next landing takes along; so the last one is done in any case.
+        if new or number == slices:
+            messages = read_landing(staged.sparkSession, landing)
+            landed.append(drain_bronze(messages, bronze, checkpoint, keep=keep))
     return landed

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,4 +50,7 @@ def spread_small(scan: DataFrame) -> DataFrame:
     with a shuffle in it is not known before it runs.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    # By row number: even, and unlike round robin without a sort of every split first.
+    return scan.repartition(cores, F.monotonically_increasing_id())

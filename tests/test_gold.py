@@ -1,0 +1,96 @@
+import datetime as dt
+
+import pytest
+
+from delaylake.functions import rules
+from delaylake.functions.messages import parse_messages
+from delaylake.operators import gold, quality, silver
+from pyspark.sql import functions as F
+
+SILVER = "flight_date date, origin string, dest string, airline string, distance double, " \
+    "dep_delay double, arr_delay double, cancelled_flag int, distance_bucket string, " \
+    "delay_bucket string"
+
+
+def row(**values):
+    base = dict(
+        flight_date=dt.date(2024, 1, 7), origin="AAA", dest="BBB", airline="X", distance=1.0,
+        dep_delay=2.0, arr_delay=3.0, cancelled_flag=0, distance_bucket="SHORT",
+        delay_bucket="ONTIME",
+    )
+    return tuple({**base, **values}.values())
+
+
+@pytest.mark.parametrize(
+    "text, code", [(None, "UNK"), ("", ""), ("AB", "AB"), ("ABCD", "ABC"), ("東京都x", "東京都")]
+)
+def test_airport_code(spark, text, code):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(rules.airport_code(F.col("t"))).first()[0] == code
+
+
+@pytest.mark.parametrize("text, name", [(None, "UNKNOWN"), ("abcdefghijkl", "abcdefghij")])
+def test_airline_name(spark, text, name):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(rules.airline_name(F.col("t"))).first()[0] == name
+
+
+def test_fact_table(spark):
+    rows = [row(), row(flight_date=None), row(origin=None, airline=None, dest="")]
+    fact = gold.to_fact(spark.createDataFrame(rows, SILVER))
+    assert tuple(fact.columns) == gold.FACT_COLUMNS
+    assert sorted(tuple(r)[1:4] for r in fact.collect()) == [
+        ("AAA", "BBB", "X"),
+        ("UNK", "", "UNKNOWN"),
+    ]
+
+
+def test_preview_does_not_depend_on_the_partitioning(spark):
+    rows = [row(distance=float(i % 7), dep_delay=None if i % 3 else float(i)) for i in range(50)]
+    fact = gold.to_fact(spark.createDataFrame(rows, SILVER))
+    shown = [gold.preview(fact.repartition(n)).collect() for n in (1, 5)]
+    assert shown[0] == shown[1] and len(shown[0]) == 5
+
+
+def test_marts(spark):
+    rows = [
+        row(cancelled_flag=1, dep_delay=None),
+        row(dep_delay=4.0),
+        row(airline="Y", delay_bucket="DELAYED"),
+    ]
+    fact = gold.to_fact(spark.createDataFrame(rows, SILVER))
+    airlines = {r.airline: r for r in gold.mart_airline(fact).collect()}
+    assert (airlines["X"].flights, airlines["X"].cancelled) == (2, 1)
+    assert airlines["X"].avg_dep_delay == 4.0 and airlines["Y"].delayed == 1
+    assert gold.mart_route(fact).first().flights == 3
+    day = gold.mart_calendar(fact).first()
+    assert (day.year, day.month, day.day_of_week, day.flights) == (2024, 1, 1, 3)
+    assert gold.bucket_summary(fact).agg(F.sum("flights")).first()[0] == 3
+
+
+def test_quality_report(spark):
+    messages = [
+        "broken",
+        None,
+        '{"FL_DATE":"2024-01-01","ORIGIN":"A","DEST":"B","AIRLINE":"C","DISTANCE":"x"}',
+        '{"FL_DATE":"soon","DEP_DELAY":"","ARR_DELAY":"late","CANCELLED":"yes"}',
+    ]
+    bronze = spark.createDataFrame([(m,) for m in messages], "json string")
+    found = {r["check"]: r["n"] for r in quality.quality_report(bronze).collect()}
+    assert found == {
+        "messages": 4,
+        "unparseable": 1,
+        "missing_date": 2,
+        "invalid_date": 1,
+        "non_numeric_distance": 1,
+        "non_numeric_dep_delay": 0,
+        "non_numeric_arr_delay": 1,
+        "non_numeric_cancelled": 1,
+        "missing_origin": 3,
+        "missing_dest": 3,
+        "missing_airline": 3,
+        "dropped_by_gold": 3,
+    }
+    table = silver.to_silver(parse_messages(bronze))
+    counts = {r.stage: r.n for r in quality.stage_counts(table, F.lit(True)).collect()}
+    assert counts == {"silver": 4, "fact": 1, "train": 4, "test": 0}
