@@ -29,11 +29,14 @@ def text_schema(names: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def to_messages(records: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """One JSON object per record in a column ``value``; NULL fields stay in the object."""
+def to_messages(
+    records: DataFrame, columns: Iterable[str] | None = None, *also: str
+) -> DataFrame:
+    """One JSON object per record in a column ``value``, after the columns named in ``also``.
+    NULL fields stay in the object."""
     names = list(columns or records.columns)
     return records.select(
-        F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")
+        *also, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaylake.workspace import cut_lineage
+from delaylake.workspace import range_parts
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -59,9 +59,7 @@ def area_under_roc(scored: DataFrame, label: str = "label", score: str = "margin
     per_score = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    parts = cut_lineage(
-        per_score.repartitionByRange("score").withColumn("_part", F.spark_partition_id())
-    )
+    parts = range_parts(per_score, "score")
     # One row per range partition, so at most spark.sql.shuffle.partitions rows.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

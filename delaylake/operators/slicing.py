@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from delaylake.sources.csv_records import POSITION
-from delaylake.workspace import cut_lineage
+from delaylake.workspace import range_parts
 
 
 @dataclass(frozen=True)
@@ -44,10 +44,8 @@ def cuts_by_key(df: DataFrame, order_by: Sequence[str], slices: int) -> Cuts:
     column lets Spark spread a key that many rows share over many partitions.
     """
     order = [*order_by, "_seq"]
-    keys = cut_lineage(
-        df.select(*order_by, F.monotonically_increasing_id().alias("_seq"))
-        .repartitionByRange(*order)
-        .withColumn("_part", F.spark_partition_id())
+    keys = range_parts(
+        df.select(*order_by, F.monotonically_increasing_id().alias("_seq")), *order
     )
     # One row per range partition, so at most spark.sql.shuffle.partitions rows.
     sizes = sorted((r["_part"], r["count"]) for r in keys.groupBy("_part").count().collect())

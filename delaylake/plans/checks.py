@@ -103,9 +103,7 @@ def batch_progress(spark, sf_dir):
 
 def json_envelope(spark, sf_dir):
     messages = to_messages(records_of(spark, sf_dir))
-    return messages.select(
-        *[F.get_json_object("value", f"$.{name}").alias(name) for name in MESSAGE_FIELDS]
-    )
+    return messages.select(F.json_tuple("value", *MESSAGE_FIELDS).alias(*MESSAGE_FIELDS))
 
 
 def bronze_stream(spark, sf_dir):

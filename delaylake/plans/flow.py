@@ -20,7 +20,12 @@ from delaylake.sources.csv_records import POSITION, read_csv_records
 from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka, write_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
-from delaylake.streaming.replay import publish_slice, stage_slices
+from delaylake.streaming.replay import (
+    publish_all,
+    publish_slice,
+    publishing_began,
+    stage_slices,
+)
 from delaylake.workspace import spread_small
 
 STEPS = ("ingest", "bronze", "silver", "train", "load")
@@ -40,20 +45,32 @@ def stage_records(spark: SparkSession, cfg: LakeConfig, records: DataFrame | Non
 
 
 def ingest(spark: SparkSession, cfg: LakeConfig, records: DataFrame | None = None) -> dict:
-    """Slice the source and publish slice after slice; returns the rows of each slice."""
+    """Slice the source and publish the slices; returns the rows of each slice.
+
+    Slices that are to be spaced out in time, or sent to Kafka, are staged by slice first
+    and published one by one; otherwise one job writes all of them.
+    """
     table = stage_records(spark, cfg, records)
     columns = [c for c in table.columns if c not in POSITION]
-    cuts = slicing.cuts_by_position(table, cfg.slices)
-    staged = stage_slices(slicing.assign_slices(table, cuts).drop(*POSITION), cfg.sliced)
+    sliced = slicing.assign_slices(table, slicing.cuts_by_position(table, cfg.slices))
+    one_by_one = cfg.kafka or cfg.pause_seconds or publishing_began(spark, cfg.landing)
+    if not one_by_one:
+        publish_all(sliced, cfg.landing, columns)
+        return _slice_rows(spark.read.parquet(cfg.landing))
+    staged = stage_slices(sliced.drop(*POSITION), cfg.sliced)
     for number in range(1, cfg.slices + 1):
-        if number > 1 and cfg.pause_seconds:
+        if number > 1:
             time.sleep(cfg.pause_seconds)
         if cfg.kafka:
             rows = staged.filter(F.col("slice") == number)
             write_kafka(to_messages(rows, columns), cfg.kafka)
         else:
             publish_slice(staged, number, cfg.landing, columns)
-    return {row["slice"]: row["n"] for row in slicing.slice_progress(staged).collect()}
+    return _slice_rows(staged)
+
+
+def _slice_rows(sliced: DataFrame) -> dict[int, int]:
+    return {row["slice"]: row["n"] for row in slicing.slice_progress(sliced).collect()}
 
 
 def land(spark: SparkSession, cfg: LakeConfig) -> int:

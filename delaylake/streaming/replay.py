@@ -1,4 +1,4 @@
-"""Replaying a sliced source: one slice is published, then landed, then the next."""
+"""Publishing a sliced source as messages, at once or replayed slice by slice."""
 
 from __future__ import annotations
 
@@ -27,6 +27,20 @@ def _published(spark: SparkSession, folder: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def publishing_began(spark: SparkSession, landing: str) -> bool:
+    """True if slices have been published one by one here, perhaps not all of them."""
+    return _published(spark, f"{landing}/slice=1")
+
+
+def publish_all(sliced: DataFrame, landing: str, columns: Iterable[str]) -> None:
+    """Write all slices as messages, in one job, each in its own folder of ``landing``."""
+    if _published(sliced.sparkSession, landing):
+        return
+    to_messages(sliced, columns, "slice").write.mode("overwrite").partitionBy("slice").parquet(
+        landing
+    )
+
+
 def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterable[str]) -> bool:
     """Write one slice as messages below ``landing``; True if it was not there yet.
 
@@ -34,7 +48,7 @@ def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterabl
     be landed a second time.
     """
     folder = f"{landing}/slice={number}"
-    if _published(staged.sparkSession, folder):
+    if any(_published(staged.sparkSession, f) for f in (landing, folder)):
         return False
     rows = staged.filter(F.col("slice") == number)
     to_messages(rows, columns).write.mode("overwrite").parquet(folder)

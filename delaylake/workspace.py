@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,14 +32,20 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/delaylake/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads see the same rows in the same partitions,
-    also after an executor is lost."""
-    folder = shared_dir(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: later reads see the same rows, also after
+    executors are lost, and read no more columns and row groups than they need."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def range_parts(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows in range partitions by ``order``, numbered in that order by ``_part``, as a
+    written table. A value of ``_part`` fills files of its own, so a filter on it skips
+    the others. Columns of ``df`` that order rows fully keep the partitions even."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    return written(parts, "range_parts")
 
 
 def spread_small(scan: DataFrame) -> DataFrame:

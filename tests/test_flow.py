@@ -47,6 +47,15 @@ def test_frame_as_source_and_single_steps(spark, tmp_path):
         run_flow(spark, cfg, steps=["sliver"])
 
 
+def test_paced_slices_give_the_same_and_are_not_published_twice(spark, tmp_path):
+    records = records_of(spark, SF).limit(50)
+    paced = LakeConfig(root=str(tmp_path / "lake"), slices=4, pause_seconds=0.01)
+    at_once = LakeConfig(root=paced.root, slices=4)
+    for cfg in (paced, paced, at_once):
+        found = run_flow(spark, cfg, records, steps=["ingest", "bronze"])
+        assert found == {"ingest": {1: 12, 2: 12, 3: 12, 4: 14}, "bronze": 50}
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
