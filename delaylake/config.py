@@ -63,6 +63,7 @@ class LakeConfig:
     source_csv: str | None = None
     slices: int = SLICES
     pause_seconds: float = 0.0
+    files_per_batch: int | None = None
     silver_partitions: tuple[str, ...] = ()
     kafka: KafkaTopic | None = None
     jdbc: JdbcTarget | None = None

@@ -74,8 +74,15 @@ def _slice_rows(sliced: DataFrame) -> dict[int, int]:
 
 
 def land(spark: SparkSession, cfg: LakeConfig) -> int:
-    """Land the published messages; returns the rows of the bronze table."""
-    source = read_kafka(spark, cfg.kafka) if cfg.kafka else read_landing(spark, cfg.landing)
+    """Land the published messages; returns the rows of the bronze table.
+
+    ``files_per_batch``, or the topic's own limit, bounds a micro-batch, and so what has to
+    be landed again after a failure.
+    """
+    if cfg.kafka:
+        source = read_kafka(spark, cfg.kafka)
+    else:
+        source = read_landing(spark, cfg.landing, cfg.files_per_batch)
     drain_bronze(source, cfg.bronze, cfg.bronze_checkpoint)
     return read_bronze(spark, cfg.bronze).count()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,26 +14,35 @@ POSITION = ("src_file", "src_block", "src_row")
 _RAW = "_raw_record"
 
 
-def _quote_marks(text):
-    return F.length(text) - F.length(F.replace(text, F.lit('"')))
+# A cell in quotes, from the start of the record or a comma. Quote marks inside it are
+# doubled; possessive, so that a doubled mark at the end of a line does not close the cell.
+_QUOTED_CELL = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
 
 
-def _cells_in(raw):
-    """Number of cells in a record, commas inside quotes not counted."""
-    bare = F.regexp_replace(raw, '"[^"]*"', "")
+def _unquoted(text: Column) -> Column:
+    """The text without its quoted cells. A mark within an unquoted cell is plain text."""
+    return F.regexp_replace(text, _QUOTED_CELL, "$1")
+
+
+def _opens_quotes(line: Column) -> Column:
+    """True if a cell in quotes begins in the line and does not end in it."""
+    return line.contains('"') & _unquoted(line).rlike('(^|,)"')
+
+
+def _cells_in(raw: Column) -> Column:
+    bare = _unquoted(raw)
     return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
 
 
 def files_by_line_breaks(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """Files without and files with a line break inside quotes.
 
-    A record that spans lines leaves a line with an odd number of quote marks.
     The look is a splittable text scan; it returns one row per file, which is what
     Spark's own file listing on the driver holds already.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    odd = lines.groupBy("file").agg(F.max(_quote_marks("value") % 2).alias("odd"))
-    found = [(row.file, row.odd) for row in odd.collect()]
+    opens = lines.groupBy("file").agg(F.max(_opens_quotes(F.col("value"))).alias("opens"))
+    found = [(row.file, row.opens) for row in opens.collect()]
     return [f for f, o in found if not o], [f for f, o in found if o]
 
 
@@ -50,7 +59,7 @@ def read_csv_records(
 
     Spark can split a file among tasks only if no record spans lines, so by default
     (``line_breaks=None``) each file is looked at first, and only files that need it
-    are read whole by one task. Say True or False to save that look.
+    are read whole by one task each. Say True or False to save that look.
 
     ``with_position`` adds file, split and row number columns that give the order of
     the records in the source; materialize them (write the frame) before use.

@@ -62,6 +62,20 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert source_row_count(read).first().n == len(expected) == 10
 
 
+def test_marks_in_unquoted_cells_are_plain_text(spark, tmp_path):
+    write(tmp_path / "a.csv", '1,5",x,y', '2,"a","b",c"d', "3,x,y", '4,6",7",z')
+    assert len(files_by_line_breaks(spark, str(tmp_path))[0]) == 1
+    read = read_csv_records(spark, str(tmp_path))
+    same([tuple(r) for r in read.collect()], as_csv_module(tmp_path / "a.csv"))
+
+
+def test_doubled_mark_at_the_end_of_a_line_does_not_close_the_cell(spark, tmp_path):
+    write(tmp_path / "a.csv", '1,"say ""yes""', 'or no",x,y', f'2,"{"long " * 20000}",x,y')
+    assert len(files_by_line_breaks(spark, str(tmp_path))[1]) == 1
+    read = read_csv_records(spark, str(tmp_path))
+    same([tuple(r) for r in read.collect()], as_csv_module(tmp_path / "a.csv"))
+
+
 def test_header_decides_names_and_a_different_one_is_refused(spark, tmp_path):
     (tmp_path / "a.csv").write_text("X,Y\n1,2\n")
     assert read_csv_records(spark, str(tmp_path)).columns == ["X", "Y"]

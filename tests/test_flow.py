@@ -38,7 +38,7 @@ def test_whole_run_twice(spark, source, tmp_path):
 
 
 def test_frame_as_source_and_single_steps(spark, tmp_path):
-    cfg = LakeConfig(root=str(tmp_path / "lake"), slices=3)
+    cfg = LakeConfig(root=str(tmp_path / "lake"), slices=3, files_per_batch=1)
     records = records_of(spark, SF).limit(100)
     found = run_flow(spark, cfg, records, steps=["bronze", "ingest"])
     assert list(found) == ["ingest", "bronze"]
