@@ -19,8 +19,11 @@ def as_date(text: Column) -> Column:
 
 
 def as_number(text: Column) -> Column:
-    """Double; text that is not a number gives NULL, with ANSI mode on or off."""
-    return text.try_cast("double")
+    """Double; text that is not a number gives NULL, with ANSI mode on or off.
+
+    Empty text is common and set apart, since each failing cast costs an exception.
+    """
+    return F.nullif(text, F.lit("")).try_cast("double")
 
 
 def one_if(condition: Column) -> Column:

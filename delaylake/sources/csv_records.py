@@ -11,26 +11,21 @@ from pyspark.sql import types as T
 from delaylake.functions.messages import text_schema
 
 POSITION = ("src_file", "src_block", "src_row")
-_RAW = "_raw_record"
+_RAW, _CELLS = "_raw_record", "_cells"
 
 
-# A cell in quotes, from the start of the record or a comma. Quote marks inside it are
-# doubled; possessive, so that a doubled mark at the end of a line does not close the cell.
-_QUOTED_CELL = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
-
-
-def _unquoted(text: Column) -> Column:
-    """The text without its quoted cells. A mark within an unquoted cell is plain text."""
-    return F.regexp_replace(text, _QUOTED_CELL, "$1")
-
-
-def _opens_quotes(line: Column) -> Column:
-    """True if a cell in quotes begins in the line and does not end in it."""
-    return line.contains('"') & _unquoted(line).rlike('(^|,)"')
+# A cell in quotes up to its closing mark. Marks inside it are doubled; possessive, so that a
+# doubled mark at the end of a line does not close the cell.
+_OPEN = r'"[^"]*+(?:""[^"]*+)*+'
+_CLOSED = _OPEN + '"'
+# Whole cells, and then one in quotes that goes on in the next line. A mark within a cell that
+# does not begin with one is plain text.
+_GOES_ON = rf'^(?:[^",][^,]*+,|{_CLOSED}[^,]*+,|,)*+{_OPEN}\z'
 
 
 def _cells_in(raw: Column) -> Column:
-    bare = _unquoted(raw)
+    """Number of cells in a record, commas inside quotes not counted."""
+    bare = F.regexp_replace(raw, f"(^|,){_CLOSED}", "$1")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
 
 
@@ -41,9 +36,9 @@ def files_by_line_breaks(spark: SparkSession, path: str) -> tuple[list[str], lis
     Spark's own file listing on the driver holds already.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    opens = lines.groupBy("file").agg(F.max(_opens_quotes(F.col("value"))).alias("opens"))
-    found = [(row.file, row.opens) for row in opens.collect()]
-    return [f for f, o in found if not o], [f for f, o in found if o]
+    goes_on = F.col("value").contains('"') & F.col("value").rlike(_GOES_ON)
+    found = lines.groupBy("file").agg(F.max(goes_on).alias("goes_on")).collect()
+    return [r.file for r in found if not r.goes_on], [r.file for r in found if r.goes_on]
 
 
 def read_csv_records(
@@ -90,11 +85,11 @@ def read_csv_records(
         )
         # Spark reads an unquoted empty cell as NULL; only a record with fewer cells than
         # the header (kept raw) really lacks some of them.
+        counted = rows.withColumn(
+            _CELLS, F.when(F.col(_RAW).isNull(), len(names)).otherwise(_cells_in(F.col(_RAW)))
+        )
         cells = [
-            F.coalesce(
-                F.col(f"`{name}`"),
-                F.when(F.col(_RAW).isNull() | (_cells_in(F.col(_RAW)) > i), ""),
-            ).alias(name)
+            F.coalesce(F.col(f"`{name}`"), F.when(F.col(_CELLS) > i, "")).alias(name)
             for i, name in enumerate(names)
         ]
         position = [
@@ -102,7 +97,7 @@ def read_csv_records(
             F.col("_metadata.file_block_start").alias("src_block"),
             F.monotonically_increasing_id().alias("src_row"),
         ]
-        return rows.select(*cells, *(position if with_position else []))
+        return counted.select(*cells, *(position if with_position else []))
 
     parts = [read(f, m) for f, m in ((single, False), (spanning, True)) if f]
     return reduce(DataFrame.unionByName, parts)
