@@ -85,6 +85,10 @@ class LakeConfig:
     def landing(self) -> str:
         return self.path("landing")
 
+    @property
+    def sent(self) -> str:
+        return self.path("sent")
+
     @property
     def bronze(self) -> str:
         return self.path("bronze")

@@ -1,8 +1,8 @@
 """The layers, one after another, each reading the table that the one before wrote.
 
 Every step may be run again: tables are overwritten, slices already published stay, the
-bronze stream goes on from its checkpoint, and the load empties its table first. Only
-publishing to Kafka repeats messages when it is repeated.
+bronze stream goes on from its checkpoint, and the load empties its table first. Only a
+slice that was being sent to Kafka when a run was cut off is sent again, whole.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylake.config import TRAIN_SHARE, LakeConfig
-from delaylake.functions.messages import parse_messages, to_messages
+from delaylake.functions.messages import parse_messages
 from delaylake.operators import gold, metrics, model, silver, slicing, training_data
 from delaylake.sources.csv_records import POSITION, read_csv_records
 from delaylake.sources.jdbc import load_fact
-from delaylake.sources.kafka import read_kafka, write_kafka
+from delaylake.sources.kafka import read_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
 from delaylake.streaming.replay import (
     publish_all,
     publish_slice,
     publishing_began,
+    send_slice,
     stage_slices,
 )
 from delaylake.workspace import spread_small
@@ -62,8 +63,7 @@ def ingest(spark: SparkSession, cfg: LakeConfig, records: DataFrame | None = Non
         if number > 1:
             time.sleep(cfg.pause_seconds)
         if cfg.kafka:
-            rows = staged.filter(F.col("slice") == number)
-            write_kafka(to_messages(rows, columns), cfg.kafka)
+            send_slice(staged, number, cfg.kafka, cfg.sent, columns)
         else:
             publish_slice(staged, number, cfg.landing, columns)
     return _slice_rows(staged)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from delaylake.config import KafkaTopic
 from delaylake.functions.messages import to_messages
+from delaylake.sources.kafka import write_kafka
 from delaylake.streaming.bronze import drain_bronze, read_landing
 
 
@@ -55,6 +57,23 @@ def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterabl
     return True
 
 
+def send_slice(
+    staged: DataFrame, number: int, topic: KafkaTopic, sent: str, columns: Iterable[str]
+) -> bool:
+    """Send one slice to Kafka, unless a marker below ``sent`` says that all of it was.
+
+    The marker is written when every message is acknowledged. A run that is cut off in a
+    slice sends that slice, and none before it, again.
+    """
+    marker = f"{sent}/slice={number}"
+    if _published(staged.sparkSession, marker):
+        return False
+    rows = staged.filter(F.col("slice") == number)
+    write_kafka(to_messages(rows, columns), topic)
+    rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(marker)
+    return True
+
+
 def replay(
     staged: DataFrame,
     slices: int,

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from delaylake.config import KafkaTopic
@@ -7,6 +8,7 @@ from delaylake.functions.messages import to_messages
 from delaylake.operators import slicing
 from delaylake.sources import kafka
 from delaylake.streaming import bronze
+from delaylake.streaming import replay as replaying
 from delaylake.streaming.replay import publish_slice, replay, stage_slices
 
 
@@ -82,6 +84,23 @@ def test_a_slice_left_half_published_is_written_again(spark, tmp_path):
     assert spark.read.parquet(landing).count() == 10
 
 
+def test_slices_are_sent_once_and_again_only_after_a_failure(spark, tmp_path, monkeypatch):
+    staged = spark.range(20).withColumn("slice", (F.col("id") / 10).cast("int") + 1)
+    topic, sent, got = KafkaTopic("broker:9092", "records"), str(tmp_path / "sent"), []
+
+    def broker(messages, _):
+        got.append(messages.count())
+        if len(got) == 2:
+            raise OSError("broker is gone")
+
+    monkeypatch.setattr(replaying, "write_kafka", broker)
+    assert replaying.send_slice(staged, 1, topic, sent, ["id"])
+    with pytest.raises(OSError):
+        replaying.send_slice(staged, 2, topic, sent, ["id"])
+    again = [replaying.send_slice(staged, n, topic, sent, ["id"]) for n in (1, 2)]
+    assert again == [False, True] and got == [10, 10, 10]
+
+
 def test_kafka_options():
     topic = KafkaTopic("broker:9092", "records", max_offsets_per_trigger=1000)
     assert kafka.source_options(topic) == {

@@ -191,6 +191,29 @@ def test_scores_survive_saving(spark, silver, tmp_path):
     assert scores[0] == scores[1] and all(0 <= p <= 1 for p in scores[0])
 
 
+def test_a_stream_is_scored_like_a_table(spark, silver, tmp_path):
+    prepared = model.prepare(silver)
+    model.save(model.fit(prepared), str(tmp_path / "m"))
+    fitted = model.load(str(tmp_path / "m"))
+    silver.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(silver.schema).parquet(str(tmp_path / "in"))
+    query = (
+        model.score(fitted, model.prepare(stream))
+        .select("probability")
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "ck"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    scores = [
+        sorted(r.probability for r in df.select("probability").collect())
+        for df in (spark.read.parquet(str(tmp_path / "out")), model.score(fitted, prepared))
+    ]
+    assert scores[0] == scores[1]
+
+
 def test_model_without_delays(spark, silver):
     params = model.ModelParams().without_delays()
     fitted = model.fit(model.prepare(silver, params), params)
