@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
@@ -16,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from delaylake.operators.ordering import running_before
 from delaylake.operators.training_data import CATEGORICAL, NUMERIC
 
 MAX_VALUES = 1_000_000
@@ -29,32 +29,45 @@ def _one_hot(names: Sequence[str]) -> list[str]:
     return [f"{name}_ohe" for name in names]
 
 
+def category_counts(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Rows (column, value, n) of all columns, from one scan, by a grouped aggregate."""
+    values = df.unpivot([], list(categorical), "column", "value")
+    return values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Rows (column, value, idx): values by falling frequency, ties in text order, and NULL,
+    where it occurs, after the last. For any number of values: nothing but the totals of
+    their range partitions meets in one task.
+    """
+    order = ["column", F.col("value").isNull(), F.desc("n"), "value"]
+    numbered = running_before(category_counts(df, categorical), order, F.lit(1), "place")
+    # One row per column.
+    first = numbered.groupBy("column").agg(F.min("place").alias("first"))
+    return numbered.join(F.broadcast(first), "column").select(
+        "column", "value", (F.col("place") - F.col("first")).cast("int").alias("idx")
+    )
+
+
 def string_indexers(
     df: DataFrame, categorical: Sequence[str] = CATEGORICAL, max_values: int = MAX_VALUES
 ) -> list[StringIndexerModel]:
-    """One fitted stage per column. Index by falling frequency, ties in text order; NULL and unseen values share the
-    index after the last.
+    """One fitted stage per column, with the index of ``category_index``; unseen values get
+    that of NULL.
 
-    The values of all columns are counted in one scan, by a grouped aggregate: the
-    estimator's own counting merges the maps of all tasks in a single one. Only the
-    distinct values come to the driver, where the encoder and the model need them, and
-    only after their number is found to be within ``max_values`` per column.
+    The estimator's own counting merges the maps of all tasks in a single one; here only the
+    distinct values come to the driver, where the encoder and the model need them, and only
+    after their number is found to be within ``max_values`` per column.
     """
-    counts = (
-        df.unpivot([], list(categorical), "column", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .persist()
-    )
+    counts = category_counts(df, categorical).filter(F.col("value").isNotNull()).persist()
     try:
-        sizes = counts.groupBy("column").count().filter(F.col("count") > max_values).collect()
-        if sizes:
+        large = counts.groupBy("column").count().filter(F.col("count") > max_values).collect()
+        if large:
             raise ValueError(
-                f"too many values for one-hot features: {[(r[0], r[1]) for r in sizes]}, over "
+                f"too many values for one-hot features: {[tuple(r) for r in large]}, over "
                 f"{max_values}: use a coarser column, or raise max_values and the driver's memory"
             )
-        ranked = counts.orderBy("column", F.desc("n"), "value").collect()
+        ranked = counts.orderBy(F.desc("n"), "value").collect()
     finally:
         counts.unpersist()
     return [
@@ -102,19 +115,6 @@ def feature_stages(
     ]
 
 
-def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """Rows (column, value, idx): the index of every value, and of NULL where it occurs."""
-    indexers = string_indexers(df, categorical)
-    # Only the values that differ are indexed, one column beside NULLs of the others.
-    values = df.unpivot([], list(categorical), "column", "value").distinct()
-    wide = values.select(
-        "*", *[F.when(F.col("column") == c, F.col("value")).alias(c) for c in categorical]
-    )
-    own = F.coalesce(*[F.when(F.col("column") == c, F.col(f"{c}_idx")) for c in categorical])
-    indexed = PipelineModel(indexers).transform(wide)
-    return indexed.select("column", "value", own.cast("int").alias("idx"))
-
-
 def hot_positions(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, idx, hot): where the one-hot vector of each value has its 1, or -1."""
     (indexer,) = string_indexers(df, [column])

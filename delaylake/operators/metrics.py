@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.workspace import range_parts
+from delaylake.operators.ordering import running_before
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -51,31 +51,16 @@ def area_under_roc(scored: DataFrame, label: str = "label", score: str = "margin
     """Exact area under the ROC curve, ties counted half, as one row ``auc``.
 
     The rows are first reduced to counts per score, so a score that many rows share
-    costs one row. These are range-partitioned by score; the running count of negatives
-    is the count of the partitions before plus the running count in the partition, so no
-    task sees more than its range. NULL when a class is missing.
+    costs one row. NULL when a class is missing.
     """
     positive = F.col(label) == 1
     per_score = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    parts = range_parts(per_score, "score")
-    # One row per range partition, so at most spark.sql.shuffle.partitions rows.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy("_part")
-        .agg(F.sum("neg").alias("_neg"))
-        .select("_part", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy("_part").orderBy("score")
-    below = F.coalesce(
-        F.sum("neg").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    ranked = parts.withColumn("_below", below).join(F.broadcast(offsets), "_part")
+    ranked = running_before(per_score, ["score"], F.col("neg"), "below")
     # Twice the number of ordered pairs, whole numbers up to the division.
     pairs = F.sum(
-        F.col("pos").cast("decimal(38,0)")
-        * (2 * (F.col("_offset") + F.col("_below")) + F.col("neg"))
+        F.col("pos").cast("decimal(38,0)") * (2 * F.col("below") + F.col("neg"))
     )
     everything = (2 * F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("all")
     return ranked.agg(pairs.cast("double").alias("pairs"), everything).select(
