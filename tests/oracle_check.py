@@ -22,13 +22,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    return round(value, 9) if isinstance(value, float) else value
-
-
 def _multiset(columns: list[str], rows) -> Counter:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
+    return Counter(tuple(row[i] for i in order) for row in rows)
 
 
 def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
