@@ -1,0 +1,46 @@
+"""Small awkward tables that the tests share."""
+
+AWKWARD_TEXTS = [
+    None,
+    "",
+    " ",
+    "\n\n \t ",
+    "a",
+    "It's we'll THEY'RE 's 't ''s '''ve can't",
+    "  two  spaces   and\n\n lines \r\n end ",
+    "Ünïcödé façade ÀÉÎ straße ß ſ İstanbul ΣΑΣ ΟΔΟΣ",
+    "é combining, ﬁ ligature, ① ² ½ ٣ Ⅷ",
+    "漢字 かな カナ 한국어 עברית العربية हिन्दी",
+    "😀 👩‍👩‍👧 🇩🇪 text",
+    "<|endoftext|> and <|startoftext|>x<|endoftext|>",
+    "a\x00b\x1c\x1d\x1e\x1fc\x85d\xa0e f g",
+    "x" * 5000,
+    "ab " * 3000,
+    "!?.,;:" * 400,
+    "1234567890 3.14 1e-9 0x1F",
+    "same text here", "same text here",
+]
+
+
+def documents(spark, texts, **more):
+    """A documents table with ids from 0; ``more`` gives columns by name."""
+    rows = [
+        (
+            i,
+            t,
+            (more.get("lang") or ["en"] * len(texts))[i],
+            (more.get("source") or ["src0"] * len(texts))[i],
+            None if t is None else len(t),
+        )
+        for i, t in enumerate(texts)
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    )
+
+
+def with_clashes(df, *names):
+    """Extra columns under names that an operator uses itself."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit("extra").alias(n) for n in names])

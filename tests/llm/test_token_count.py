@@ -1,0 +1,49 @@
+import public_tokenizers
+import pytest
+from cases import AWKWARD_TEXTS, documents, with_clashes
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from delaylake.llm.common import read
+from delaylake.llm.token_count import merge_ranks, token_counts
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def expected(text):
+    return len(LIBRARY.encode(text or "", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", [t for t in AWKWARD_TEXTS if t is not None])
+def test_awkward_text(text):
+    assert merge_ranks(PATH).text_tokens(text) == expected(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("abcdeéß 'sS123.<|>\t\n", max_size=80))
+def test_any_text(text):
+    assert merge_ranks(PATH).text_tokens(text) == expected(text)
+
+
+def test_table(spark):
+    docs = with_clashes(documents(spark, AWKWARD_TEXTS).repartition(3), "n_tokens", "limit")
+    rows = token_counts(docs, PATH).collect()
+    assert len(rows) == len(AWKWARD_TEXTS)
+    for r in rows:
+        text = AWKWARD_TEXTS[r.doc_id] or ""
+        assert r.n_bytes == len(text.encode())
+        assert r.n_tokens == expected(text)
+        assert r.over_limit == (r.n_tokens > 2048)
+
+
+def test_given_table(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in token_counts(docs, PATH).collect():
+        assert r.n_tokens == expected(texts[r.doc_id])
+
+
+def test_empty_table(spark):
+    assert token_counts(documents(spark, ["x"]).where("false"), PATH).collect() == []
