@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from delaylake.llm import packing, token_count
+from delaylake.llm import chat_format, mixing, packing, quality_rules, token_count, top_k
 from delaylake.llm.common import read
+from delaylake.llm.oracle import ORACLE_SQL
+from delaylake.workspace import written
+
+#: The conversation that op5 adds, whose texts try to end a turn.
+ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
+QUERY_EVERY = 50
 
 
 def op2_packing(spark, sf_dir):
@@ -13,6 +20,40 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op5_chat_formatting(spark, sf_dir):
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(ADDED_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(ADDED_TEXT).alias("text"),
+    )
+    log = chat_format.log_of(given.unionByName(added))
+    back = chat_format.read_back(written(chat_format.format_chats(log), "chats"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op7_top_k(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, F.col("vec_id") % QUERY_EVERY == 0)
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_count.token_counts(read(spark, sf_dir, "documents"), path)
@@ -20,7 +61,9 @@ def op9_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_mixing": op6_mixing,
+    "op7_top_k": op7_top_k,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
-
-ORACLE_SQL: dict[str, str] = {}
