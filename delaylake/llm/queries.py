@@ -5,7 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from delaylake.llm import chat_format, mixing, packing, quality_rules, token_count, top_k
+from delaylake.llm import (
+    chat_format,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_count,
+    top_k,
+)
 from delaylake.llm.common import read
 from delaylake.llm.oracle import ORACLE_SQL
 from delaylake.workspace import written
@@ -15,11 +24,23 @@ ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
 QUERY_EVERY = 50
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.find_near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(read(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op4_secret_scan(spark, sf_dir):
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+    )
+
+
 def op5_chat_formatting(spark, sf_dir):
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
@@ -60,7 +81,9 @@ def op9_token_counts(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_mixing": op6_mixing,
     "op7_top_k": op7_top_k,
