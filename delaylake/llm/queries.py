@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from delaylake.llm import (
+    byte_dedup,
     chat_format,
+    lm_score,
     mixing,
     near_dedup,
     packing,
@@ -33,6 +35,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark, sf_dir):
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
     return found.select(
@@ -80,13 +86,22 @@ def op9_token_counts(spark, sf_dir):
     return token_count.token_counts(read(spark, sf_dir, "documents"), path)
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    found = byte_dedup.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_lm_score": op3_lm_score,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_mixing": op6_mixing,
     "op7_top_k": op7_top_k,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
