@@ -9,10 +9,12 @@ it; two bags agree in a register with the probability of their weighted Jaccard
 are only made up to the time by which all registers are full.
 
 Registers are banded. Documents that share a band are candidates: texts with the same words are
-one node; the smallest and the largest node of a band are compared with its other nodes; then
-nodes of one band that are still in different classes are compared, if their registers agree as
-often as a similarity of the threshold makes likely (all but 1e-6). A comparison counts the bags'
-overlap exactly. Classes are the connected components of what is similar enough. With ``BANDS``
+one node; in rounds, each node is compared with the node of another class that is the centre of
+most of its bands, and what is similar becomes one class, until a round finds little.
+Then all nodes of one band that are still in different classes are compared, if their registers
+agree as often as a similarity of the threshold makes likely (all but 1e-6). So the members of a
+large group of copies are compared with a few of it and not with each other. A comparison counts
+the bags' overlap exactly. Classes are the connected components of what is similar enough. With ``BANDS``
 bands of ``ROWS`` registers a pair at 0.8 shares none with probability 7e-5.
 
 Defined results: a null text is an empty one; all texts without words are one class; texts of
@@ -23,6 +25,8 @@ columns are left alone.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +44,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Registers that agree at least, of a pair at LEAST: 96 expected, less 4.8 deviations.
 AGREEING = 75
+#: The rounds end when less than one pair in so many is similar.
+FEW = 100
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -212,47 +218,73 @@ def near_classes(rows: DataFrame) -> DataFrame:
         ).select("node", F.xxhash64("band", "hash").alias("band")),
         "bands",
     )
-    ends = written(
-        banded.groupBy("band")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low < high"),
-        "band_ends",
-    )
-    in_band = banded.join(ends, "band")
-    stars = in_band.select(
-        F.explode(
-            F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")),
-                    F.struct(F.col("node").alias("a"), F.col("high").alias("b")))
-        ).alias("p")
-    ).select("p.*")
+    sizes = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = written(banded.join(sizes, "band"), "shared")
+    # The original of many copies shares its bands with more nodes than any copy does.
+    weights = written(met.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    shared = written(met.drop("n").join(weights, "node"), "shared")
     texts = rows.select("_row", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = written(stars.where("a < b").distinct(), "pairs")
-    links = written(similar(pairs, texts), "links")
-    linked = written(components(links), "components")
-    rest = written(_across(banded, ends, linked, signed), "pairs")
-    more = written(similar(rest.join(pairs, ["a", "b"], "left_anti"), texts), "links")
-    if more.limit(1).count():
-        linked = written(components(links.unionByName(more)), "components")
-    return _with_class(signed, nodes, linked)
+    links = tested = None
+    labelled = shared.withColumn("root", F.col("node"))
+    for turn in count():
+        pairs = written(_stars(labelled, tested, turn), "pairs")
+        found = written(similar(pairs, texts), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        n_found = found.count()
+        if n_found:
+            labelled = _labelled(shared, written(components(links), "components"))
+        if n_found * FEW <= pairs.count():
+            break
+    rest = written(_across(labelled, signed).join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = written(links.unionByName(similar(rest, texts)), "links")
+    return _with_class(signed, nodes, written(components(links), "components"))
 
 
-def _across(banded: DataFrame, ends: DataFrame, linked: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of a band in different classes so far, whose registers agree often enough."""
-    labelled = written(
-        banded.join(ends.select("band"), "band")
-        .join(linked, "node", "left")
-        .select("band", "node", F.coalesce("root", "node").alias("root")),
+def _labelled(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The nodes of the bands that hold more than one class so far."""
+    rooted = written(
+        shared.join(linked, "node", "left").select(
+            "band", "node", "weight", F.coalesce("root", "node").alias("root")
+        ),
         "labelled",
     )
-    mixed = written(
-        labelled.groupBy("band")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        .where("low < high and n > 2")
-        .select("band"),
-        "mixed",
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = written(mixed.where("low < high").select("band"), "mixed")
+    return written(rooted.join(mixed, "band"), "labelled")
+
+
+def _stars(labelled: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
+    """Each band has two centres: its node of the largest weight, and one that is another in each
+    turn. A node is paired with one of another class that is the centre of most of its bands,
+    among those it has not been compared with."""
+    heavy = F.struct("weight", "root", "node")
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), "root", "node")
+    ends = written(
+        labelled.groupBy("band").agg(F.array(F.max(heavy), F.max(drawn)).alias("centres")),
+        "band_ends",
+    )
+    met = labelled.join(ends, "band").select("node", "root", F.explode("centres").alias("centre"))
+    often = (
+        met.where(F.col("centre.root") != F.col("root"))
+        .groupBy("node", F.col("centre.node").alias("other"))
+        .agg(F.count("*").alias("n"))
+        .withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")})
     )
+    if tested is not None:
+        often = often.join(tested, ["a", "b"], "left_anti")
+    return (
+        often.groupBy("node")
+        .agg(F.max(F.struct("n", "a", "b")).alias("best"))
+        .select("best.a", "best.b")
+        .distinct()
+    )
+
+
+def _across(labelled: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of a band in different classes so far, whose registers agree often enough."""
     registers = signed.select(F.col("_row").alias("node"), _registers().alias("registers"))
-    members = written(labelled.join(mixed, "band").join(registers, "node"), "members")
+    members = written(labelled.join(registers, "node"), "members")
     a, b = (
         members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "registers")])
         for s in "ab"

@@ -268,8 +268,7 @@ def keep_good(
 ) -> DataFrame:
     """The documents that pass, with their columns."""
     cutoffs = written(fit_cutoffs(measure(docs), labels, risk, delta), "cutoffs")
-    named = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
-    joined = docs.join(named, stratum() == F.col("_stratum"), "left")
+    wrapped = docs.select(stratum().alias("stratum"), F.struct(*docs.columns).alias("_doc"))
     # In one expression, so that the counts of a text are made once.
-    kept = let(measures(F.col("text")), lambda m: is_kept(m, F.col("_cutoffs")))
-    return joined.where(kept).select(*[docs[c] for c in docs.columns])
+    kept = let(measures(F.col("_doc.text")), lambda m: is_kept(m, F.col("cutoffs")))
+    return wrapped.join(cutoffs, "stratum", "left").where(kept).select("_doc.*")

@@ -1,0 +1,128 @@
+import math
+import re
+from collections import defaultdict
+
+import pytest
+from cases import AWKWARD_TEXTS, documents, with_clashes
+from oracle_check import connect, differences
+
+from delaylake.llm.common import read
+from delaylake.llm.mixing import mix, mixed_documents
+from delaylake.llm.oracle import ORACLE_SQL
+
+
+def brute_targets(sizes):
+    """By source: shared by weight, and again what is above twice the source's size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, full = 1.5 * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in full]
+        left = goal - sum(full.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if share[s] > 2 * sizes[s]]
+        if not above:
+            return full | share
+        full |= {s: 2 * sizes[s] for s in above}
+
+
+def size(text):
+    return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+
+
+def check(rows, docs):
+    """docs: (doc_id, text, source)."""
+    sizes = defaultdict(int)
+    for _, text, source in docs:
+        sizes[source] += size(text)
+    targets = brute_targets(sizes)
+    source_of = {(i, size(t)): s for i, t, s in docs}
+    taken = defaultdict(int)
+    assert len(rows) == len(docs)
+    for r in rows:
+        source = source_of[r.doc_id, r.size]
+        assert r.source_size == sizes[source]
+        assert math.isclose(r.target, targets[source], abs_tol=1e-6)
+        assert 0 <= r.taken <= 2 * r.size
+        assert r.size == 0 or r.taken % r.size == 0
+        taken[source] += r.taken
+    return {s: (taken[s], targets[s]) for s in sizes}
+
+
+def test_given_table(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    for taken, target in check(mix(docs).collect(), given).values():
+        assert abs(taken - target) <= 0.02 * target
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    found = mix(read(spark, f"/root/testdata/{sf}", "documents"))
+    assert differences(found, connect(f"/root/testdata/{sf}"), ORACLE_SQL["op6_mixing"]) == ""
+
+
+def test_hot_source_and_null_source(spark):
+    texts = [f"word " * (1 + i % 17) for i in range(600)]
+    sources = ["hot" if i % 3 else (None, "", "a", "b")[i // 3 % 4] for i in range(600)]
+    docs = with_clashes(documents(spark, texts, source=sources).repartition(4), "key", "rank", "size")
+    given = list(zip(range(600), texts, sources, strict=True))
+    for taken, target in check(mix(docs).collect(), given).values():
+        assert abs(taken - target) <= 9
+
+
+def test_awkward_texts(spark):
+    docs = documents(spark, AWKWARD_TEXTS, source=["s", None, "t"] * 6 + ["u"])
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    check(mix(docs).collect(), given)
+
+
+def test_sources_without_words(spark):
+    docs = documents(spark, ["", None, " ", "a b"], source=["x", "x", "y", "z"])
+    rows = {r.doc_id: r for r in mix(docs).collect()}
+    assert [rows[i].taken for i in range(3)] == [0, 0, 0]
+    assert mix(documents(spark, ["", None])).count() == 2
+
+
+def test_repeated_rows_go_together(spark):
+    frame = spark.createDataFrame(
+        [(1, "a b c", "s", "en", 5)] * 3 + [(None, "d", "s", "en", 1)] * 2 + [(2, "e", "t", "x", 1)],
+        "doc_id long, text string, source string, lang string, n_chars long",
+    )
+    rows = mix(frame).collect()
+    assert len(rows) == 6
+    for i in (1, None):
+        assert len({r.taken for r in rows if r.doc_id == i}) == 1
+
+
+def test_sample_follows_the_probability(spark):
+    texts = ["w"] * 3000
+    docs = documents(spark, texts, source=["a"] * 2000 + ["b"] * 1000)
+    rows = mix(docs).collect()
+    taken = [r.taken for r in rows if r.doc_id < 2000]
+    expected = next(r.target for r in rows if r.doc_id == 0) / 2000
+    assert set(taken) <= {math.floor(expected), math.floor(expected) + 1}
+    # Neither the first nor the last half is preferred.
+    assert abs(sum(taken[:1000]) - sum(taken[1000:])) < 150
+
+
+def test_documents_are_repeated_whole(spark):
+    docs = with_clashes(read(spark, "/root/testdata/sf0.001", "documents"), "key", "_copy")
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    expected = {r.doc_id: r.taken // r.size for r in mix(docs).collect() if r.size}
+    found = defaultdict(int)
+    for r in out.collect():
+        found[r.doc_id] += 1
+    assert {i: n for i, n in expected.items() if n} == dict(found)
+
+
+def test_same_again(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    again = docs.repartition(7, "lang")
+    assert sorted(mix(docs).collect()) == sorted(mix(again).collect())
+
+
+def test_empty_table(spark):
+    empty = documents(spark, ["x"]).where("false")
+    assert mix(empty).collect() == [] and mixed_documents(empty).collect() == []

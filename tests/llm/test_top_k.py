@@ -1,0 +1,93 @@
+import math
+import random
+
+import pytest
+from cases import with_clashes
+from oracle_check import connect, differences
+from pyspark.sql import functions as F
+
+from delaylake.llm import top_k
+from delaylake.llm.common import read
+from delaylake.llm.oracle import ORACLE_SQL
+
+MOST = 2**63 - 1
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def whole(v):
+    if v is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        return None
+    return [math.floor(256 * x) for x in v]
+
+
+def brute(rows, is_query, k=5):
+    usable = [(i, whole(v)) for i, v in rows if i is not None and whole(v)]
+    out = []
+    for i, q in usable:
+        if not is_query(i):
+            continue
+        scores = []
+        for j, c in usable:
+            if j != i and len(c) == len(q):
+                score = sum(a * b for a, b in zip(q, c, strict=True))
+                scores.append((-max(-MOST, min(MOST, score)), j))
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def check(spark, rows, schema=SCHEMA, k=5):
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    frame = with_clashes(frame, "q", "c", "dim", "norm", "starts")
+    found = top_k.top_k(frame, F.col("vec_id") % 5 == 0, k=k)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, found.collect())) == brute(rows, lambda i: i % 5 == 0, k)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    check(spark, [
+        (0, [0.5, -0.25]), (1, [0.5, -0.25]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]),
+        (5, [None, 1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (10, [0.001, -0.001]), (11, [-0.5, 0.5]),
+        (None, [1.0, 1.0]), (15, [1.0, 1.0, 1.0]), (20, [2.0]), (12, [0.0, 0.0]),
+        (25, None),
+    ])
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_ties(spark, k):
+    rng = random.Random(k)
+    rows = [(i, [float(rng.randrange(2)), float(rng.randrange(2))]) for i in range(200)]
+    check(spark, rows, k=k)
+
+
+def test_many_blocks(spark, monkeypatch):
+    for name, value in {"BLOCK": 3, "PART": 7, "BLOCKS": 2, "PARTS": 2}.items():
+        monkeypatch.setattr(top_k, name, value)
+    rng = random.Random(4)
+    check(spark, [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)])
+
+
+def test_huge_components(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1, 1]) * 10.0 ** rng.randrange(0, 13) for _ in range(3)]) for i in range(40)]
+    check(spark, rows, "vec_id long, embedding array<double>")
+
+
+def test_repeated_candidates(spark):
+    rows = [(0, [1.0, 0.0])] + [(i % 4 + 1, [1.0, i / 8]) for i in range(12)]
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    vectors = read(spark, f"/root/testdata/{sf}", "embeddings")
+    found = top_k.top_k(vectors, F.col("vec_id") % 50 == 0)
+    sql = ORACLE_SQL["op7_top_k"]
+    assert differences(found, connect(f"/root/testdata/{sf}"), sql) == ""
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    assert top_k.top_k(frame, F.col("vec_id") % 5 == 0).collect() == []
+    alone = spark.createDataFrame([(0, [1.0])], SCHEMA)
+    assert top_k.top_k(alone, F.col("vec_id") % 5 == 0).collect() == []
