@@ -11,8 +11,8 @@ are only made up to the time by which all registers are full.
 Registers are banded. Documents that share a band are candidates: texts with the same words are
 one node; in rounds, each node is compared with the node of another class that is the centre of
 most of its bands, and what is similar becomes one class, until a round finds little.
-Then all nodes of one band that are still in different classes are compared, if their registers
-agree as often as a similarity of the threshold makes likely (all but 1e-6). So the members of a
+Then all nodes of one band that are still in different classes and whose bags' sizes allow for
+the threshold are compared, if their registers agree as often as a similarity of the threshold makes likely (all but 2e-4). So the members of a
 large group of copies are compared with a few of it and not with each other. A comparison counts
 the bags' overlap exactly. Classes are the connected components of what is similar enough. With ``BANDS``
 bands of ``ROWS`` registers a pair at 0.8 shares none with probability 7e-5.
@@ -42,8 +42,8 @@ SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Registers that agree at least, of a pair at LEAST: 96 expected, less 4.8 deviations.
-AGREEING = 75
+#: Registers that agree at least, of a pair at LEAST: 96 expected, less 3.7 deviations.
+AGREEING = 80
 #: The rounds end when less than one pair in so many is similar.
 FEW = 100
 
@@ -145,7 +145,8 @@ def sign(docs: DataFrame) -> DataFrame:
         for first, data, at in chunks(batch.column("text")):
             hashes, counts, _, _ = words(data, at)
             one, two = same_words(hashes, counts)
-            found = signatures(*shingles(hashes, counts, SHINGLE))
+            runs, sizes = shingles(hashes, counts, SHINGLE)
+            found = signatures(runs, sizes)
             with np.errstate(over="ignore"):
                 bands = mix((found.reshape(-1, BANDS, ROWS) * keys).sum(axis=2, dtype=np.uint64))
             size = len(counts)
@@ -155,7 +156,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 "doc_id": batch.column("doc_id").slice(first, size),
                 "one": one.view(np.int64),
                 "two": two.view(np.int64),
-                "filled": counts > 0,
+                "size": sizes,
                 "bands": pa.ListArray.from_arrays(offsets, bands.ravel().view(np.int64)),
                 "registers": [r.tobytes() for r in (found & U64(0xFFFF)).astype("<u2")],
             }
@@ -163,7 +164,7 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_batches(
         docs.select("_row", "doc_id", F.coalesce("text", F.lit("")).alias("text")),
         work,
-        "_row long, doc_id long, one long, two long, filled boolean, bands array<long>, "
+        "_row long, doc_id long, one long, two long, size long, bands array<long>, "
         "registers binary",
     )
 
@@ -211,11 +212,11 @@ def near_classes(rows: DataFrame) -> DataFrame:
     nodes = written(
         signed.groupBy("one", "two").agg(F.min("_row").alias("node")), "nodes"
     )
-    own = signed.join(nodes.select(F.col("node").alias("_row")), "_row").where("filled")
+    own = signed.join(nodes.select(F.col("node").alias("_row")), "_row").where("size > 0")
     banded = written(
         own.select(
-            F.col("_row").alias("node"), F.posexplode("bands").alias("band", "hash")
-        ).select("node", F.xxhash64("band", "hash").alias("band")),
+            F.col("_row").alias("node"), "size", F.posexplode("bands").alias("band", "hash")
+        ).select("node", "size", F.xxhash64("band", "hash").alias("band")),
         "bands",
     )
     sizes = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -245,7 +246,7 @@ def _labelled(shared: DataFrame, linked: DataFrame) -> DataFrame:
     """The nodes of the bands that hold more than one class so far."""
     rooted = written(
         shared.join(linked, "node", "left").select(
-            "band", "node", "weight", F.coalesce("root", "node").alias("root")
+            "band", "node", "size", "weight", F.coalesce("root", "node").alias("root")
         ),
         "labelled",
     )
@@ -258,15 +259,18 @@ def _stars(labelled: DataFrame, tested: DataFrame | None, turn: int) -> DataFram
     """Each band has two centres: its node of the largest weight, and one that is another in each
     turn. A node is paired with one of another class that is the centre of most of its bands,
     among those it has not been compared with."""
-    heavy = F.struct("weight", "root", "node")
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), "root", "node")
+    heavy = F.struct("weight", "root", "node", "size")
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), "root", "node", "size")
     ends = written(
         labelled.groupBy("band").agg(F.array(F.max(heavy), F.max(drawn)).alias("centres")),
         "band_ends",
     )
-    met = labelled.join(ends, "band").select("node", "root", F.explode("centres").alias("centre"))
+    met = labelled.join(ends, "band").select(
+        "node", "root", "size", F.explode("centres").alias("centre")
+    )
     often = (
         met.where(F.col("centre.root") != F.col("root"))
+        .where(_sizes_fit(F.col("centre.size"), F.col("size")))
         .groupBy("node", F.col("centre.node").alias("other"))
         .agg(F.count("*").alias("n"))
         .withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")})
@@ -281,13 +285,20 @@ def _stars(labelled: DataFrame, tested: DataFrame | None, turn: int) -> DataFram
     )
 
 
+def _sizes_fit(a: Column, b: Column) -> Column:
+    """Bags of other sizes cannot overlap enough."""
+    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+
+
+MEMBER = ("node", "root", "size", "registers")
+
+
 def _across(labelled: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs of a band in different classes so far, whose registers agree often enough."""
     registers = signed.select(F.col("_row").alias("node"), _registers().alias("registers"))
     members = written(labelled.join(registers, "node"), "members")
     a, b = (
-        members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "registers")])
-        for s in "ab"
+        members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in MEMBER]) for s in "ab"
     )
     agreeing = F.size(
         F.filter(F.zip_with("registers_a", "registers_b", lambda x, y: x == y), lambda x: x)
@@ -295,7 +306,7 @@ def _across(labelled: DataFrame, signed: DataFrame) -> DataFrame:
     return (
         a.join(b, "band")
         .where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-        .where(agreeing >= AGREEING)
+        .where(_sizes_fit(F.col("size_a"), F.col("size_b")) & (agreeing >= AGREEING))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
     )
