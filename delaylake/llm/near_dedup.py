@@ -10,12 +10,15 @@ are only made up to the time by which all registers are full.
 
 Registers are banded. Documents that share a band are candidates: texts with the same words are
 one node; in rounds, each node is compared with the node of another class that is the centre of
-most of its bands, and what is similar becomes one class, until a round finds little.
-Then all nodes of one band that are still in different classes and whose bags' sizes allow for
-the threshold are compared, if their registers agree as often as a similarity of the threshold makes likely (all but 2e-4). So the members of a
-large group of copies are compared with a few of it and not with each other. A comparison counts
-the bags' overlap exactly. Classes are the connected components of what is similar enough. With ``BANDS``
-bands of ``ROWS`` registers a pair at 0.8 shares none with probability 7e-5.
+most of its bands, and what is similar becomes one class, until a round finds little. Then all
+nodes of one band that are still in different classes are compared, if their bags' sizes allow
+for the threshold and their registers agree as often as it makes likely (all but 2e-4). So the
+members of a large group of copies are compared with its centres and not with each other. Where
+a band still has many nodes of different classes, those outside of its largest class are laid out
+in tiles against all of the band: each tile is compared in one task and gives its links only. A
+comparison counts the bags' overlap exactly. Classes are the connected components of what is
+similar enough. With ``BANDS`` bands of ``ROWS`` registers a pair at 0.8 shares none with probability
+7e-5.
 
 Defined results: a null text is an empty one; all texts without words are one class; texts of
 fewer than five words are one shingle; white space does not matter; repeated rows and ids are
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm.common import map_batches
+from delaylake.llm.common import arrow_schema, map_batches, to_batch
 from delaylake.llm.components import components
 from delaylake.llm.word_hashes import GOLDEN, U64, chunks, mix, shingles, stream, words
 from delaylake.workspace import written
@@ -44,8 +47,11 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Registers that agree at least, of a pair at LEAST: 96 expected, less 3.7 deviations.
 AGREEING = 80
-#: The rounds end when less than one pair in so many is similar.
+#: The rounds end when less than one pair in so many is similar, and bands with more pairs to
+#: compare than that are compared in tiles.
 FEW = 100
+#: Nodes of one side of a tile: what a task holds.
+TILE = 256
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -237,8 +243,10 @@ def near_classes(rows: DataFrame) -> DataFrame:
             labelled = _labelled(shared, written(components(links), "components"))
         if n_found * FEW <= pairs.count():
             break
-    rest = written(_across(labelled, signed).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(similar(rest, texts)), "links")
+    few, many = _by_cross_pairs(labelled)
+    rest = written(_across(few, signed).join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(similar(rest, texts)).unionByName(_in_tiles(many, signed, texts))
+    links = written(links, "links")
     return _with_class(signed, nodes, written(components(links), "components"))
 
 
@@ -312,6 +320,103 @@ def _across(labelled: DataFrame, signed: DataFrame) -> DataFrame:
     )
 
 
+def _by_cross_pairs(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bands with up to FEW pairs to compare, and those with more; ``outside`` says that a
+    node is not in its band's largest class, ``n_outside`` and ``n`` count those and all."""
+    by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = by_root.groupBy("band").agg(
+        F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("n")
+    )
+    bands = written(
+        largest.select(
+            "band", "n", F.col("largest.root").alias("main"),
+            (F.col("n") - F.col("largest.n")).alias("n_outside"),
+        ),
+        "cross_pairs",
+    )
+    both = written(
+        labelled.join(bands, "band").withColumn("outside", F.col("root") != F.col("main")),
+        "cross_pairs",
+    )
+    is_few = F.col("n") * F.col("n_outside") <= FEW
+    return both.where(is_few), both.where(~is_few)
+
+
+def _in_tiles(many: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of nodes outside their band's largest class with any node of the band."""
+    schema = "a long, b long"
+    arrow = arrow_schema(many.sparkSession, schema)
+
+    def tiles(n: str) -> Column:
+        return F.ceil(F.col(n) / TILE)
+
+    def spread(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), tiles(n) - 1))
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), tiles(n))
+
+    columns = ("band", "i", "j", "query", "node", "root", "size")
+    queries = many.where("outside").select(
+        "*", own("n_outside").alias("i"), spread("n").alias("j"), F.lit(True).alias("query")
+    )
+    members = many.select(
+        "*", spread("n_outside").alias("i"), own("n").alias("j"), F.lit(False).alias("query")
+    )
+    # Known of a member besides: whether it is a query too, then a pair of two is met once.
+    laid = queries.select(*columns, "outside").unionByName(members.select(*columns, "outside"))
+    signs = signed.select(F.col("_row").alias("node"), "bands", "registers")
+    full = laid.join(signs, "node").join(texts.withColumnRenamed("_row", "node"), "node")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, root, size = (table.column(n).to_numpy() for n in ("node", "root", "size"))
+        query, outside = (
+            table.column(n).to_numpy(zero_copy_only=False) for n in ("query", "outside")
+        )
+        registers = np.frombuffer(
+            b"".join(table.column("registers").to_pylist()), dtype="<u2"
+        ).reshape(-1, REGISTERS)
+        hashes = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        bags_ = _overlaps(pa.concat_arrays(table.column("text").chunks))
+        # The place of this band among each node's: pairs are compared in their first one.
+        place = _this_band(hashes, query)
+        parent = {int(r): int(r) for r in root}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                r = parent[r]
+            return r
+
+        out: dict[str, list] = {"a": [], "b": []}
+        others = np.flatnonzero(~query)
+        for x in np.flatnonzero(query):
+            small, large = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+            fit = (small * LEAST[1] >= large * LEAST[0]) & (root[others] != root[x])
+            fit &= ~outside[others] | (node[others] > node[x])
+            some = others[fit]
+            some = some[(registers[some] == registers[x]).sum(axis=1) >= AGREEING]
+            shared = hashes[some] == hashes[x]
+            some = some[shared.argmax(axis=1) == place]
+            for y in some.tolist():
+                one, two = top(int(root[x])), top(int(root[y]))
+                if one != two and is_similar(bags_[x], bags_[y]):
+                    parent[max(one, two)] = min(one, two)
+                    out["a"].append(min(node[x], node[y]))
+                    out["b"].append(max(node[x], node[y]))
+        return pa.Table.from_batches([to_batch(out, arrow)], schema=arrow)
+
+    return full.groupBy("band", "i", "j").applyInArrow(compare, schema)
+
+
+def _this_band(hashes: np.ndarray, query: np.ndarray) -> int:
+    """Which of the bands all rows of a tile have in common with its first query, first of all."""
+    if not query.any():
+        return 0
+    same = (hashes == hashes[np.flatnonzero(query)[0]]).all(axis=0)
+    return int(same.argmax())
+
+
 def _registers() -> Column:
     digits = F.hex("registers")
     return F.transform(

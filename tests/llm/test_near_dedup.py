@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from cases import AWKWARD_TEXTS, documents, with_clashes
 
+from delaylake.llm import near_dedup
 from delaylake.llm.common import read
 from delaylake.llm.components import components
 from delaylake.llm.near_dedup import (
@@ -133,7 +134,10 @@ def test_edited_copies(spark):
     check(spark, texts)
 
 
-def test_large_group_with_outsiders(spark):
+@pytest.mark.parametrize("few,tile", [(100, 256), (0, 8), (10**9, 256)])
+def test_large_group_with_outsiders(spark, monkeypatch, few, tile):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = random.Random(2)
     text = some_text(rng, 200)
     texts = [edited(rng, text, 2) for _ in range(150)] + [edited(rng, text, 12) for _ in range(60)]
