@@ -270,7 +270,7 @@ def fit(docs: DataFrame, corpus: Corpus) -> rnn.Params:
             part = TaskContext.get().partitionId()
             yield to_batch({"part": [part], "n": [length], "weights": [weights]}, arrow)
 
-    def mean(key, table: pa.Table) -> pa.Table:
+    def mean(key: tuple, table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy().astype(np.float64)
         all_ = [np.frombuffer(w, dtype="<f4") for w in table.column("weights").to_pylist()]
         weights = sum(w * x for w, x in zip(all_, n / n.sum(), strict=True)).astype("<f4")

@@ -136,3 +136,12 @@ def test_weights_pack():
     p, _ = small_model()
     back = rnn.unpack(rnn.pack(p))
     assert all(np.array_equal(p[k], back[k]) for k in p)
+
+
+def test_weights_are_averaged_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARE", 1)
+    monkeypatch.setattr(lm_score, "MEAN_OF", 2)
+    texts = [f"a b c d e f g {i % 5} " * 20 for i in range(300)]
+    rows = lm_scores(documents(spark, texts).repartition(7)).collect()
+    check_base(rows, list(enumerate(texts)))
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
