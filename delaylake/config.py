@@ -16,6 +16,9 @@ SPLIT_SEED = 42
 MAX_ITERATIONS = 20
 REGULARIZATION = 0.01
 
+#: Files that a micro-batch takes at most, and so what is landed again after a failure.
+FILES_PER_BATCH = 1000
+
 
 @dataclass(frozen=True)
 class KafkaTopic:
@@ -42,13 +45,14 @@ class JdbcTarget:
 
     @classmethod
     def from_environment(cls, env: Mapping[str, str] = os.environ) -> JdbcTarget | None:
-        """Target named by ``DELAYLAKE_JDBC_*``, or None when no URL is set."""
+        """Target named by ``DELAYLAKE_JDBC_*``, or None when no URL is set. With a URL the
+        table must be named too."""
         url = env.get("DELAYLAKE_JDBC_URL")
         if not url:
             return None
         return cls(
             url=url,
-            table=env.get("DELAYLAKE_JDBC_TABLE", "fact_flights"),
+            table=env["DELAYLAKE_JDBC_TABLE"],
             user=env.get("DELAYLAKE_JDBC_USER"),
             password=env.get("DELAYLAKE_JDBC_PASSWORD"),
             driver=env.get("DELAYLAKE_JDBC_DRIVER"),
@@ -63,12 +67,16 @@ class LakeConfig:
     source_csv: str | None = None
     slices: int = SLICES
     pause_seconds: float = 0.0
-    files_per_batch: int | None = None
+    files_per_batch: int | None = FILES_PER_BATCH
     silver_partitions: tuple[str, ...] = ()
     kafka: KafkaTopic | None = None
     jdbc: JdbcTarget | None = None
     train_share: float = TRAIN_SHARE
     use_delays: bool = True
+    random_split: bool = False
+    max_iterations: int = MAX_ITERATIONS
+    regularization: float = REGULARIZATION
+    line_breaks: bool | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"

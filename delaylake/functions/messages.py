@@ -40,14 +40,18 @@ def to_messages(
     )
 
 
-def parse_messages(bronze: DataFrame, keep_unparsed: bool = False) -> DataFrame:
+def parse_messages(
+    bronze: DataFrame, keep_unparsed: bool = False, keep_message: bool = False
+) -> DataFrame:
     """The message fields as text columns.
 
     No row is dropped: a message that is no JSON object becomes a row of NULLs.
-    With ``keep_unparsed`` such a message is also kept whole in ``_unparsed``.
+    With ``keep_unparsed`` such a message is also kept whole in ``_unparsed``, and with
+    ``keep_message`` every message in ``json``.
     """
     schema, options = text_schema(MESSAGE_FIELDS), {}
     if keep_unparsed:
         schema = schema.add(UNPARSED, T.StringType())
         options = {"columnNameOfCorruptRecord": UNPARSED}
-    return bronze.select(F.from_json("json", schema, options).alias("m")).select("m.*")
+    also = ["json"] if keep_message else []
+    return bronze.select(*also, F.from_json("json", schema, options).alias("m")).select(*also, "m.*")

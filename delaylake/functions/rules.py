@@ -66,7 +66,11 @@ def airline_name(text: Column) -> Column:
     return standardize(text, AIRLINE_WIDTH, AIRLINE_DEFAULT)
 
 
-def percent_bucket(*keys: Column) -> Column:
-    """Bucket 0..99 from the md5 of the keys: the same on every run and partitioning."""
+#: Fixed value: the number of values that ``hash_bits`` can have.
+HASH_VALUES = 1 << 32
+
+
+def hash_bits(*keys: Column) -> Column:
+    """32 bits from the md5 of the keys: the same on every run and partitioning."""
     text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

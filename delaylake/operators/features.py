@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
+    OneHotEncoderModel,
     StandardScaler,
-    StringIndexerModel,
     VectorAssembler,
+    VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylake.operators.ordering import running_before
 from delaylake.operators.training_data import CATEGORICAL, NUMERIC
-
-MAX_VALUES = 1_000_000
+from delaylake.workspace import written
 
 
 def _index(names: Sequence[str]) -> list[str]:
@@ -49,40 +50,39 @@ def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> D
     )
 
 
-def string_indexers(
-    df: DataFrame, categorical: Sequence[str] = CATEGORICAL, max_values: int = MAX_VALUES
-) -> list[StringIndexerModel]:
-    """One fitted stage per column, with the index of ``category_index``; unseen values get
-    that of NULL.
+def category_sizes(index: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> dict[str, int]:
+    """Number of known values of each column: one row per column comes to the driver."""
+    known = index.filter(F.col("value").isNotNull()).groupBy("column").count().collect()
+    found = {r["column"]: r["count"] for r in known}
+    return {c: found.get(c, 0) for c in categorical}
+
+
+def with_category_index(
+    df: DataFrame, index: DataFrame, sizes: dict[str, int]
+) -> DataFrame:
+    """Add the index of each category; NULL and unseen values get the one after the last.
 
-    The estimator's own counting merges the maps of all tasks in a single one; here only the
-    distinct values come to the driver, where the encoder and the model need them, and only
-    after their number is found to be within ``max_values`` per column.
+    A join per column on its values: Spark broadcasts the index while it is small, and splits
+    a value that many rows share where it is not.
     """
-    counts = category_counts(df, categorical).filter(F.col("value").isNotNull()).persist()
-    try:
-        large = counts.groupBy("column").count().filter(F.col("count") > max_values).collect()
-        if large:
-            raise ValueError(
-                f"too many values for one-hot features: {[tuple(r) for r in large]}, over "
-                f"{max_values}: use a coarser column, or raise max_values and the driver's memory"
-            )
-        ranked = counts.orderBy(F.desc("n"), "value").collect()
-    finally:
-        counts.unpersist()
-    return [
-        StringIndexerModel.from_labels(
-            [r["value"] for r in ranked if r["column"] == column],
-            inputCol=column,
-            outputCol=index,
-            handleInvalid="keep",
+    out = df
+    for column, size in sizes.items():
+        known = index.filter((F.col("column") == column) & F.col("value").isNotNull()).select(
+            F.col("value").alias(column), F.col("idx").alias(f"{column}_idx")
+        )
+        out = out.join(known, column, "left").withColumn(
+            f"{column}_idx", F.coalesce(f"{column}_idx", F.lit(size)).cast("double")
         )
-        for column, index in zip(categorical, _index(categorical))
-    ]
+    return out.select(*df.columns, *_index(list(sizes)))
 
 
-def one_hot_encoder(categorical: Sequence[str] = CATEGORICAL) -> OneHotEncoder:
-    return OneHotEncoder(inputCols=_index(categorical), outputCols=_one_hot(categorical))
+def one_hot_encoder(spark: SparkSession, sizes: dict[str, int]) -> OneHotEncoderModel:
+    """Vectors with a place for each known value; the index after the last has none."""
+    places = spark.range(max(sizes.values(), default=0) + 1).select(
+        *[F.least("id", F.lit(n)).cast("double").alias(f"{c}_idx") for c, n in sizes.items()]
+    )
+    names = list(sizes)
+    return OneHotEncoder(inputCols=_index(names), outputCols=_one_hot(names)).fit(places)
 
 
 def assembler(
@@ -101,42 +101,48 @@ def scaler() -> StandardScaler:
 
 
 def feature_stages(
-    df: DataFrame,
-    categorical: Sequence[str] = CATEGORICAL,
-    numeric: Sequence[str] = NUMERIC,
-    max_values: int = MAX_VALUES,
+    spark: SparkSession, sizes: dict[str, int], numeric: Sequence[str] = NUMERIC
 ) -> list[Estimator | Transformer]:
-    """Stages for a pipeline over ``df``; the categories are counted here already."""
-    return [
-        *string_indexers(df, categorical, max_values),
-        one_hot_encoder(categorical),
-        assembler(categorical, numeric),
-        scaler(),
-    ]
-
-
-def hot_positions(df: DataFrame, column: str) -> DataFrame:
-    """Rows (value, idx, hot): where the one-hot vector of each value has its 1, or -1."""
-    (indexer,) = string_indexers(df, [column])
-    indexed = indexer.transform(df.select(column).distinct())
-    encoded = one_hot_encoder([column]).fit(indexed).transform(indexed)
-    hot = F.array_position(vector_to_array(f"{column}_ohe"), F.lit(1.0)) - 1
-    return encoded.select(
-        F.col(column).alias("value"),
-        F.col(f"{column}_idx").cast("int").alias("idx"),
-        hot.cast("int").alias("hot"),
-    )
+    """Stages for a pipeline over rows that have their category index."""
+    return [one_hot_encoder(spark, sizes), assembler(list(sizes), numeric), scaler()]
+
+
+def hot_positions(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Rows (column, value, idx, hot): where the one-hot vector of each value has its 1, or -1."""
+    index = written(category_index(df, categorical), "categories")
+    sizes = category_sizes(index, categorical)
+    encoder = one_hot_encoder(df.sparkSession, sizes)
+    parts = []
+    for column in categorical:
+        values = df.select(column).distinct().select(
+            *[F.col(column) if c == column else F.lit(None).cast("string").alias(c) for c in categorical]
+        )
+        encoded = encoder.transform(with_category_index(values, index, sizes))
+        hot = F.get(F.unwrap_udt(f"{column}_ohe")["indices"], F.lit(0))
+        parts.append(
+            encoded.select(
+                F.lit(column).alias("column"),
+                F.col(column).alias("value"),
+                F.col(f"{column}_idx").cast("int").alias("idx"),
+                F.coalesce(hot, F.lit(-1)).cast("int").alias("hot"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def numeric_block(
-    assembled: DataFrame, vector: str, numeric: Sequence[str] = NUMERIC, digits: int = 6
+    assembled: DataFrame,
+    vector: str,
+    sizes: dict[str, int],
+    numeric: Sequence[str] = NUMERIC,
+    digits: int = 6,
 ) -> DataFrame:
     """The last entries of a feature vector as one column per numeric feature."""
-    cells = vector_to_array(vector)
-    count = len(numeric)
-    return assembled.select(
-        *[
-            F.round(F.element_at(cells, i - count), digits).alias(name)
-            for i, name in enumerate(numeric)
-        ]
+    first = sum(sizes.values())
+    last = VectorSlicer(
+        inputCol=vector, outputCol="_last", indices=list(range(first, first + len(numeric)))
+    )
+    cells = vector_to_array("_last")
+    return last.transform(assembled).select(
+        *[F.round(cells[i], digits).alias(name) for i, name in enumerate(numeric)]
     )

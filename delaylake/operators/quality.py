@@ -37,14 +37,20 @@ def _not_a_number(name: str) -> Column:
     return F.count_if(_given(name) & rules.as_number(F.col(name)).isNull())
 
 
+def _empty() -> Column:
+    """A message without any text, which is neither a record nor a broken one."""
+    return F.coalesce(F.trim("json"), F.lit("")) == ""
+
+
 def quality_report(bronze: DataFrame) -> DataFrame:
     """Counts of messages and of what is missing or malformed in them."""
     undated = rules.as_date(F.col("FL_DATE")).isNull()
     return _as_rows(
-        parse_messages(bronze, keep_unparsed=True),
+        parse_messages(bronze, keep_unparsed=True, keep_message=True),
         {
             "messages": F.count(F.lit(1)),
-            "unparseable": F.count(UNPARSED),
+            "empty_message": F.count_if(_empty()),
+            "unparseable": F.count_if(F.col(UNPARSED).isNotNull() & ~_empty()),
             "missing_date": F.count_if(~_given("FL_DATE")),
             "invalid_date": F.count_if(_given("FL_DATE") & undated),
             "non_numeric_distance": _not_a_number("DISTANCE"),

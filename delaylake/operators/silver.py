@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylake.functions import rules
@@ -27,6 +27,11 @@ SILVER_COLUMNS = (
     "delay_bucket",
     "ingest_ts",
 )
+SILVER_SCHEMA = (
+    "flight_date date, year int, month int, day_of_week int, airline string, origin string, "
+    "dest string, distance double, dep_delay double, arr_delay double, cancelled_flag int, "
+    "cancellation_reason string, distance_bucket string, delay_bucket string, ingest_ts timestamp"
+)
 FILL_DEFAULTS = {"cancelled_flag": 0}
 
 
@@ -79,4 +84,9 @@ def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ())
     """
     rows = silver.hint("rebalance", *partition_by) if partition_by else silver
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return silver.sparkSession.read.schema(silver.schema).parquet(path)
+    return read_silver(silver.sparkSession, path)
+
+
+def read_silver(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table with its columns in their order, also where some name folders."""
+    return spark.read.schema(SILVER_SCHEMA).parquet(path).select(*SILVER_COLUMNS)

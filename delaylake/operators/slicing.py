@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from delaylake.operators.ordering import running_before
 from delaylake.sources.csv_records import POSITION
-from delaylake.workspace import range_parts
+from delaylake.workspace import range_parts, written
 
 
 @dataclass(frozen=True)
@@ -83,26 +84,21 @@ def cuts_by_position(df: DataFrame, slices: int, position: Sequence[str] = POSIT
     """
     *place, row = position
     splits = df.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"))
-    # One row per input split, i.e. per ~128 MB of source: small enough for one task.
-    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    placed = splits.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).persist()
-    try:
-        total = placed.agg(F.sum("n")).first()[0] or 0
-        starts = slice_starts(total, slices)
-        if not starts:
-            return Cuts(_order_type(df, position), ())
-        here = F.explode(
-            F.filter(
-                F.array(*[F.lit(s).cast("bigint") for s in starts]),
-                lambda s: (s >= F.col("begin")) & (s < F.col("begin") + F.col("n")),
-            )
-        )
-        cuts = placed.withColumn("cut", here).select(
-            "cut", *place, (F.col("first") + F.col("cut") - F.col("begin")).alias(row)
+    placed = written(running_before(splits, place, F.col("n"), "begin"), "splits")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    starts = slice_starts(total, slices)
+    if not starts:
+        return Cuts(_order_type(df, position), ())
+    here = F.explode(
+        F.filter(
+            F.array(*[F.lit(s).cast("bigint") for s in starts]),
+            lambda s: (s >= F.col("begin")) & (s < F.col("begin") + F.col("n")),
         )
-        found = {r["cut"]: tuple(r[c] for c in position) for r in cuts.collect()}
-    finally:
-        placed.unpersist()
+    )
+    cuts = placed.withColumn("cut", here).select(
+        "cut", *place, (F.col("first") + F.col("cut") - F.col("begin")).alias(row)
+    )
+    found = {r["cut"]: tuple(r[c] for c in position) for r in cuts.collect()}
     return Cuts(_order_type(df, position), tuple(found[s] for s in starts))
 
 

@@ -14,7 +14,6 @@ from delaylake.functions import rules
 CATEGORICAL = ("origin", "dest", "airline")
 NUMERIC = ("distance", "dep_delay", "arr_delay", "day_of_week", "month")
 DELAYS = ("dep_delay", "arr_delay")
-EMPTY_CATEGORY = "(empty)"
 
 
 def with_label(silver: DataFrame) -> DataFrame:
@@ -28,12 +27,6 @@ def fill_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     return df.fillna(0, subset=list(columns))
 
 
-def name_empty(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """A name for the empty category: Spark's encoder refuses a value without text. It
-    stays a value of its own, apart from NULL."""
-    return df.replace({"": EMPTY_CATEGORY}, subset=list(columns))
-
-
 def class_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -55,7 +48,9 @@ def with_class_weight(labelled: DataFrame) -> DataFrame:
 
 def in_training(keys: Sequence[Column], share: float = TRAIN_SHARE) -> Column:
     """True for the rows that the md5 of their key puts on the training side."""
-    return rules.percent_bucket(*keys) < round(share * 100)
+    if not 0 < share < 1:
+        raise ValueError(f"the share of training rows must lie between 0 and 1, not {share}")
+    return rules.hash_bits(*keys) < share * rules.HASH_VALUES
 
 
 def hash_split(

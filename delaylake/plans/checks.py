@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import SLICES, LakeConfig
+from delaylake.config import SLICES, TRAIN_SHARE, LakeConfig
 from delaylake.functions import rules
 from delaylake.functions.messages import MESSAGE_FIELDS, parse_messages, to_messages
 from delaylake.operators import (
@@ -24,13 +26,13 @@ from delaylake.sources.csv_records import read_csv_records, source_row_count
 from delaylake.sources.lineitem_records import flight_records, table
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
 from delaylake.streaming.replay import replay, stage_slices
-from delaylake.workspace import fresh_dir, spread_small
+from delaylake.workspace import fresh_dir, written
 
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flight_records(spread_small(table(spark, sf_dir, "lineitem")))
+    return flight_records(table(spark, sf_dir, "lineitem"))
 
 
 def bronze_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +53,15 @@ def stored_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.write_silver(silver_of(spark, sf_dir), fresh_dir(spark, "silver"))
 
 
-def fact_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.to_fact(stored_silver(spark, sf_dir))
 
 
+def fact_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a single reader, which asks for few columns: nothing is stored on the way."""
+    return gold.to_fact(silver_of(spark, sf_dir))
+
+
 def labelled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_data.with_label(silver_of(spark, sf_dir))
 
@@ -102,8 +109,12 @@ def batch_progress(spark, sf_dir):
 
 
 def json_envelope(spark, sf_dir):
+    """The fields of each message, and its keys: one that is NULL must not be absent."""
     messages = to_messages(records_of(spark, sf_dir))
-    return messages.select(F.json_tuple("value", *MESSAGE_FIELDS).alias(*MESSAGE_FIELDS))
+    keys = F.array_join(F.array_sort(F.json_object_keys("value")), ",")
+    return messages.select(
+        F.json_tuple("value", *MESSAGE_FIELDS).alias(*MESSAGE_FIELDS), keys.alias("keys")
+    )
 
 
 def bronze_stream(spark, sf_dir):
@@ -209,15 +220,17 @@ def stage_counts(spark, sf_dir):
 
 
 def quality_report(spark, sf_dir):
-    """Some numbers are spoiled, and some messages cut short, before the report."""
-    lines = spread_small(table(spark, sf_dir, "lineitem"))
+    """Some numbers are spoiled, and some messages cut short or emptied, before the report."""
+    lines = table(spark, sf_dir, "lineitem")
     spoiled = F.when(F.col("l_orderkey") % 101 == 0, "late").otherwise(F.col("ARR_DELAY"))
     records = flight_records(lines, "l_orderkey").withColumn("ARR_DELAY", spoiled)
     messages = to_messages(records, MESSAGE_FIELDS)
-    cut = F.when(F.col("value").contains('"DEST":"D7"'), F.substring("value", 1, 20))
-    return quality.quality_report(
-        messages.select(F.coalesce(cut, F.col("value")).alias("json"))
+    damaged = (
+        F.when(F.col("value").contains('"DEST":"D7"'), F.substring("value", 1, 20))
+        .when(F.col("value").contains('"DEST":"D9"'), F.lit(" "))
+        .when(~F.col("value").contains('"DEST":"D11"'), F.col("value"))
     )
+    return quality.quality_report(messages.select(damaged.alias("json")))
 
 
 def label_prep(spark, sf_dir):
@@ -241,22 +254,30 @@ def class_weight(spark, sf_dir):
     )
 
 
-def _split_counts(train, test):
-    sides = [
-        side.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("split"), "n")
-        for name, side in (("train", train), ("test", test))
-    ]
-    return sides[0].unionByName(sides[1])
-
-
 def hash_split(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return _split_counts(*training_data.hash_split(lines, [F.col(c) for c in LINE_KEY]))
+    side = training_data.in_training([F.col(c) for c in LINE_KEY])
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.when(side, "train").otherwise("test").alias("split"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def random_split(spark, sf_dir):
-    labelled = training_data.with_label(stored_silver(spark, sf_dir))
-    return _split_counts(*training_data.random_split(labelled))
+    """Rows on either side and on both, and whether the share is what it should be."""
+    labelled = training_data.with_label(stored_silver(spark, sf_dir)).select("label")
+    rows = written(labelled.withColumn("id", F.monotonically_increasing_id()), "split")
+    train, test = (side.select("id") for side in training_data.random_split(rows))
+    sides = written(
+        train.withColumn("train", F.lit(1)).unionByName(test.withColumn("train", F.lit(0))), "sides"
+    )
+    per_row = sides.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("train").alias("train"))
+    near = F.abs(F.avg("train") - TRAIN_SHARE) < 0.01
+    return per_row.agg(
+        F.sum("n").alias("total"),
+        F.count_if(F.col("n") > 1).alias("on_both"),
+        near.alias("share_is_near"),
+    )
 
 
 def string_index(spark, sf_dir):
@@ -264,15 +285,19 @@ def string_index(spark, sf_dir):
 
 
 def one_hot(spark, sf_dir):
-    return features.hot_positions(stored_silver(spark, sf_dir), "origin")
+    return features.hot_positions(stored_silver(spark, sf_dir))
 
 
 def _numeric_features(spark, sf_dir, vector):
     rows = model.prepare(stored_silver(spark, sf_dir))
-    stages = features.feature_stages(rows)
+    index = written(features.category_index(rows), "categories")
+    sizes = features.category_sizes(index)
+    stages = features.feature_stages(spark, sizes)
     if vector == "raw_features":
         stages = stages[:-1]
-    return features.numeric_block(Pipeline(stages=stages).fit(rows).transform(rows), vector)
+    indexed = features.with_category_index(rows, index, sizes)
+    assembled = Pipeline(stages=stages).fit(indexed).transform(indexed)
+    return features.numeric_block(assembled, vector, sizes)
 
 
 def assemble_features(spark, sf_dir):
@@ -287,25 +312,55 @@ def _fitted(spark, sf_dir):
     known, held_out = flow.stage_training(
         silver_of(spark, sf_dir), fresh_dir(spark, "training")
     )
-    return model.fit(known), held_out
+    path = fresh_dir(spark, "model")
+    model.save(model.fit(known), path)
+    return model.load(spark, path), known, held_out
 
 
 def train_model(spark, sf_dir):
-    fitted, _ = _fitted(spark, sf_dir)
-    return spark.createDataFrame(
-        model.coefficients(fitted), "feature string, coefficient double"
+    """Of the stored model: what each place of the feature vector stands for, and on how many
+    training rows it is not 0 (of a number: is given)."""
+    fitted, known, _ = _fitted(spark, sf_dir)
+    per_value = features.category_counts(known)
+    per_number = known.agg(*[F.count(c).alias(c) for c in training_data.NUMERIC]).unpivot(
+        [], list(training_data.NUMERIC), "column", "n"
+    )
+    rows = per_value.unionByName(per_number.withColumn("value", F.lit(None).cast("string")))
+    places = model.feature_positions(fitted).filter(
+        F.col("position") < fitted.pipeline.stages[-1].numFeatures
+    )
+    same = (places["column"] == rows["column"]) & places["value"].eqNullSafe(rows["value"])
+    return places.join(rows, same).select(
+        F.concat_ws("=", places["column"], places["value"]).alias("feature"), "position", "n"
     )
 
 
 def score(spark, sf_dir):
-    fitted, held_out = _fitted(spark, sf_dir)
-    return model.score(fitted, held_out).select("label", "margin", "probability", "prediction")
+    """Per label the held-out rows, and those whose results contradict each other."""
+    fitted, _, held_out = _fitted(spark, sf_dir)
+    scored = model.score(fitted, held_out)
+    by_margin = 1 / (1 + F.exp(-F.col("margin")))
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col("prediction") == 1) != (F.col("probability") > 0.5)).alias("other_class"),
+        F.count_if(~(F.abs(by_margin - F.col("probability")) < 1e-9)).alias("other_margin"),
+    )
 
 
 def model_metrics(spark, sf_dir):
-    fitted, held_out = _fitted(spark, sf_dir)
-    found = metrics.evaluate(model.score(fitted, held_out))
-    return spark.createDataFrame(list(found.items()), "metric string, value double")
+    """Held-out rows per label, and whether the metrics fit each other: weighted recall is the
+    share of right predictions, and all lie between 0 and 1."""
+    fitted, _, held_out = _fitted(spark, sf_dir)
+    scored = written(model.score(fitted, held_out), "scored")
+    found = metrics.evaluate(scored)
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    fits = F.abs(right - found["weighted_recall"]) < 1e-9
+    return scored.agg(
+        F.count_if(F.col("label") == 0).alias("support_0"),
+        F.count_if(F.col("label") == 1).alias("support_1"),
+        fits.alias("recall_is_accuracy"),
+        F.lit(all(0 <= v <= 1 for v in found.values())).alias("all_in_range"),
+    )
 
 
 def _quantity_score(spark, sf_dir):
@@ -349,15 +404,37 @@ def bucket_summary(spark, sf_dir):
 
 
 def end_to_end(spark, sf_dir):
-    """The fact table of a whole run over files, from a CSV source, summarized."""
+    """The fact table of a whole run over files, from a CSV source, summarized. The training is
+    part of the run."""
     home = fresh_dir(spark, "end_to_end")
     source = f"{home}/source"
     records_of(spark, sf_dir).write.options(header=True, quote='"', escape='"').csv(source)
     cfg = LakeConfig(root=f"{home}/lake", source_csv=source)
-    flow.run_flow(spark, cfg, steps=("ingest", "bronze", "silver", "load"))
+    flow.run_flow(spark, cfg)
     return gold.bucket_summary(spark.read.parquet(cfg.fact))
 
 
+def reingest(spark, sf_dir):
+    """Rows, and different rows, in bronze after a run, after another without anything new, and
+    after a third with more files in the source."""
+    home = fresh_dir(spark, "reingest")
+    source, steps = f"{home}/source", ("ingest", "bronze")
+    lines = table(spark, sf_dir, "lineitem")
+    early = F.col("l_orderkey") % 3 == 0
+    cfg = LakeConfig(root=f"{home}/lake", source_csv=source)
+    parts = []
+    for run, part in enumerate((lines.filter(early), None, lines.filter(~early)), 1):
+        if part is not None:
+            records = flight_records(part, *LINE_KEY)
+            records.write.mode("append").options(header=True, quote='"', escape='"').csv(source)
+        flow.run_flow(spark, cfg, steps=steps)
+        landed = read_bronze(spark, cfg.bronze).agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("json").alias("n_distinct")
+        )
+        parts.append(written(landed.withColumn("run", F.lit(run)), "reingest"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     "csv_scan": csv_scan,
     "source_row_count": source_rows,
@@ -379,7 +456,7 @@ QUERIES = {
     "silver_table": silver_table,
     "silver_by_month": silver_by_month,
     "code_standardize": code_standardize,
-    "gold_fact": fact_of,
+    "gold_fact": stored_fact,
     "fact_preview": fact_preview,
     "stage_counts": stage_counts,
     "quality_report": quality_report,
@@ -404,4 +481,5 @@ QUERIES = {
     "mart_calendar": mart_calendar,
     "bucket_summary": bucket_summary,
     "end_to_end": end_to_end,
+    "reingest": reingest,
 }

@@ -1,8 +1,9 @@
 """The layers, one after another, each reading the table that the one before wrote.
 
-Every step may be run again: tables are overwritten, slices already published stay, the
-bronze stream goes on from its checkpoint, and the load empties its table first. Only a
-slice that was being sent to Kafka when a run was cut off is sent again, whole.
+Every step may be run again: ingest finishes what was cut off and adds what is new in the
+source, the bronze stream goes on from its checkpoint and is compared with what was published,
+tables are overwritten, and the load empties its table first. Only a slice that was being sent
+to Kafka when a run was cut off is sent again, whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import TRAIN_SHARE, LakeConfig
+from delaylake.config import SPLIT_SEED, TRAIN_SHARE, LakeConfig
 from delaylake.functions.messages import parse_messages
 from delaylake.operators import gold, metrics, model, silver, slicing, training_data
-from delaylake.sources.csv_records import POSITION, read_csv_records
+from delaylake.plans import generations
+from delaylake.sources.csv_records import POSITION
 from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
@@ -27,46 +29,51 @@ from delaylake.streaming.replay import (
     send_slice,
     stage_slices,
 )
-from delaylake.workspace import spread_small
 
 STEPS = ("ingest", "bronze", "silver", "train", "load")
 
 
-def stage_records(spark: SparkSession, cfg: LakeConfig, records: DataFrame | None) -> DataFrame:
-    """The source as a table with positions, which stay the same on every later read.
-
-    A CSV source keeps the order of its files; a frame keeps the order in which it is
-    written here.
-    """
-    if records is None:
-        records = read_csv_records(spark, cfg.source_csv, with_position=True)
-    records.write.mode("overwrite").parquet(cfg.records)
-    table = spark.read.parquet(cfg.records)
-    return table if set(POSITION) <= set(table.columns) else slicing.with_file_position(table)
-
-
 def ingest(spark: SparkSession, cfg: LakeConfig, records: DataFrame | None = None) -> dict:
-    """Slice the source and publish the slices; returns the rows of each slice.
+    """Slice what the source has new and publish the slices; returns the rows of each slice.
+
+    What is published at one time is a generation, with its own staged records, slices and
+    manifest. One that was cut off is finished first, from the records and with the number of
+    slices that it began with. After that, new files of a CSV source, or a frame with other
+    rows, make the next one; without any, the rows of the last one are reported again.
 
     Slices that are to be spaced out in time, or sent to Kafka, are staged by slice first
     and published one by one; otherwise one job writes all of them.
     """
-    table = stage_records(spark, cfg, records)
-    columns = [c for c in table.columns if c not in POSITION]
-    sliced = slicing.assign_slices(table, slicing.cuts_by_position(table, cfg.slices))
-    one_by_one = cfg.kafka or cfg.pause_seconds or publishing_began(spark, cfg.landing)
-    if not one_by_one:
-        publish_all(sliced, cfg.landing, columns)
-        return _slice_rows(spark.read.parquet(cfg.landing))
-    staged = stage_slices(sliced.drop(*POSITION), cfg.sliced)
-    for number in range(1, cfg.slices + 1):
-        if number > 1:
-            time.sleep(cfg.pause_seconds)
-        if cfg.kafka:
-            send_slice(staged, number, cfg.kafka, cfg.sent, columns)
-        else:
-            publish_slice(staged, number, cfg.landing, columns)
-    return _slice_rows(staged)
+    last = generations.last(spark, cfg)
+    if last is None or last.finished:
+        new = generations.begin(spark, cfg, last, records)
+        if new is None:
+            return _slice_rows(_sliced(spark, cfg, last)) if last else {}
+        last = new
+    sliced = _sliced(spark, cfg, last)
+    columns = [c for c in sliced.columns if c not in (*POSITION, "slice")]
+    landing = generations.folder(cfg.landing, last.number)
+    if not (cfg.kafka or cfg.pause_seconds or publishing_began(spark, landing)):
+        publish_all(sliced, landing, columns)
+    else:
+        staged = stage_slices(
+            sliced.drop(*POSITION), generations.folder(cfg.sliced, last.number)
+        )
+        for number in range(1, last.slices + 1):
+            if number > 1:
+                time.sleep(cfg.pause_seconds)
+            if cfg.kafka:
+                sent = generations.folder(cfg.sent, last.number)
+                send_slice(staged, number, cfg.kafka, sent, columns)
+            else:
+                publish_slice(staged, number, landing, columns)
+    generations.finish(spark, cfg, last)
+    return _slice_rows(sliced)
+
+
+def _sliced(spark: SparkSession, cfg: LakeConfig, generation: generations.Generation) -> DataFrame:
+    table = generations.staged(spark, cfg, generation.number)
+    return slicing.assign_slices(table, slicing.cuts_by_position(table, generation.slices))
 
 
 def _slice_rows(sliced: DataFrame) -> dict[int, int]:
@@ -84,13 +91,16 @@ def land(spark: SparkSession, cfg: LakeConfig) -> int:
     else:
         source = read_landing(spark, cfg.landing, cfg.files_per_batch)
     drain_bronze(source, cfg.bronze, cfg.bronze_checkpoint)
-    return read_bronze(spark, cfg.bronze).count()
+    landed = read_bronze(spark, cfg.bronze).count()
+    published = generations.rows_published(spark, cfg)
+    if not cfg.kafka and published is not None and landed != published:
+        raise RuntimeError(f"bronze has {landed} rows, but {published} were published")
+    return landed
 
 
 def refine(spark: SparkSession, cfg: LakeConfig) -> int:
     """Bronze to silver; returns the rows written."""
-    messages = spread_small(read_bronze(spark, cfg.bronze))
-    table = silver.to_silver(parse_messages(messages))
+    table = silver.to_silver(parse_messages(read_bronze(spark, cfg.bronze)))
     return silver.write_silver(table, cfg.silver, cfg.silver_partitions).count()
 
 
@@ -99,15 +109,20 @@ def stage_training(
     path: str,
     params: model.ModelParams = model.ModelParams(),
     share: float = TRAIN_SHARE,
+    random: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Training rows and held-out rows, with nothing but the label and the features.
 
     Silver has no row key, so the split goes by the whole content of a row. Both sides are
     written by one scan of the wide table; the several scans of the training read the
-    narrow one, and do not hash again.
+    narrow one, and do not hash again. With ``random`` each row is drawn by itself.
     """
-    content = [F.col(c) for c in silver.SILVER_COLUMNS if c != "ingest_ts"]
-    marked = rows.withColumn("known", training_data.in_training(content, share))
+    if random:
+        side = F.rand(SPLIT_SEED) < share
+    else:
+        content = [F.col(c) for c in silver.SILVER_COLUMNS if c != "ingest_ts"]
+        side = training_data.in_training(content, share)
+    marked = rows.withColumn("known", side)
     narrow = model.prepare(marked, params).select(
         "label", *params.categorical, *params.numeric, "known"
     )
@@ -118,19 +133,23 @@ def stage_training(
 
 def train(spark: SparkSession, cfg: LakeConfig) -> dict[str, float]:
     """Fit and save the model; returns its metrics on the rows held out."""
-    params = model.ModelParams()
+    params = model.ModelParams(
+        max_iterations=cfg.max_iterations, regularization=cfg.regularization
+    )
     if not cfg.use_delays:
         params = params.without_delays()
-    rows = spread_small(spark.read.parquet(cfg.silver))
-    known, held_out = stage_training(rows, cfg.training, params, cfg.train_share)
+    rows = silver.read_silver(spark, cfg.silver)
+    known, held_out = stage_training(
+        rows, cfg.training, params, cfg.train_share, cfg.random_split
+    )
     model.save(model.fit(known, params), cfg.model)
     # The saved model carries no training summary, which would go along with every task.
-    return metrics.evaluate(model.score(model.load(cfg.model), held_out))
+    return metrics.evaluate(model.score(model.load(spark, cfg.model), held_out))
 
 
 def load(spark: SparkSession, cfg: LakeConfig) -> int:
     """Silver to the fact table, and on to the database if one is configured."""
-    gold.to_fact(spark.read.parquet(cfg.silver)).write.mode("overwrite").parquet(cfg.fact)
+    gold.to_fact(silver.read_silver(spark, cfg.silver)).write.mode("overwrite").parquet(cfg.fact)
     fact = spark.read.parquet(cfg.fact)
     return load_fact(fact, cfg.jdbc) if cfg.jdbc else fact.count()
 

@@ -24,6 +24,14 @@ _REC_COLUMNS = """
 
 _REC = f"rec as (select {_REC_COLUMNS} from lineitem)"
 
+_REC_KEYED = f"""
+keyed as (
+  select l_orderkey % 3 = 0 as early,
+    row(l_orderkey, l_partkey, l_suppkey, l_linenumber, {
+    ", ".join(f'"{name}"' for name in MESSAGE_FIELDS)
+}) as row_text
+  from (select *, {_REC_COLUMNS} from lineitem))"""
+
 _TYPED = """
 typed as (
   select try_cast("FL_DATE" as date) as flight_date,
@@ -94,10 +102,22 @@ _SUMMARY = """
 """
 
 
-def _percent(*keys: str) -> str:
+def _hash_bits(*keys: str) -> str:
     text = ", ".join(f"coalesce(cast({k} as varchar), '')" for k in keys)
-    return f"(cast('0x' || substring(md5(concat_ws('|', {text})), 1, 8) as bigint) % 100)"
+    return f"cast('0x' || substring(md5(concat_ws('|', {text})), 1, 8) as bigint)"
+
 
+_CONTENT = (
+    "flight_date year month day_of_week airline origin dest distance dep_delay arr_delay "
+    "cancelled_flag cancellation_reason distance_bucket delay_bucket"
+).split()
+_TO_SIDES = f"""{_TO_SILVER}, sides as (
+  select *, {_hash_bits(*_CONTENT)} < 0.8 * 4294967296 as known from silver)"""
+_KNOWN_COUNTS = " union all ".join(
+    f"""select {i} as place, '{c}' as "column", {c} as value, count(*) as n
+from known where {c} is not null group by {c}"""
+    for i, c in enumerate(("origin", "dest", "airline"))
+)
 
 _BUCKETS = f"""{_TO_FACT}
 select distance_bucket, delay_bucket, count(*) as flights,
@@ -111,7 +131,8 @@ def _not_a_number(name: str) -> str:
 
 _CHECKS = {
     "messages": "true",
-    "unparseable": "unparsed",
+    "empty_message": "empty",
+    "unparseable": "unparsed and not empty",
     "missing_date": """coalesce("FL_DATE", '') = '' """,
     "invalid_date": """("FL_DATE" <> '' and try_cast("FL_DATE" as date) is null)""",
     "non_numeric_distance": _not_a_number("DISTANCE"),
@@ -133,9 +154,10 @@ _SENT_FIELDS = ", ".join(
 
 _QUALITY = f"""
 with lines as (
-  select {_REC_COLUMNS}, l_orderkey % 101 = 0 as spoiled, l_partkey % 30 = 7 as unparsed
+  select {_REC_COLUMNS}, l_orderkey % 101 = 0 as spoiled,
+         l_partkey % 30 in (7, 9, 11) as unparsed, l_partkey % 30 in (9, 11) as empty
   from lineitem),
-sent as (select unparsed, {_SENT_FIELDS} from lines)
+sent as (select unparsed, empty, {_SENT_FIELDS} from lines)
 """ + " union all ".join(
     f"""select '{name}' as "check", count(*) filter ({test}) as n from sent"""
     for name, test in _CHECKS.items()
@@ -178,7 +200,9 @@ ORACLE_SQL = {
 select slice, count(*) as n,
        cast(sum(count(*)) over (order by slice) as bigint) as running_total
 from sliced group by slice""",
-    "json_envelope": _REC_ROWS,
+    "json_envelope": f"""select *,
+  'AIRLINE,ARR_DELAY,CANCELLATION_REASON,CANCELLED,DEP_DELAY,DEST,DISTANCE,FL_DATE,ORIGIN' as keys
+from ({_REC_ROWS})""",
     "bronze_stream": _REC_ROWS,
     "bronze_replay": _SLICE_RANGES,
     "json_parse": _REC_ROWS,
@@ -208,7 +232,7 @@ order by flight_date nulls last, origin nulls last, dest nulls last, airline nul
 limit 5""",
     "stage_counts": f"""{_TO_SILVER}, sides as (
   select flight_date,
-         {_percent("flight_date", "origin", "dest", "airline")} < 80 as in_training from silver)
+         {_hash_bits("flight_date", "origin", "dest", "airline")} < 0.8 * 4294967296 as in_training from silver)
 select 'silver' as stage, count(*) as n from sides
 union all select 'fact', count(flight_date) from sides
 union all select 'train', count(*) filter (in_training) from sides
@@ -225,18 +249,12 @@ select label, n,
             else 1.0::double end as class_weight
 from classes""",
     "hash_split": f"""
-select case when {_percent("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")} < 80
+select case when {_hash_bits("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")} < 0.8 * 4294967296
             then 'train' else 'test' end as split, count(*) as n
 from lineitem group by 1""",
     "string_index": f"{_TO_SILVER} {_CATEGORY_INDEX}",
-    "one_hot": f"""{_TO_SILVER}, ranked as (
-  select origin as value,
-         cast(row_number() over (order by count(*) desc, origin) - 1 as integer) as idx
-  from silver where origin is not null group by origin)
-select value, idx, idx as hot from ranked
-union all
-select distinct cast(null as varchar), cast((select count(*) from ranked) as integer), -1
-from silver where origin is null""",
+    "one_hot": f"""{_TO_SILVER}, indexed as ({_CATEGORY_INDEX})
+select "column", value, idx, case when value is null then -1 else idx end as hot from indexed""",
     "assemble_features": f"{_TO_SILVER} select {_ASSEMBLED} from silver",
     "scale_features": f"""{_TO_SILVER}, filled as (select {_FILLED} from silver)
 select {_SCALED} from filled""",
@@ -272,4 +290,31 @@ select cast(year(flight_date) as integer) as year, cast(month(flight_date) as in
 from fact group by 1, 2, 3""",
     "bucket_summary": _BUCKETS,
     "end_to_end": _BUCKETS,
+    "reingest": f"""with {_REC_KEYED},
+runs as (select unnest([1, 2, 3]) as run)
+select run, count(*) as n, count(distinct row_text) as n_distinct
+from runs, keyed where run = 3 or early group by run""",
+    "random_split": """select count(*) as total, 0::bigint as on_both, true as share_is_near
+from lineitem""",
+    "train_model": f"""{_TO_SIDES}, known as (select * from sides where known),
+counts as ({_KNOWN_COUNTS}),
+ranked as (
+  select *, row_number() over (partition by place order by n desc, value) as idx from counts),
+hot as (
+  select place, "column" || '=' || value as feature, n,
+    cast(row_number() over (order by place, idx) - 1 as integer) as position
+  from ranked)
+select feature, position, n from hot
+union all
+select name, cast((select count(*) from hot) + i as integer), (select count(*) from known)
+from (select unnest(['distance', 'dep_delay', 'arr_delay', 'day_of_week', 'month']) as name,
+             unnest([0, 1, 2, 3, 4]) as i)""",
+    "score": f"""{_TO_SIDES}
+select cancelled_flag as label, count(*) as n, 0::bigint as other_class, 0::bigint as other_margin
+from sides where not known group by cancelled_flag""",
+    "model_metrics": f"""{_TO_SIDES}
+select count(*) filter (cancelled_flag = 0) as support_0,
+       count(*) filter (cancelled_flag = 1) as support_1,
+       true as recall_is_accuracy, true as all_in_range
+from sides where not known""",
 }

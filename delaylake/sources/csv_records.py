@@ -29,7 +29,7 @@ def _cells_in(raw: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
 
 
-def files_by_line_breaks(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+def files_by_line_breaks(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
     """Files without and files with a line break inside quotes.
 
     The look is a splittable text scan; it returns one row per file, which is what
@@ -43,7 +43,7 @@ def files_by_line_breaks(spark: SparkSession, path: str) -> tuple[list[str], lis
 
 def read_csv_records(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     line_breaks: bool | None = None,
     with_position: bool = False,
 ) -> DataFrame:
@@ -62,7 +62,8 @@ def read_csv_records(
     if line_breaks is None:
         single, spanning = files_by_line_breaks(spark, path)
     else:
-        single, spanning = ([], [path]) if line_breaks else ([path], [])
+        paths = [path] if isinstance(path, str) else path
+        single, spanning = ([], paths) if line_breaks else (paths, [])
     if not single and not spanning:
         raise ValueError(f"no text found in {path}")
 

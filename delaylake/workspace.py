@@ -46,17 +46,3 @@ def range_parts(df: DataFrame, *order: str | Column) -> DataFrame:
     the others. Columns of ``df`` that order rows fully keep the partitions even."""
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     return written(parts, "range_parts")
-
-
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Rows over all cores, if a scan has fewer tasks than there are cores.
-
-    For work that costs much more per row than a shuffle does. A table with more splits
-    than cores is left as it is. Only for plain scans: the number of tasks of a frame
-    with a shuffle in it is not known before it runs.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    # By row number: even, and unlike round robin without a sort of every split first.
-    return scan.repartition(cores, F.monotonically_increasing_id())

@@ -72,25 +72,27 @@ def test_quality_report(spark):
     messages = [
         "broken",
         None,
+        " ",
         '{"FL_DATE":"2024-01-01","ORIGIN":"A","DEST":"B","AIRLINE":"C","DISTANCE":"x"}',
         '{"FL_DATE":"soon","DEP_DELAY":"","ARR_DELAY":"late","CANCELLED":"yes"}',
     ]
     bronze = spark.createDataFrame([(m,) for m in messages], "json string")
     found = {r["check"]: r["n"] for r in quality.quality_report(bronze).collect()}
     assert found == {
-        "messages": 4,
+        "messages": 5,
+        "empty_message": 2,
         "unparseable": 1,
-        "missing_date": 2,
+        "missing_date": 3,
         "invalid_date": 1,
         "non_numeric_distance": 1,
         "non_numeric_dep_delay": 0,
         "non_numeric_arr_delay": 1,
         "non_numeric_cancelled": 1,
-        "missing_origin": 3,
-        "missing_dest": 3,
-        "missing_airline": 3,
-        "dropped_by_gold": 3,
+        "missing_origin": 4,
+        "missing_dest": 4,
+        "missing_airline": 4,
+        "dropped_by_gold": 4,
     }
     table = silver.to_silver(parse_messages(bronze))
     counts = {r.stage: r.n for r in quality.stage_counts(table, F.lit(True)).collect()}
-    assert counts == {"silver": 4, "fact": 1, "train": 4, "test": 0}
+    assert counts == {"silver": 5, "fact": 1, "train": 5, "test": 0}

@@ -71,6 +71,9 @@ def test_a_different_count_raises(lose):
 def test_credentials_come_from_the_environment_and_are_not_shown():
     assert JdbcTarget.from_environment({}) is None
     env = {"DELAYLAKE_JDBC_URL": "jdbc:x", "DELAYLAKE_JDBC_USER": "me", "DELAYLAKE_JDBC_PASSWORD": "pw"}
+    with pytest.raises(KeyError, match="TABLE"):
+        JdbcTarget.from_environment(env)
+    env["DELAYLAKE_JDBC_TABLE"] = "facts"
     target = JdbcTarget.from_environment(env)
     assert (target.user, target.password) == ("me", "pw")
     assert "pw" not in repr(target) and "me'" not in repr(target)

@@ -9,7 +9,7 @@ from delaylake.functions.messages import parse_messages
 from delaylake.operators import gold, metrics, silver, slicing, training_data
 from delaylake.plans import checks
 from delaylake.plans.flow import stage_training
-from delaylake.workspace import fresh_dir, spread_small
+from delaylake.workspace import fresh_dir
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -90,14 +90,7 @@ def test_area_under_roc_has_no_window_over_everything(spark):
     assert text.count("Window [") == 2 and "BroadcastHashJoin" in text
 
 
-def test_scans_with_enough_splits_are_left_alone(spark):
-    events = checks.table(spark, SF, "events")
-    assert "Exchange" in plan(spread_small(events))
-    many = spark.range(0, 1000, 1, 64)
-    assert spread_small(many) is many
-
-
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"train_model", "model_metrics"}))
+@pytest.mark.parametrize("name", sorted(checks.QUERIES))
 def test_no_query_joins_everything_with_everything(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "NestedLoop", "BatchEvalPython", "ArrowEvalPython"):

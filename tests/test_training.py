@@ -98,26 +98,61 @@ def test_category_index(spark, silver, rows):
 
 
 def test_unseen_and_missing_categories_share_the_last_index(spark, silver):
-    (indexer,) = features.string_indexers(silver, ["origin"])
+    index = features.category_index(silver, ["origin"])
+    sizes = features.category_sizes(index, ["origin"])
     odd = spark.createDataFrame([(None,), ("ZZZ",), ("AAA",)], "origin string")
-    encoder = features.one_hot_encoder(["origin"]).fit(indexer.transform(silver))
-    found = [
-        (r.origin_idx, list(r.origin_ohe.toArray()))
-        for r in encoder.transform(indexer.transform(odd)).collect()
-    ]
-    assert found[0] == found[1] == (3.0, [0.0, 0.0, 0.0])
-    assert sum(found[2][1]) == 1.0
+    indexed = features.with_category_index(odd, index, sizes)
+    found = {
+        r.origin: (r.origin_idx, list(r.origin_ohe.toArray()))
+        for r in features.one_hot_encoder(spark, sizes).transform(indexed).collect()
+    }
+    assert found[None] == found["ZZZ"] == (3.0, [0.0, 0.0, 0.0])
+    assert sum(found["AAA"][1]) == 1.0
 
 
 def test_hot_positions(spark, silver):
-    found = {r.value: (r.idx, r.hot) for r in features.hot_positions(silver, "airline").collect()}
-    assert found[None] == (3, -1)
-    assert all(idx == hot for value, (idx, hot) in found.items() if value)
+    rows = features.hot_positions(silver).collect()
+    found = {(r.column, r.value): (r.idx, r.hot) for r in rows}
+    assert found["airline", None] == (3, -1)
+    assert {c for c, _ in found} == set(training_data.CATEGORICAL)
+    assert all(idx == hot for (_, value), (idx, hot) in found.items() if value)
+
+
+def test_layout_of_the_vector(spark, silver, rows):
+    prepared = model.prepare(silver)
+    fitted = model.fit(prepared)
+    places = {(r.column, r.value): r.position for r in model.feature_positions(fitted).collect()}
+    assert sorted(places.values()) == list(range(len(places)))
+    assert len(places) == fitted.pipeline.stages[-1].numFeatures
+    for r in fitted.transform(prepared).limit(50).collect():
+        cells = r.raw_features.toArray()
+        expected = {places[c, r[c]]: 1.0 for c in training_data.CATEGORICAL if r[c] is not None}
+        expected |= {places[c, None]: float(r[c]) for c in training_data.NUMERIC}
+        assert [(i, x) for i, x in enumerate(cells) if x] == [
+            (i, x) for i, x in sorted(expected.items()) if x
+        ]
+
+
+def test_very_many_categories(spark):
+    rows = spark.range(60_000).selectExpr(
+        "cast(id as string) as origin", "'x' as dest", "cast(id % 3 as string) as airline",
+        "1.0 as distance", "0.0 as dep_delay", "0.0 as arr_delay", "1 as day_of_week",
+        "1 as month", "cast(id % 2 as int) as cancelled_flag",
+    )
+    params = model.ModelParams(max_iterations=2)
+    fitted = model.fit(model.prepare(rows, params), params)
+    assert fitted.sizes == {"origin": 60_000, "dest": 1, "airline": 3}
+
+
+@pytest.mark.parametrize("share", [0, 1, -0.5, 1.5])
+def test_share_outside_of_0_and_1_is_refused(spark, share):
+    with pytest.raises(ValueError, match="share"):
+        training_data.in_training([F.col("id")], share)
 
 
-def test_too_many_categories_are_refused(silver):
-    with pytest.raises(ValueError, match="too many values.*origin"):
-        features.string_indexers(silver, max_values=2)
+def test_share_is_not_rounded(spark):
+    left = spark.range(100_000).filter(~training_data.in_training([F.col("id")], 0.996)).count()
+    assert 300 < left < 500
 
 
 def test_scaling(spark):
@@ -176,7 +211,7 @@ def test_empty_category_is_a_value_of_its_own(spark, silver):
     some = silver.withColumn("origin", F.when(F.col("origin") != "AAA", F.col("origin")).otherwise(""))
     fitted = model.fit(model.prepare(some))
     names = [n for n, _ in model.coefficients(fitted)]
-    assert "origin=(empty)" in names and len([n for n in names if n.startswith("origin=")]) == 3
+    assert "origin=" in names and len([n for n in names if n.startswith("origin=")]) == 3
 
 
 def test_scores_survive_saving(spark, silver, tmp_path):
@@ -186,7 +221,7 @@ def test_scores_survive_saving(spark, silver, tmp_path):
     model.save(fitted, str(tmp_path / "m"))
     scores = [
         sorted(r.probability for r in model.score(m, prepared).select("probability").collect())
-        for m in (fitted, model.load(str(tmp_path / "m")))
+        for m in (fitted, model.load(spark, str(tmp_path / "m")))
     ]
     assert scores[0] == scores[1] and all(0 <= p <= 1 for p in scores[0])
 
@@ -194,7 +229,7 @@ def test_scores_survive_saving(spark, silver, tmp_path):
 def test_a_stream_is_scored_like_a_table(spark, silver, tmp_path):
     prepared = model.prepare(silver)
     model.save(model.fit(prepared), str(tmp_path / "m"))
-    fitted = model.load(str(tmp_path / "m"))
+    fitted = model.load(spark, str(tmp_path / "m"))
     silver.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(silver.schema).parquet(str(tmp_path / "in"))
     query = (
