@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,13 @@ def files_by_line_breaks(spark: SparkSession, path: str | list[str]) -> tuple[li
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     goes_on = F.col("value").contains('"') & F.col("value").rlike(_GOES_ON)
     found = lines.groupBy("file").agg(F.max(goes_on).alias("goes_on")).collect()
-    return [r.file for r in found if not r.goes_on], [r.file for r in found if r.goes_on]
+    files = {unquote(r["file"]): r["goes_on"] for r in found}
+    return [f for f, on in files.items() if not on], [f for f, on in files.items() if on]
+
+
+def as_named(path: str) -> str:
+    """The path of one file, with what would be a pattern in it escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def read_csv_records(
@@ -60,13 +68,16 @@ def read_csv_records(
     the records in the source; materialize them (write the frame) before use.
     """
     if line_breaks is None:
-        single, spanning = files_by_line_breaks(spark, path)
+        places = path if isinstance(path, str) else [as_named(f) for f in path]
+        single, spanning = files_by_line_breaks(spark, places)
     else:
         paths = [path] if isinstance(path, str) else path
         single, spanning = ([], paths) if line_breaks else (paths, [])
     if not single and not spanning:
         raise ValueError(f"no text found in {path}")
 
+    if line_breaks is None or not isinstance(path, str):
+        single, spanning = ([as_named(f) for f in files] for files in (single, spanning))
     header = spark.read.options(header=True, quote='"', escape='"', multiLine=bool(spanning))
     names = header.csv((single or spanning)[0]).columns
     schema = text_schema(names).add(_RAW, T.StringType())
@@ -81,6 +92,8 @@ def read_csv_records(
                 escape='"',
                 multiLine=multi_line,
                 columnNameOfCorruptRecord=_RAW,
+                # Else a short record is only noticed if all columns are asked for.
+                columnPruning=False,
             )
             .csv(files)
         )

@@ -100,3 +100,24 @@ def test_positions_follow_the_files(spark, tmp_path):
     assert stored.select("src_file", "src_block").distinct().count() > 5
     ordered = stored.orderBy("src_file", "src_block", "src_row").collect()
     assert [int(r.A) for r in ordered] == list(range(1000))
+
+
+@pytest.mark.parametrize("line_breaks", [None, True, False])
+def test_the_answer_does_not_depend_on_the_columns_asked_for(spark, tmp_path, line_breaks):
+    write(tmp_path / "a.csv", *LINES)
+    read = read_csv_records(spark, str(tmp_path), line_breaks=line_breaks)
+    for i, name in enumerate(HEADER):
+        alone = [r[0] for r in read.select(name).collect()]
+        same(alone, [r[i] for r in read.select(*HEADER).collect()])
+    assert source_row_count(read).first()[0] == len(read.collect())
+
+
+def test_names_with_spaces_and_brackets(spark, tmp_path):
+    home = tmp_path / "my dir"
+    home.mkdir()
+    for name in ("a[1].csv", "b c.csv", "d{x}*.csv", "e%20f.csv"):
+        write(home / name, *LINES, f"{name[0]},x,y,z", '8,"two\nlines",x,y' if name[0] == "b" else "9")
+    same(
+        rows_of(read_csv_records(spark, str(home))),
+        as_csv_module(*sorted(home.iterdir())),
+    )
