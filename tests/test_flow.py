@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from delaylake import workspace
 from delaylake.config import LakeConfig
 from delaylake.operators import model, silver
 from delaylake.plans import flow
@@ -135,6 +138,15 @@ def test_silver_columns_keep_their_order(spark, tmp_path):
     assert silver.read_silver(spark, cfg.silver).columns == list(silver.SILVER_COLUMNS)
 
 
+def test_scratch_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_dir", lambda _: str(tmp_path))
+    assert workspace.written(spark.range(3), "x").count() == 3
+    path = Path(workspace.scratch_dir(spark))
+    assert path.is_relative_to(tmp_path) and list(path.iterdir())
+    workspace.remove_scratch(spark)
+    assert not path.exists()
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
