@@ -2,6 +2,28 @@
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: All pairs of documents that share a shingle, and what can be reached by similar ones.
+OP1 = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+runs as (
+  select doc_id, unnest(case when len(w) < 5 then [w]
+    else list_transform(range(0, len(w) - 4), lambda i: w[i + 1:i + 5]) end) as s from docs),
+bags as (select doc_id, s, count(*) as n from runs group by doc_id, s),
+sizes as (select doc_id, sum(n) as total from bags group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as c
+  from bags a join bags b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 5 * c >= 4 * (x.total + y.total - c)),
+near as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from docs
+  union select r.doc_id, n.b from reach r join near n on r.other = n.a)
+select doc_id, min(other) as class_id, min(other) = doc_id as is_first from reach group by doc_id
+"""
+
 OP5 = r"""
 with given as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -168,9 +190,45 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from rated left join rejecting using (stratum)
 """
 
+#: All windows of all texts, in hexadecimal; texts are taken apart in pieces first.
+OP10 = """
+with docs as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h,
+    octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+pieces as (
+  select doc_id, c, substr(h, 2 * c + 1, 610) as piece, least(256, n - 49 - c) as k
+  from (select *, unnest(range(0, greatest(n - 49, 0), 256)) as c from docs)),
+windows as (
+  select doc_id, c + i as s, substr(piece, 2 * i + 1, 100) as w
+  from (select *, unnest(range(0, k)) as i from pieces)),
+firsts as (
+  select w, min(doc_id) as first from windows group by w having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, s from windows join firsts using (w) where doc_id > first),
+stepped as (
+  select *, coalesce(s > lag(s) over (partition by doc_id order by s) + 50, true) as new from gone),
+numbered as (
+  select *, sum(new::int) over (partition by doc_id order by s) as span from stepped),
+spans as (
+  select doc_id, min(s) as a, max(s) + 50 as b from numbered group by doc_id, span),
+kept as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from spans
+  union all
+  select doc_id, max(b), any_value(n) from spans join docs using (doc_id) group by doc_id),
+rest as (
+  select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as h
+  from kept join docs using (doc_id) group by doc_id),
+totals as (
+  select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans from spans group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(rest.h, docs.h))) as kept_sha256
+from docs left join totals using (doc_id) left join rest using (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op1_near_dedup": OP1,
     "op5_chat_formatting": OP5,
     "op6_mixing": OP6,
     "op7_top_k": OP7,
     "op8_quality_rules": OP8,
+    "op10_suffix_dedup": OP10,
 }

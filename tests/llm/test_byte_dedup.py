@@ -4,11 +4,14 @@ import random
 import numpy as np
 import pytest
 from cases import AWKWARD_TEXTS, documents, with_clashes
+from oracle_check import connect, differences
 
 from delaylake.llm import byte_dedup
 from delaylake.llm.byte_dedup import equal_windows, packed, unpacked, without_repeats
 from delaylake.llm.common import read
 from delaylake.llm.induced_sort import sort_suffixes
+from delaylake.llm.oracle import ORACLE_SQL
+from delaylake.llm.queries import op10_suffix_dedup
 
 
 def brute(docs):
@@ -140,5 +143,11 @@ def test_given_table(spark):
     assert own == expected
 
 
+def test_sql(spark):
+    found = op10_suffix_dedup(spark, "/root/testdata/sf0.001")
+    sql = ORACLE_SQL["op10_suffix_dedup"]
+    assert differences(found, connect("/root/testdata/sf0.001"), sql) == ""
+
+
 def test_empty_table(spark):
     assert without_repeats(documents(spark, ["x"]).where("false")).collect() == []

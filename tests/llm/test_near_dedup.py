@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import AWKWARD_TEXTS, documents, with_clashes
+from oracle_check import connect, differences
 
 from delaylake.llm import near_dedup
 from delaylake.llm.common import read
@@ -15,6 +16,7 @@ from delaylake.llm.near_dedup import (
     signatures,
     without_near_duplicates,
 )
+from delaylake.llm.oracle import ORACLE_SQL
 from delaylake.llm.word_hashes import chunks, shingles, words
 
 
@@ -154,6 +156,13 @@ def test_given_table(spark):
     check(spark, [r.text for r in rows])
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    found = find_near_duplicates(read(spark, f"/root/testdata/{sf}", "documents"))
+    sql = ORACLE_SQL["op1_near_dedup"]
+    assert differences(found, connect(f"/root/testdata/{sf}"), sql) == ""
+
+
 def test_documents_are_kept_whole(spark):
     docs = with_clashes(documents(spark, ["a b c d e f", None, "a b c d e f", "x"]), "_doc_x")
     kept = without_near_duplicates(docs)

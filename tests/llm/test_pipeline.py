@@ -1,0 +1,72 @@
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+from cases import documents
+from pyspark.sql import functions as F
+
+from delaylake.llm import mixing, near_dedup, packing, quality_rules, secret_scan
+from delaylake.llm.common import read
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows after each stage, written and read again as a run does it."""
+    home = tmp_path_factory.mktemp("stages")
+    docs, out = read(spark, SF, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(home / name))
+        docs = spark.read.parquet(str(home / name))
+        out.append(docs)
+    return out
+
+
+def ids(df):
+    return Counter(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_the_stages_in_order():
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "near_dedup", "secret_scan", "mixing", "packing"]
+
+
+def test_all_but_the_last_return_documents(spark, stages):
+    columns = read(spark, SF, "documents").columns
+    assert all(s.columns == columns for s in stages[:-1])
+
+
+def test_each_stage_does_what_its_operator_says(spark, stages):
+    given = read(spark, SF, "documents")
+    labels = read(spark, SF, "labels")
+    judged = quality_rules.judge(given, labels)
+    assert ids(stages[0]) == ids(judged.where("kept"))
+    classes = near_dedup.find_near_duplicates(stages[0])
+    assert ids(stages[1]) == ids(classes.where("is_first"))
+    assert ids(stages[2]) == ids(stages[1])
+    texts = {r.doc_id: r.text for r in stages[2].collect()}
+    for r in secret_scan.find_secrets(stages[1]).collect():
+        assert ("[SECRET]" in texts[r.doc_id]) == bool(r.spans)
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(stages[2]).collect() if r.size}
+    assert ids(stages[3]) == Counter({i: n for i, n in taken.items() if n})
+    tokens = stages[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"))
+    copies = ids(stages[3])
+    assert all(r.n == r.of * copies[r.doc_id] for r in tokens.collect())
+    assert set(copies) == set(ids(stages[4]))
+
+
+def test_a_run_gives_the_last_stage(spark, stages):
+    run = corpus_pipeline.run(spark, SF)
+    assert run.columns == packing.pack(stages[3], PATH, with_ids=False).columns
+    length = F.sum("length")
+    assert run.agg(length).first() == stages[4].agg(length).first()
+
+
+PATH = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_no_documents(spark):
+    docs = documents(spark, ["x"]).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
