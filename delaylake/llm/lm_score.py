@@ -10,8 +10,9 @@ Data flow: tasks number the words of a block of documents; one row for each bloc
 added up over the corpus and goes back to its block, so that what is shuffled are vocabularies
 and numbered documents, and no task holds more than a block. The model is started on at most
 ``SEED_DOCS`` training documents (the first ``SEED_TOKENS`` tokens of each); then every task goes on
-with every ``SHARE``-th training document of its own, and the mean of their weights is the model,
-so that what it learns from grows with the corpus.
+with every token of every ``SHARE``-th training document of its own, block by block, and the mean
+of the tasks' weights by their tokens is the model, so that what it learns from grows with the
+corpus.
 
 Words are told apart by 64-bit hashes of their bytes: among 10 million words the chance that any
 two are taken for one is 3e-6.
@@ -25,7 +26,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,8 @@ BLOCK_TOKENS = 3_000_000
 END_HASH = -1
 UNSEEN_SHARE = 0.5
 SEED_DOCS, SEED_TOKENS, SEED_STEPS = 400, 4096, 250
-SHARE, MORE_STEPS = 8, 40
+SHARE = 8
+LANES = 64
 MEAN_OF = 64
 
 
@@ -244,6 +246,23 @@ def with_numbers(numbered: DataFrame, counted: DataFrame, corpus: Corpus) -> Dat
     )
 
 
+def learn_all(model: rnn.Params, streams: Iterable[np.ndarray]) -> tuple[rnn.Params, int]:
+    """The model after every token of the texts, read in blocks of BLOCK_TOKENS or one text
+    more, and the number of tokens."""
+    own: list[np.ndarray] = []
+    pending = n = 0
+    for text in streams:
+        own.append(text)
+        pending += len(text)
+        if pending >= BLOCK_TOKENS:
+            model = rnn.train(model, np.concatenate(own), LANES, None, 0.004)
+            n, pending = n + pending, 0
+            own.clear()
+    if own:
+        model = rnn.train(model, np.concatenate(own), LANES, None, 0.004)
+    return model, n + pending
+
+
 def fit(docs: DataFrame, corpus: Corpus) -> rnn.Params:
     """Started on a bounded sample, then learned on in every task; the mean of all."""
     trained = docs.where("not held_out")
@@ -253,22 +272,17 @@ def fit(docs: DataFrame, corpus: Corpus) -> rnn.Params:
     if not sample:
         return model
     stream = np.concatenate([numbers(r.ids, "<u2")[:SEED_TOKENS] for r in sample])
-    model = rnn.train(model, stream, 64, SEED_STEPS, 0.02)
+    model = rnn.train(model, stream, LANES, SEED_STEPS, 0.02)
     start = rnn.pack(model)
     schema = "part long, n long, weights binary"
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, length = [], 0
-        for batch in batches:
-            own += [numbers(x, "<u2") for x in batch.column(0).to_pylist()]
-        if own:
-            stream = np.concatenate(own)
-            length = len(stream)
-            steps = min(MORE_STEPS, -(-length // (64 * rnn.WINDOW)))
-            weights = rnn.pack(rnn.train(rnn.unpack(start), stream, 64, steps, 0.004))
+        streams = (numbers(x, "<u2") for batch in batches for x in batch.column(0).to_pylist())
+        learned, n = learn_all(rnn.unpack(start), streams)
+        if n:
             part = TaskContext.get().partitionId()
-            yield to_batch({"part": [part], "n": [length], "weights": [weights]}, arrow)
+            yield to_batch({"part": [part], "n": [n], "weights": [rnn.pack(learned)]}, arrow)
 
     def mean(key: tuple, table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy().astype(np.float64)

@@ -58,9 +58,10 @@ def run_states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: list | None =
     """States after each step of a window (steps, lanes); an input of 0 starts a new text.
     ``keep`` gets what the backward pass needs."""
     out = np.empty((*inputs.shape, HIDDEN), dtype=np.float32)
+    read = p["input"][inputs]
     for t, x in enumerate(inputs):
         h = np.where((x == 0)[:, None], np.float32(0), h)
-        from_input, from_state = p["input"][x], h @ p["state"]
+        from_input, from_state = read[t], h @ p["state"]
         gates = sigmoid(from_input[:, : 2 * HIDDEN] + from_state[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         part = from_state[:, 2 * HIDDEN :]
@@ -72,9 +73,14 @@ def run_states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: list | None =
     return out, h
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of the probability of each row's chosen column; all columns' probabilities
+    before and the sum that they are divided by. ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    whole = x @ np.ones(x.shape[1], dtype=x.dtype)
+    return picked - np.log(whole), x, whole
 
 
 def log_probabilities(p: Params, h: np.ndarray, targets: np.ndarray, grads=None) -> np.ndarray:
@@ -82,10 +88,10 @@ def log_probabilities(p: Params, h: np.ndarray, targets: np.ndarray, grads=None)
     gradients of their negative sum, also that of the states under "h"."""
     classes = CLASS_OF[targets]
     rows = np.arange(len(targets))
-    logs = log_softmax(h @ p["classes"] + p["class_bias"])
-    out = logs[rows, classes].astype(np.float64)
+    logs, d, whole = softmax(h @ p["classes"] + p["class_bias"], classes)
+    out = logs.astype(np.float64)
     if grads is not None:
-        d = np.exp(logs)
+        d /= whole[:, None]
         d[rows, classes] -= 1
         grads["classes"], grads["class_bias"] = h.T @ d, d.sum(axis=0)
         grads["h"] = d @ p["classes"].T
@@ -98,13 +104,13 @@ def log_probabilities(p: Params, h: np.ndarray, targets: np.ndarray, grads=None)
         if not len(at):
             continue
         word = targets[at] - 1 - k * CLASS_WORDS
-        logs = log_softmax(h[at] @ p["words"][k] + p["word_bias"][k])
-        inner = np.arange(len(at))
-        out[at] += logs[inner, word]
+        own = h[at]
+        logs, d, whole = softmax(own @ p["words"][k] + p["word_bias"][k], word)
+        out[at] += logs
         if grads is not None:
-            d = np.exp(logs)
-            d[inner, word] -= 1
-            grads["words"][k], grads["word_bias"][k] = h[at].T @ d, d.sum(axis=0)
+            d /= whole[:, None]
+            d[np.arange(len(at)), word] -= 1
+            grads["words"][k], grads["word_bias"][k] = own.T @ d, d.sum(axis=0)
             grads["h"][at] += d @ p["words"][k].T
     return out
 
@@ -116,19 +122,27 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
     grads: Params = {}
     logs = log_probabilities(p, states.reshape(-1, HIDDEN), targets.ravel(), grads)
     d_states = grads.pop("h").reshape(states.shape)
-    grads["input"], grads["state"] = np.zeros_like(p["input"]), np.zeros_like(p["state"])
-    d_next = np.zeros_like(h)
+    x, before, z, r, part, new = (np.stack(k) for k in zip(*kept, strict=True))
+    # What a step's gradient is multiplied with, for all steps at once.
+    to_new, to_z = (1 - z) * (1 - new * new), (before - new) * z * (1 - z)
+    to_r, cut = part * r * (1 - r), (x != 0).astype(np.float32)[..., None]
+    d_input = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
+    d_state = np.empty_like(d_input)
+    d_next, back = np.zeros_like(h), np.ascontiguousarray(p["state"].T)
     for t in reversed(range(len(kept))):
-        x, before, z, r, part, new = kept[t]
         dh = d_states[t] + d_next
-        d_new = dh * (1 - z) * (1 - new * new)
-        d_z = dh * (before - new) * z * (1 - z)
-        d_r = d_new * part * r * (1 - r)
-        np.add.at(grads["input"], x, np.concatenate([d_z, d_r, d_new], axis=1))
-        d_state = np.concatenate([d_z, d_r, d_new * r], axis=1)
-        grads["state"] += before.T @ d_state
-        d_next = dh * z + d_state @ p["state"].T
-        d_next[x == 0] = 0
+        d_new = dh * to_new[t]
+        np.multiply(dh, to_z[t], out=d_state[t, :, :HIDDEN])
+        np.multiply(d_new, to_r[t], out=d_state[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(d_new, r[t], out=d_state[t, :, 2 * HIDDEN :])
+        d_input[t, :, 2 * HIDDEN :] = d_new
+        d_next = (dh * z[t] + d_state[t] @ back) * cut[t]
+    d_input[..., : 2 * HIDDEN] = d_state[..., : 2 * HIDDEN]
+    grads["state"] = before.reshape(-1, HIDDEN).T @ d_state.reshape(-1, 3 * HIDDEN)
+    order = np.argsort(x, axis=None, kind="stable")
+    read, first = np.unique(x.ravel()[order], return_index=True)
+    grads["input"] = np.zeros_like(p["input"])
+    grads["input"][read] = np.add.reduceat(d_input.reshape(-1, 3 * HIDDEN)[order], first)
     n = targets.size
     return {k: g / n for k, g in grads.items()}, last, -logs.sum() / n
 
@@ -149,23 +163,40 @@ class Adam:
             p[k] = (p[k] - self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
 
 
-def train(p: Params, stream: np.ndarray, lanes: int, steps: int, rate: float) -> Params:
-    """``steps`` windows over texts laid end to end; they are read again when they end."""
+def windows(sizes: list[int]) -> list[tuple[slice, int]]:
+    """Steps and lanes of each window over lanes of ``sizes`` tokens, which differ by one at
+    most, the longer ones first. Every token is in one window."""
+    longest, least = sizes[0], sizes[-1]
+    out = [(slice(at, min(at + WINDOW, least)), len(sizes)) for at in range(0, least, WINDOW)]
+    if longest > least:
+        out.append((slice(least, longest), sizes.index(least)))
+    return out
+
+
+def train(
+    p: Params, stream: np.ndarray, lanes: int, steps: int | None, rate: float
+) -> Params:
+    """``steps`` windows over texts laid end to end; they are read again when they end. Without
+    a number of steps, every token is read once."""
     p = {k: v.copy() for k, v in p.items()}
-    lanes = min(lanes, max(1, len(stream) // WINDOW))
-    length = len(stream) // lanes // WINDOW * WINDOW
-    if not length:
+    if not len(stream):
         return p
-    targets = stream[: lanes * length].reshape(lanes, length).T.astype(np.int64)
-    inputs = np.vstack([np.zeros((1, lanes), dtype=np.int64), targets[:-1]])
-    adam, h = Adam(p, rate), np.zeros((lanes, HIDDEN), dtype=np.float32)
+    laid = np.array_split(stream, min(lanes, max(1, len(stream) // WINDOW)))
+    targets = np.zeros((len(laid[0]), len(laid)), dtype=np.int64)
+    for lane, own in enumerate(laid):
+        targets[: len(own), lane] = own
+    inputs = np.vstack([np.zeros((1, len(laid)), dtype=np.int64), targets[:-1]])
+    all_windows = windows([len(own) for own in laid])
+    steps = len(all_windows) if steps is None else steps
+    adam, h = Adam(p, rate), np.zeros((len(laid), HIDDEN), dtype=np.float32)
     for step in range(steps):
-        at = step * WINDOW % length
-        if at == 0:
-            h[:] = 0
+        window, active = all_windows[step % len(all_windows)]
+        if window.start == 0:
+            h = np.zeros((len(laid), HIDDEN), dtype=np.float32)
         adam.rate = rate * (1 - step / steps) + 0.1 * rate
-        window = slice(at, at + WINDOW)
-        grads, h, _ = gradients(p, inputs[window], targets[window], h)
+        grads, h, _ = gradients(
+            p, inputs[window, :active], targets[window, :active], h[:active]
+        )
         adam.update(p, grads)
     return p
 

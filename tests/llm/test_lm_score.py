@@ -145,3 +145,24 @@ def test_weights_are_averaged_over_tasks(spark, monkeypatch):
     rows = lm_scores(documents(spark, texts).repartition(7)).collect()
     check_base(rows, list(enumerate(texts)))
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_every_token_is_learned_from_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    seen = np.zeros(rnn.TOKENS, dtype=np.int64)
+    gradients = rnn.gradients
+
+    def counting(p, inputs, targets, h):
+        np.add.at(seen, targets, 1)
+        return gradients(p, inputs, targets, h)
+
+    monkeypatch.setattr(rnn, "gradients", counting)
+    p, _ = small_model()
+    # More than the 40 windows of 64 lanes that a task once ended after, and a few odd sizes.
+    for sizes, block in (([60_000, 70_001], 3_000_000), ([5, 700, 33, 0, 4099], 1000), ([1], 50)):
+        monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+        texts = [rng.integers(0, rnn.TOKENS, n).astype("<u2") for n in sizes]
+        seen[:] = 0
+        _, n = lm_score.learn_all(p, iter(texts))
+        expected = np.bincount(np.concatenate(texts), minlength=rnn.TOKENS)
+        assert n == sum(sizes) and np.array_equal(seen, expected)
