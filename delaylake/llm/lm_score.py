@@ -10,9 +10,8 @@ Data flow: tasks number the words of a block of documents; one row for each bloc
 added up over the corpus and goes back to its block, so that what is shuffled are vocabularies
 and numbered documents, and no task holds more than a block. The model is started on at most
 ``SEED_DOCS`` training documents (the first ``SEED_TOKENS`` tokens of each); then every task goes on
-with every token of every ``SHARE``-th training document of its own, block by block, and the mean
-of the tasks' weights by their tokens is the model, so that what it learns from grows with the
-corpus.
+with every token of all training documents of its own, block by block, and the mean of the tasks'
+weights by their tokens is the model, so that what it learns from grows with the corpus.
 
 Words are told apart by 64-bit hashes of their bytes: among 10 million words the chance that any
 two are taken for one is 3e-6.
@@ -46,7 +45,8 @@ BLOCK_TOKENS = 3_000_000
 END_HASH = -1
 UNSEEN_SHARE = 0.5
 SEED_DOCS, SEED_TOKENS, SEED_STEPS = 400, 4096, 250
-SHARE = 8
+#: One in so many training documents is learned from: all of them.
+SHARE = 1
 LANES = 64
 MEAN_OF = 64
 

@@ -166,3 +166,22 @@ def test_every_token_is_learned_from_once(monkeypatch):
         _, n = lm_score.learn_all(p, iter(texts))
         expected = np.bincount(np.concatenate(texts), minlength=rnn.TOKENS)
         assert n == sum(sizes) and np.array_equal(seen, expected)
+
+
+def test_all_training_documents_are_learned_from(spark, monkeypatch):
+    learned = []
+
+    def noting(table, name):
+        out = kept(table, name)
+        if name == "models":
+            learned.append(sum(r.n for r in out.select("n").collect()))
+        return out
+
+    kept = lm_score.written
+    monkeypatch.setattr(lm_score, "written", noting)
+    docs = [(None, "a b")] * 5 + [(i, "some words here") for i in range(100)]
+    rows = lm_scores(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ).collect()
+    trained = sum(len(tokens(text)) for i, text in docs if not is_held(i))
+    assert learned[0] == trained == rows[0].train_tokens
