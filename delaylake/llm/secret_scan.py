@@ -4,16 +4,22 @@ Method: grammar inference. Fixed patterns find credentials whose format is known
 labelled examples. Their prefix tree's statistically compatible states are merged into one
 probabilistic automaton for each kind, and the same is done for ordinary long tokens. All other
 long tokens of all texts are candidates, scored by how much likelier a kind's automaton makes
-them than the ordinary one does. What scores above all but ``1 - QUANTILE`` of the ordinary
-tokens that were held out, and above ``LEAST_GAIN``, is reported as kind ``format``.
+them than the ordinary one does. Ordinary tokens hold credentials that no pattern knows: the
+ordinary automaton is learned again from what it makes clearly likelier than the kinds do, until
+that stays the same or for ``ROUNDS`` rounds. A kind's cut is taken from its labelled credentials:
+``PART`` of the gain that all but ``QUANTILE`` of those reach that were held out, and
+``LEAST_GAIN`` at least. What scores above it is reported as kind ``format``, however many
+candidates do.
 
 The automata are fitted on at most ``SAMPLE`` distinct examples of each kind, those with the
 smallest hash, and on the first ``LONGEST_EXAMPLE`` characters of each; everything is scanned
 and scored whole.
 
 Defined results: a null text is an empty one; spans are code points, the end exclusive; a kind
-with fewer than ``FEWEST`` examples is not learned; repeated rows are scanned alike; an empty
-table gives no rows; other columns are left alone.
+with fewer than ``FEWEST`` examples is not learned, and without any kind nothing is reported
+besides the base spans; with few ordinary tokens their automaton is close to one for which all
+characters are as likely; repeated rows are scanned alike; an empty table gives no rows; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -46,9 +52,11 @@ SAMPLE = 1500
 FEWEST = 20
 LONGEST_EXAMPLE = 64
 ALPHA = 0.05
-#: Ordinary tokens hold some credentials that no pattern knows, so not all lie below the cut.
-QUANTILE = 0.95
+#: A kind's cut is this part of the gain that all but ``QUANTILE`` of its labelled credentials
+#: reach that were held out: those of other formats gain less than they.
+QUANTILE, PART = 0.01, 0.5
 LEAST_GAIN = 10.0
+ROUNDS = 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -117,29 +125,46 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """Automata of the kinds and of ordinary tokens, with the gain that is enough."""
-
-    def __init__(self, examples: dict[int, list[str]], ordinary: list[str]):
-        fitted, held = ordinary[::2], ordinary[1::2]
-        self.kinds = [
-            Automaton(x[:LONGEST_EXAMPLE] for x in strings).merge_states(ALPHA)
-            for strings in examples.values()
-            if len(strings) >= FEWEST
-        ]
-        if len(held) < FEWEST:
-            self.kinds = []
-        self.ordinary = Automaton(x[:LONGEST_EXAMPLE] for x in fitted).merge_states(ALPHA)
-        self.enough = LEAST_GAIN
-        if self.kinds:
-            gains = sorted(map(self.gain, held))
-            self.enough = max(LEAST_GAIN, gains[min(int(QUANTILE * len(gains)), len(gains) - 1)])
-
-    def gain(self, token: str) -> float:
-        best = max(kind.log_likelihood(token) for kind in self.kinds)
-        return best - self.ordinary.log_likelihood(token)
+    """Automata of the kinds and of ordinary tokens, with the gain over these that is enough."""
+
+    def __init__(self, examples: dict[int, list[str]], unlabelled: list[str]):
+        labelled = [x for x in examples.values() if len(x) >= FEWEST]
+        self.kinds = [_learned(x) for x in labelled]
+        self.ordinary = Automaton()
+        self.cuts: list[float] = []
+        if not self.kinds:
+            return
+        best = [max(k.log_likelihood(x) for k in self.kinds) for x in unlabelled]
+        ordinary = unlabelled
+        for _ in range(ROUNDS):
+            self.ordinary = _learned(ordinary)
+            # What is not clearly likelier as an ordinary token may be a credential.
+            rest = [
+                x for x, likely in zip(unlabelled, best, strict=True)
+                if likely < self.ordinary.log_likelihood(x) - LEAST_GAIN
+            ]
+            if rest == ordinary:
+                break
+            ordinary = rest
+        for strings in labelled:
+            half = _learned(strings[::2])
+            gains = sorted(
+                half.log_likelihood(x) - self.ordinary.log_likelihood(x) for x in strings[1::2]
+            )
+            self.cuts.append(max(LEAST_GAIN, PART * gains[int(QUANTILE * len(gains))]))
 
     def is_secret(self, token: str) -> bool:
-        return bool(self.kinds) and self.gain(token) > self.enough
+        if not self.kinds:
+            return False
+        ordinary = self.ordinary.log_likelihood(token)
+        return any(
+            kind.log_likelihood(token) - ordinary > cut
+            for kind, cut in zip(self.kinds, self.cuts, strict=True)
+        )
+
+
+def _learned(strings: list[str]) -> Automaton:
+    return Automaton(x[:LONGEST_EXAMPLE] for x in strings).merge_states(ALPHA)
 
 
 def fit(scanned: DataFrame) -> Scorer:

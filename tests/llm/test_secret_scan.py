@@ -6,7 +6,7 @@ from cases import AWKWARD_TEXTS, documents, with_clashes
 
 from delaylake.llm.automata import Automaton
 from delaylake.llm.common import read
-from delaylake.llm.secret_scan import base_spans, find_secrets, redact
+from delaylake.llm.secret_scan import Scorer, base_spans, find_secrets, redact
 
 ASSIGN = re.compile(
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
@@ -125,3 +125,16 @@ def test_redact(spark):
 def test_empty_table(spark):
     docs = documents(spark, ["x"]).where("false")
     assert find_secrets(docs).collect() == [] and redact(docs).collect() == []
+
+
+@pytest.mark.parametrize("n_hidden,n_words", [(30, 600), (300, 600), (600, 300), (600, 10)])
+def test_credentials_are_found_however_many_they_are(n_hidden, n_words):
+    rng = random.Random(7)
+    labelled = [f"{random_access_key(rng)[4:]}q{i:04d}" for i in range(200)]
+    hidden = [f"{random_access_key(rng)[4:]}Q{i:04d}" for i in range(n_hidden)]
+    plain = sorted({random_word(rng) for _ in range(n_words)})
+    unlabelled = hidden + plain
+    rng.shuffle(unlabelled)
+    scorer = Scorer({0: labelled, 1: [], 2: []}, unlabelled)
+    assert sum(map(scorer.is_secret, hidden)) >= 0.95 * n_hidden
+    assert sum(map(scorer.is_secret, plain)) <= 0.01 * n_words
