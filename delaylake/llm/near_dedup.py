@@ -12,7 +12,7 @@ Registers are banded. Documents that share a band are candidates: texts with the
 one node; in rounds, each node is compared with the node of another class that is the centre of
 most of its bands, and what is similar becomes one class, until a round finds little. Then all
 nodes of one band that are still in different classes are compared, if their bags' sizes allow
-for the threshold and their registers agree as often as it makes likely (all but 2e-4). So the
+for the threshold and their registers agree as often as it makes likely (all but 2.8e-6). So the
 members of a large group of copies are compared with its centres and not with each other. Where
 a band still has many nodes of different classes, those outside of its largest class are laid out
 in tiles against all of the band: each tile is compared in one task and gives its links only. A
@@ -45,8 +45,8 @@ SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Registers that agree at least, of a pair at LEAST: 96 expected, less 3.7 deviations.
-AGREEING = 80
+#: Registers that agree at least, of a pair at LEAST: 96 expected, less 4.8 deviations.
+AGREEING = 75
 #: The rounds end when less than one pair in so many is similar, and bands with more pairs to
 #: compare than that are compared in tiles.
 FEW = 100

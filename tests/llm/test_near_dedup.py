@@ -198,3 +198,15 @@ def test_components(spark, seed):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == expected
     assert len(found) == len(expected)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_pair_at_the_threshold_whose_registers_agree_seldom(spark, monkeypatch, few):
+    # Exactly 0.8 alike, and 78 of the registers agree; left to what comes after the rounds.
+    rng = random.Random(645)
+    text = [str(rng.randrange(10**9)) for _ in range(184)]
+    other = [f"other{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(text)]
+    stars = near_dedup._stars
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "_stars", lambda *args: stars(*args).where("false"))
+    check(spark, [" ".join(text), " ".join(other)])
