@@ -2,8 +2,8 @@
 
 Method: grammar inference. Fixed patterns find credentials whose format is known; these are the
 labelled examples. Their prefix tree's statistically compatible states are merged into one
-probabilistic automaton for each kind, and the same is done for ordinary long tokens. All other
-long tokens of all texts are candidates, scored by how much likelier a kind's automaton makes
+probabilistic automaton for each kind, and the same is done for ordinary long tokens. All long
+tokens of all texts that the patterns do not cover whole are candidates, scored by how much likelier a kind's automaton makes
 them than the ordinary one does. Ordinary tokens hold credentials that no pattern knows: the
 ordinary automaton is learned again from what it makes clearly likelier than the kinds do, until
 that stays the same or for ``ROUNDS`` rounds. A kind's cut is taken from its labelled credentials:
@@ -80,13 +80,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
-    """Long tokens that no base span touches."""
+    """Long tokens that base spans do not cover whole."""
     out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
+        covered = max(m.start(), reach)
         while i < len(base) and base[i][0] < m.end():
+            if base[i][0] <= covered:
+                covered = max(covered, base[i][2])
             reach = max(reach, base[i][2])
             i += 1
-        if reach <= m.start():
+        if covered < m.end():
             out.append((m.start(), m.group()))
     return out
 

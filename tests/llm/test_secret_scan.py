@@ -6,7 +6,7 @@ from cases import AWKWARD_TEXTS, documents, with_clashes
 
 from delaylake.llm.automata import Automaton
 from delaylake.llm.common import read
-from delaylake.llm.secret_scan import Scorer, base_spans, find_secrets, redact
+from delaylake.llm.secret_scan import Scorer, base_spans, candidates, find_secrets, redact
 
 ASSIGN = re.compile(
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
@@ -138,3 +138,11 @@ def test_credentials_are_found_however_many_they_are(n_hidden, n_words):
     scorer = Scorer({0: labelled, 1: [], 2: []}, unlabelled)
     assert sum(map(scorer.is_secret, hidden)) >= 0.95 * n_hidden
     assert sum(map(scorer.is_secret, plain)) <= 0.01 * n_words
+
+
+def test_candidates_are_all_long_tokens_that_are_not_covered_whole():
+    run = "0123456789abcdef"
+    text = f"abcdefghijklmnop {run} KEY{run} {run}KEY token={run} xtoken={run}YY plain"
+    found = candidates(text, base_spans(text))
+    assert [t for _, t in found] == ["abcdefghijklmnop", f"KEY{run}", f"{run}KEY", f"xtoken={run}YY"]
+    assert all(text[s : s + len(t)] == t for s, t in found)
