@@ -224,6 +224,85 @@ select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spa
 from docs left join totals using (doc_id) left join rest using (doc_id)
 """
 
+#: A url up to its path, its query and its fragment.
+URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+#: Counts every combination of a labelled url's frequent tokens.
+OP13 = rf"""
+with parts as (
+  select page_id, url,
+    {", ".join(f"coalesce(regexp_extract(url, '{URL}', {i + 1}), '') as {n}" for i, n in enumerate(
+      ("scheme", "upper_host", "path", "query", "fragment")))}
+  from pages),
+hosts as (
+  select *, translate(upper_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    list_reverse(string_split(translate(
+      upper_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')) as l
+  from parts),
+shown as (
+  select page_id, url, host, path,
+    case when host = '' then [] else list_sort(list_distinct(list_concat(
+      ['scheme:' || regexp_replace(translate(
+        scheme, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')],
+      list_transform(list_filter(range(0, len(l)), lambda i: l[i + 1] <> ''),
+        lambda i: 'host:' || i || '.' || l[i + 1]),
+      list_transform(list_filter(
+        string_split(regexp_replace(path, '\.[^./]*\z', ''), '/'), lambda v: v <> ''),
+        lambda v: 'path:' || regexp_replace(v, '[0-9]+', '0', 'g')),
+      list_transform(list_filter(
+        [regexp_extract(string_split(path, '/')[-1], '\.([^.]*)\z', 1)], lambda v: v <> ''),
+        lambda v: 'type:' || regexp_replace(v, '[0-9]+', '0', 'g')),
+      list_transform(list_filter(list_transform(
+        string_split(query, '&'), lambda v: regexp_extract(v, '^[^=]*')), lambda v: v <> ''),
+        lambda v: 'query:' || regexp_replace(v, '[0-9]+', '0', 'g')),
+      case when fragment <> '' then ['#'] else [] end))) end as tokens
+  from hosts),
+bad as (
+  select doc_id, bool_or(quality = 0 or toxic = 1) as unwanted from labels
+  where doc_id is not null group by doc_id having unwanted is not null),
+labelled as (
+  select row_number() over () as n, tokens, unwanted from shown
+  join bad on doc_id = try_cast(
+    regexp_extract(path, '/([0-9]{{1,18}})(?:\.[^./]*)?/?\z', 1) as bigint)
+  where len(tokens) > 0),
+least as (select greatest(ceil(0.005::double * count(*)), 2) as least from labelled),
+frequent as (
+  select token from (select unnest(tokens) as token from labelled)
+  group by token having count(*) >= (select least from least)),
+kept as (
+  select n, unwanted, list(token order by token) as k
+  from (select n, unwanted, unnest(tokens) as token from labelled) join frequent using (token)
+  group by n, unwanted having count(*) <= 12),
+combinations as (
+  select unwanted, list_filter(k, lambda t, i: (mask >> (i - 1)) & 1 = 1) as tokens
+  from (select unwanted, k, unnest(range(1, 1 << len(k))) as mask from kept)),
+rules as (
+  select tokens from combinations group by tokens
+  having count(*) filter (where unwanted) >= (select least from least)
+    and count(*) filter (where unwanted) / count(*) >= 0.5),
+minimal as (
+  select tokens from rules a where not exists (
+    select 1 from rules b where len(b.tokens) < len(a.tokens) and list_has_all(a.tokens, b.tokens))),
+hits as (
+  select s.tokens, count(*) as n_mined, min(array_to_string(m.tokens, ' ')) as mined
+  from (select distinct tokens from shown) s join minimal m on list_has_all(s.tokens, m.tokens)
+  group by s.tokens),
+listed(place, verdict, rule) as (
+  values (1, 'allow', 'example.net/en/'), (2, 'block', 'example.com/de/'), (3, 'allow', 'org/fr/'),
+    (4, 'block', 'net/')),
+given as (
+  select host, path, min(place) as place
+  from (select distinct host, path from shown) join listed on
+    (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
+    and starts_with(path, substr(rule, strpos(rule, '/')))
+  group by host, path)
+select page_id, s.host, s.path, rule,
+  coalesce(verdict, case when n_mined is null then 'allow' else 'block' end) as verdict,
+  coalesce(n_mined, 0) as n_mined, mined
+from shown s left join given g on s.host = g.host and s.path = g.path
+left join listed using (place) left join hits on hits.tokens = s.tokens
+"""
+
 ORACLE_SQL = {
     "op1_near_dedup": OP1,
     "op5_chat_formatting": OP5,
@@ -231,4 +310,5 @@ ORACLE_SQL = {
     "op7_top_k": OP7,
     "op8_quality_rules": OP8,
     "op10_suffix_dedup": OP10,
+    "op13_url_filter": OP13,
 }

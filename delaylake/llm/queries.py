@@ -16,6 +16,7 @@ from delaylake.llm import (
     secret_scan,
     token_count,
     top_k,
+    url_filter,
 )
 from delaylake.llm.common import read
 from delaylake.llm.oracle import ORACLE_SQL
@@ -93,6 +94,12 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
+def op13_url_filter(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    labelled = url_filter.labelled_urls(pages, read(spark, sf_dir, "labels"))
+    return url_filter.judge_urls(pages, labelled)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
@@ -104,4 +111,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_url_filter": op13_url_filter,
 }
