@@ -224,6 +224,37 @@ select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spa
 from docs left join totals using (doc_id) left join rest using (doc_id)
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every document that shares a term with an item is scored.
+OP11 = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '{TERM}') as terms
+  from documents),
+sized as (select r, doc_id, len(terms)::bigint as n from docs where len(terms) > 0),
+totals as (select count(*) as n_docs, sum(n)::bigint as n_terms from sized),
+held as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from docs) group by r, term),
+asked as (
+  select distinct i, item_id, term from (
+    select row_number() over () as i, item_id,
+      unnest(regexp_extract_all({LOWER}, '{TERM}')) as term from benchmark)),
+weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w
+  from held, totals where term in (select term from asked) group by term, n_docs),
+adds as (
+  select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (
+    100 - 50 + (50 * n * n_docs) // n_terms))) as points
+  from held join weights using (term) join sized using (r), totals),
+scored as (
+  select i, item_id, r, doc_id, sum(points)::bigint as score
+  from asked join adds using (term) group by i, item_id, r, doc_id having sum(points) > 0)
+select item_id, cast(row_number() over (
+    partition by i order by score desc, doc_id asc nulls last) as integer) as rank, doc_id, score
+from scored qualify rank <= 50
+"""
+
 #: A url up to its path, its query and its fragment.
 URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -310,5 +341,6 @@ ORACLE_SQL = {
     "op7_top_k": OP7,
     "op8_quality_rules": OP8,
     "op10_suffix_dedup": OP10,
+    "op11_lexical_search": OP11,
     "op13_url_filter": OP13,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from delaylake.llm import (
     byte_dedup,
     chat_format,
+    lexical_search,
     lm_score,
     mixing,
     near_dedup,
@@ -94,6 +95,11 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
+def op11_lexical_search(spark, sf_dir):
+    documents, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return lexical_search.rank_documents(documents, items)
+
+
 def op13_url_filter(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     labelled = url_filter.labelled_urls(pages, read(spark, sf_dir, "labels"))
@@ -111,5 +117,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op13_url_filter": op13_url_filter,
 }
