@@ -15,6 +15,7 @@ from delaylake.llm import (
     packing,
     quality_rules,
     secret_scan,
+    token_alignment,
     token_count,
     top_k,
     url_filter,
@@ -100,6 +101,11 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search.rank_documents(documents, items)
 
 
+def op12_token_alignment(spark, sf_dir):
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(read(spark, sf_dir, "documents"), *paths)
+
+
 def op13_url_filter(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     labelled = url_filter.labelled_urls(pages, read(spark, sf_dir, "labels"))
@@ -118,5 +124,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
     "op13_url_filter": op13_url_filter,
 }
