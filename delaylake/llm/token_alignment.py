@@ -1,8 +1,8 @@
 """Aligning the tokens of two tokenizers.
 
-Method: intersection of cumulative ends. Both tokenizers cut the same bytes; a dictionary for each
-leads from the byte where a token ends to its number. The ends that both dictionaries hold, sorted,
-slice the two lists of ids into groups, and within a group every token of one side is linked to every
+Method: intersection of cumulative ends. Both tokenizers cut the same bytes; a dictionary leads from
+the byte where a token of one ends to its number, and is asked for the ends of the other in their
+order. The ends that both have, sorted thereby, slice the two lists of ids into groups, and within a group every token of one side is linked to every
 token of the other. How many documents hold a pair of ids linked is counted over all documents:
 each block of documents counts its own, the blocks' counts are summed, and a block gets back
 the counts of the pairs that it holds and of no others.
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import repeat
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,9 @@ from delaylake.workspace import written
 BLOCK_TOKENS = 1_000_000
 #: Links of a group from which on its different ids are linked in place of all of them.
 MANY_LINKS = 4096
+#: Texts that the faster of two libraries for the first vocabulary is not given: characters whose
+#: class it may see otherwise, and runs of white space that its pattern goes back over.
+CAREFUL = re.compile(r"[^\x00-\xff]|\s{200}")
 
 _ALIGNED = (
     "block long, is_doc boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
@@ -51,10 +56,11 @@ class Tokenizers:
     """Ids of both tokenizers, the bytes of each id, and its number as text."""
 
     def __init__(self, path_a: str, path_b: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
 
-        self.a = ByteBpe(path_a)
-        self.a.library.encode_special_tokens = True
+        self.careful = ByteBpe(path_a)
+        self.careful.library.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
@@ -65,46 +71,55 @@ class Tokenizers:
             if all(c in to_byte for c in token):
                 self.bytes_a[i] = bytes(to_byte[c] for c in token)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.length_a = list(map(len, self.bytes_a))
-        self.length_b = list(map(len, self.bytes_b))
-        self.name = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.length_a, self.length_b = (
+            np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b)
+        )
+        ranks = {token: i for i, token in enumerate(self.bytes_a) if token}
+        self.fast = tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        # What follows an id: another of its side, the other side, the next group.
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.name = [f"{i}{after}".encode() for after in ",|;" for i in range(self.most)]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """The ids of both, none where they do not give the text back."""
+    def encode_a(self, text: str) -> np.ndarray:
+        if CAREFUL.search(text):
+            return np.frombuffer(self.careful.encode(text), dtype="<u4").astype(np.int64)
+        return np.array(self.fast.encode_ordinary(text), dtype=np.int64)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both; None where they do not give the text back."""
         if not text:
-            return [], []
+            return None
         whole = b" " + text.encode()
-        a = np.frombuffer(self.a.encode(" " + text), dtype="<u4").tolist()
-        b = self.b.encode(text)
-        for ids, of in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join(map(of.__getitem__, ids)) != whole:
-                return [], []
-        return a, b
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        a, b = self.encode_a(" " + text), self.b.encode(text)
+        # A byte-level vocabulary has all bytes, so that its ids can only lack some at an end.
+        if self.length_a[a].sum() != len(whole) or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return None
+        return a, np.array(b, dtype=np.int64)
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of each side lie before the end of each group."""
-        end_a = dict(zip(accumulate(map(self.length_a.__getitem__, a)), range(1, len(a) + 1)))
-        end_b = dict(zip(accumulate(map(self.length_b.__getitem__, b)), range(1, len(b) + 1)))
-        common = sorted(end_a.keys() & end_b.keys())
-        return list(map(end_a.__getitem__, common)), list(map(end_b.__getitem__, common))
+        ends_a, ends_b = self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist()
+        index_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+        met = np.fromiter(map(index_b.get, ends_a, repeat(0)), np.int64, len(ends_a))
+        common = np.flatnonzero(met)
+        return common + 1, met[common]
 
-    def digest(self, a: list[int], b: list[int], to_a: list[int], to_b: list[int]) -> str:
+    def digest(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> str:
         """Of all groups, as text."""
-        left, right = list(map(self.name.__getitem__, a)), list(map(self.name.__getitem__, b))
-        if len(a) == len(to_a) == len(b):
-            groups = map("|".join, zip(left, right))
-        else:
-            groups = [
-                f"{left[i]}|{right[k]}"
-                if j - i == 1 == m - k
-                else f"{','.join(left[i:j])}|{','.join(right[k:m])}"
-                for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)
-            ]
-        return hashlib.sha256(";".join(groups).encode()).hexdigest()
+        in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        after_a, after_b = np.zeros_like(a), np.zeros_like(b)
+        after_a[to_a - 1], after_b[to_b - 1] = 1, 2
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(to_b - in_b, in_a)] = a + self.most * after_a
+        order[np.arange(len(b)) + np.repeat(to_a, in_b)] = b + self.most * after_b
+        named = b"".join(map(self.name.__getitem__, order.tolist()))
+        return hashlib.sha256(named[:-1]).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -169,12 +184,13 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, size_b: int, kind: str)
         for batch in batches:
             ids, texts = batch.columns
             for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
-                a, b = both.encode(text.as_py())
-                if not a:
+                ids_of_both = both.encode(text.as_py())
+                if ids_of_both is None:
                     rows.append((block, True, doc_id, 0, 0, 0, 0, "", b"", b""))
                 else:
+                    a, b = ids_of_both
                     to_a, to_b = both.groups(a, b)
-                    pairs, times = links(*map(np.array, (a, b, to_a, to_b)), size_b)
+                    pairs, times = links(a, b, to_a, to_b, size_b)
                     held.append(pairs)
                     rows.append(
                         (block, True, doc_id, len(a), len(b), len(to_a), int(times.sum()),

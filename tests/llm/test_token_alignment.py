@@ -126,7 +126,19 @@ def test_long_texts(spark, libraries):
     words = ["data", "tokenizers", "être", "don't", "42", "…", "    ", "\n"]
     long = " ".join(rng.choices(words, k=1_100_000))
     assert len(long) > 5_000_000
-    check(spark, libraries, [(0, long), (1, "data être"), (2, " " * 100_000), (3, "x" * 100_000)])
+    runs = [c * 100_000 for c in (" ", "x", "x ", "\n", "1", "!", "é\xa0")]
+    runs.append("\t" * 199 + "x")
+    check(spark, libraries, [(0, long), (1, "data être"), *enumerate(runs, 2)])
+
+
+def test_both_libraries_give_the_same_ids():
+    both = token_alignment.Tokenizers(*PATHS)
+    rng = random.Random(2)
+    letters = [chr(i) for i in range(256)] + [*"  \n'stmdlvre"] * 8
+    for n in range(3000):
+        text = "".join(rng.choices(letters, k=n % 80))
+        ids = np.frombuffer(both.careful.encode(text), dtype="<u4").tolist()
+        assert both.fast.encode_ordinary(text) == ids
 
 
 def test_given_documents(spark, libraries):
