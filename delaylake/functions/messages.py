@@ -41,17 +41,26 @@ def to_messages(
 
 
 def parse_messages(
-    bronze: DataFrame, keep_unparsed: bool = False, keep_message: bool = False
+    bronze: DataFrame,
+    keep_unparsed: bool = False,
+    keep_message: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """The message fields as text columns.
 
     No row is dropped: a message that is no JSON object becomes a row of NULLs.
     With ``keep_unparsed`` such a message is also kept whole in ``_unparsed``, and with
     ``keep_message`` every message in ``json``.
+
+    A later filter on a field is moved below the parse, and then parses every message itself.
+    With ``once`` it stays above; but then all fields are parsed, whichever are asked for.
     """
     schema, options = text_schema(MESSAGE_FIELDS), {}
     if keep_unparsed:
         schema = schema.add(UNPARSED, T.StringType())
         options = {"columnNameOfCorruptRecord": UNPARSED}
     also = ["json"] if keep_message else []
-    return bronze.select(*also, F.from_json("json", schema, options).alias("m")).select(*also, "m.*")
+    message = F.from_json("json", schema, options)
+    if once:
+        return bronze.select(*also, F.inline(F.array(message)))
+    return bronze.select(*also, message.alias("m")).select(*also, "m.*")

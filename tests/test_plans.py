@@ -56,6 +56,13 @@ def test_summaries_aggregate_before_their_shuffle(stored):
         assert text.count("Exchange") == 1 and text.count("partial_count") >= 1
 
 
+@pytest.mark.parametrize(
+    "name", ["mart_airline", "mart_route", "mart_calendar", "bucket_summary", "fact_preview"]
+)
+def test_summaries_parse_each_message_once(spark, name):
+    assert plan(contract.queries()[name](spark, SF)).count("from_json(") == 1
+
+
 def test_month_filter_prunes_folders(spark, stored):
     months = silver.write_silver(stored, fresh_dir(spark, "m"), ["year", "month"])
     text = plan(months.filter("year = 1996 and month = 2"))
