@@ -84,6 +84,23 @@ def csv_scan(spark, sf_dir):
     return _csv_copy(spark, sf_dir)
 
 
+def csv_split_scan(spark, sf_dir):
+    """Records with line breaks, marks and commas in quotes, over the ends of the files' splits."""
+    path = fresh_dir(spark, "csv_breaks")
+    number = F.col("l_linenumber")
+    text = (
+        F.when(number == 1, "first\nsecond, \"third\"")
+        .when(number == 2, F.concat(F.lit("\n\n"), F.repeat(F.lit("long, \"\n"), 20)))
+        .when(number == 3, "\"\"")
+        .otherwise(F.col("CANCELLATION_REASON"))
+    )
+    records = flight_records(lines_of(spark, sf_dir), "l_linenumber")
+    broken = records.withColumn("CANCELLATION_REASON", text).drop("l_linenumber")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    broken.write.options(header=True, quote='"', escape='"', **keep).csv(path)
+    return read_csv_records(spark, path)
+
+
 def source_rows(spark, sf_dir):
     return source_row_count(_csv_copy(spark, sf_dir))
 
@@ -445,6 +462,7 @@ def reingest(spark, sf_dir):
 
 QUERIES = {
     "csv_scan": csv_scan,
+    "csv_split_scan": csv_split_scan,
     "source_row_count": source_rows,
     "batch_slices": batch_slices,
     "file_slices": file_slices,

@@ -191,8 +191,21 @@ guessed as (
          case when l_quantity / 50 > 0.7 then 1 else 0 end as prediction
   from lineitem)"""
 
+_KEPT = ", ".join(
+    f"""coalesce("{name}", '') as "{name}\"""" for name in MESSAGE_FIELDS if name != "CANCELLATION_REASON"
+)
+_BROKEN = f"""
+with rec as (select l_linenumber, {_REC_COLUMNS} from lineitem)
+select {_KEPT},
+  case l_linenumber
+    when 1 then 'first' || chr(10) || 'second, "third"'
+    when 2 then chr(10) || chr(10) || repeat('long, "' || chr(10), 20)
+    when 3 then '""' else coalesce("CANCELLATION_REASON", '') end as "CANCELLATION_REASON"
+from rec"""
+
 ORACLE_SQL = {
     "csv_scan": _REC_TEXT,
+    "csv_split_scan": _BROKEN,
     "source_row_count": "select count(*) as n from lineitem",
     "batch_slices": _SLICE_RANGES,
     "file_slices": _SLICE_RANGES,

@@ -11,23 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from delaylake.functions.messages import text_schema
+from delaylake.sources.csv_split import GOES_ON, OPEN, split_records
 
 POSITION = ("src_file", "src_block", "src_row")
 _RAW, _CELLS = "_raw_record", "_cells"
 
 
-# A cell in quotes up to its closing mark. Marks inside it are doubled; possessive, so that a
-# doubled mark at the end of a line does not close the cell.
-_OPEN = r'"[^"]*+(?:""[^"]*+)*+'
-_CLOSED = _OPEN + '"'
-# Whole cells, and then one in quotes that goes on in the next line. A mark within a cell that
-# does not begin with one is plain text.
-_GOES_ON = rf'^(?:[^",][^,]*+,|{_CLOSED}[^,]*+,|,)*+{_OPEN}\z'
-
-
 def _cells_in(raw: Column) -> Column:
     """Number of cells in a record, commas inside quotes not counted."""
-    bare = F.regexp_replace(raw, f"(^|,){_CLOSED}", "$1")
+    bare = F.regexp_replace(raw, rf'(^|,){OPEN}(?:"|\z)', "$1")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
 
 
@@ -38,7 +30,7 @@ def files_by_line_breaks(spark: SparkSession, path: str | list[str]) -> tuple[li
     Spark's own file listing on the driver holds already.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    goes_on = F.col("value").contains('"') & F.col("value").rlike(_GOES_ON)
+    goes_on = F.col("value").contains('"') & F.col("value").rlike(GOES_ON)
     found = lines.groupBy("file").agg(F.max(goes_on).alias("goes_on")).collect()
     files = {unquote(r["file"]): r["goes_on"] for r in found}
     return [f for f, on in files.items() if not on], [f for f, on in files.items() if on]
@@ -58,11 +50,13 @@ def read_csv_records(
     """Records named by the header row.
 
     An empty cell is the empty string, a cell missing from a short record is NULL,
-    surplus cells are dropped, and records without any text are skipped.
+    surplus cells are dropped, and records without any text are skipped. A cell with text after
+    its closing mark is plain text, marks included.
 
-    Spark can split a file among tasks only if no record spans lines, so by default
-    (``line_breaks=None``) each file is looked at first, and only files that need it
-    are read whole by one task each. Say True or False to save that look.
+    Spark's reader can split a file among tasks only if no record spans lines, so by default
+    (``line_breaks=None``) each file is looked at first, and those with line breaks in quotes
+    are split by ``split_records``, which reads them twice more and shuffles their lines.
+    Say True or False to save that look. Breaks in quotes become line feeds.
 
     ``with_position`` adds file, split and row number columns that give the order of
     the records in the source; materialize them (write the frame) before use.
@@ -78,42 +72,57 @@ def read_csv_records(
 
     if line_breaks is None or not isinstance(path, str):
         single, spanning = ([as_named(f) for f in files] for files in (single, spanning))
-    header = spark.read.options(header=True, quote='"', escape='"', multiLine=bool(spanning))
-    names = header.csv((single or spanning)[0]).columns
+    options = {"quote": '"', "escape": '"'}
+    header = spark.read.options(**options, multiLine=bool(spanning))
+    names = header.csv((single or spanning)[0], header=True).columns
     schema = text_schema(names).add(_RAW, T.StringType())
 
-    def read(files: list[str], multi_line: bool) -> DataFrame:
+    def cells(rows: DataFrame, *position: str | Column) -> DataFrame:
+        # Spark reads an unquoted empty cell as NULL; only a record with fewer cells than
+        # the header (kept raw) really lacks some of them.
+        counted = rows.withColumn(
+            _CELLS, F.when(F.col(_RAW).isNull(), len(names)).otherwise(_cells_in(F.col(_RAW)))
+        )
+        found = [
+            F.coalesce(F.col(f"`{name}`"), F.when(F.col(_CELLS) > i, "")).alias(name)
+            for i, name in enumerate(names)
+        ]
+        return counted.select(*found, *(position if with_position else []))
+
+    def read_single() -> DataFrame:
         rows = (
             spark.read.schema(schema)
             .options(
+                **options,
                 header=True,
                 enforceSchema=False,
-                quote='"',
-                escape='"',
-                multiLine=multi_line,
                 columnNameOfCorruptRecord=_RAW,
                 # Else a short record is only noticed if all columns are asked for.
                 columnPruning=False,
             )
-            .csv(files)
+            .csv(single)
         )
-        # Spark reads an unquoted empty cell as NULL; only a record with fewer cells than
-        # the header (kept raw) really lacks some of them.
-        counted = rows.withColumn(
-            _CELLS, F.when(F.col(_RAW).isNull(), len(names)).otherwise(_cells_in(F.col(_RAW)))
-        )
-        cells = [
-            F.coalesce(F.col(f"`{name}`"), F.when(F.col(_CELLS) > i, "")).alias(name)
-            for i, name in enumerate(names)
-        ]
-        position = [
+        return cells(
+            rows,
             F.col("_metadata.file_path").alias("src_file"),
             F.col("_metadata.file_block_start").alias("src_block"),
             F.monotonically_increasing_id().alias("src_row"),
-        ]
-        return counted.select(*cells, *(position if with_position else []))
+        )
+
+    def read_spanning() -> DataFrame:
+        how = options | {"columnNameOfCorruptRecord": _RAW}
+        expected = header.csv(spanning[0], header=False).first()
+        fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.names)
+        parsed = F.from_csv("record", fields, how)
+        as_expected = [parsed[n].eqNullSafe(F.lit(v)) for n, v in zip(names, expected)]
+        refused = F.raise_error(F.concat(F.lit("another header in "), "src_file"))
+        kept = F.when(~F.col("is_header"), True).when(
+            ~reduce(Column.__and__, as_expected), refused.cast("boolean")
+        )
+        records = split_records(spark, spanning).where(kept)
+        return cells(records.select(*POSITION, F.inline(F.array(parsed))), *POSITION)
 
-    parts = [read(f, m) for f, m in ((single, False), (spanning, True)) if f]
+    parts = [read() for f, read in ((single, read_single), (spanning, read_spanning)) if f]
     return reduce(DataFrame.unionByName, parts)
 
 
