@@ -16,6 +16,7 @@ from delaylake.operators import (
     gold,
     metrics,
     model,
+    newton,
     quality,
     silver,
     slicing,
@@ -388,6 +389,36 @@ def model_metrics(spark, sf_dir):
     )
 
 
+NEWTON_FEATURES = ("distance", "day_of_week")
+
+
+def _newton(spark, sf_dir):
+    rows = newton.labelled_numbers(silver_of(spark, sf_dir), NEWTON_FEATURES)
+    stored = written(rows, "newton_rows")
+    return stored, newton.fit_newton(stored, NEWTON_FEATURES)
+
+
+def logistic_newton(spark, sf_dir):
+    """Coefficients on the features divided by their deviations, and the deviations."""
+    _, fitted = _newton(spark, sf_dir)
+    rows = [("intercept", fitted.intercept, None)]
+    rows += zip(fitted.features, fitted.coefficients, fitted.deviations, strict=True)
+    found = spark.createDataFrame(rows, "feature string, coefficient double, deviation double")
+    return found.select(
+        "feature", *[F.round(c, 6).alias(c) for c in ("coefficient", "deviation")]
+    )
+
+
+def logistic_scores(spark, sf_dir):
+    """The chance of a cancellation for every combination of features that occurs."""
+    rows, fitted = _newton(spark, sf_dir)
+    return (
+        rows.groupBy(*NEWTON_FEATURES)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("cancelled"))
+        .withColumn("probability", F.round(fitted.probability(), 6))
+    )
+
+
 def _quantity_score(spark, sf_dir):
     """A fixed score in place of a model: returned goods, guessed from the quantity."""
     chance = F.col("l_quantity") / 50
@@ -499,6 +530,8 @@ QUERIES = {
     "train_model": train_model,
     "score": score,
     "model_metrics": model_metrics,
+    "logistic_newton": logistic_newton,
+    "logistic_scores": logistic_scores,
     "metric_auc": metric_auc,
     "metric_confusion": metric_confusion,
     "metric_weighted": metric_weighted,

@@ -191,6 +191,55 @@ guessed as (
          case when l_quantity / 50 > 0.7 then 1 else 0 end as prediction
   from lineitem)"""
 
+
+
+def _newton_steps(steps: int, regularization: float) -> str:
+    """Newton's method for an intercept and two features; each step solves three equations."""
+    parts = ["c0 as (select 0::double as x, 0::double as y, 0::double as z)"]
+    for i in range(steps):
+        parts.append(f"""
+s{i} as (
+  select x, y, z, sum(w) as t,
+    sum(w * (label - p)) as g0, sum(w * (label - p) * a) as g1, sum(w * (label - p) * b) as g2,
+    sum(w * p * (1 - p)) as h00, sum(w * p * (1 - p) * a) as h01, sum(w * p * (1 - p) * b) as h02,
+    sum(w * p * (1 - p) * a * a) as h11, sum(w * p * (1 - p) * a * b) as h12,
+    sum(w * p * (1 - p) * b * b) as h22
+  from (select *, 1 / (1 + exp(-(x + y * a + z * b))) as p from grouped, c{i}) group by x, y, z),
+e{i} as (
+  select x, y, z, h00 / t as h00, h01 / t as h01, h02 / t as h02,
+    h11 / t + {regularization}::double as h11, h12 / t as h12,
+    h22 / t + {regularization}::double as h22, g0 / t as g0,
+    g1 / t - {regularization}::double * y as g1, g2 / t - {regularization}::double * z as g2
+  from s{i}),
+d{i} as (
+  select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02)
+    + h02 * (h01 * h12 - h11 * h02) as det from e{i}),
+c{i + 1} as (
+  select
+    x + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2)
+      + h02 * (g1 * h12 - h11 * g2)) / det as x,
+    y + (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02)
+      + h02 * (h01 * g2 - g1 * h02)) / det as y,
+    z + (h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - g1 * h02)
+      + g0 * (h01 * h12 - h11 * h02)) / det as z
+  from d{i})""")
+    return ",".join(parts)
+
+
+_NEWTON = f"""
+{_TO_SILVER},
+numbers as (
+  select cancelled_flag as label, coalesce(distance, 0)::double as distance,
+    coalesce(day_of_week, 0) as day_of_week from silver),
+spread as (
+  select stddev_samp(distance) as da, stddev_samp(day_of_week) as db,
+    count(*) filter (where label = 0) / count(*) filter (where label = 1) as ratio from numbers),
+grouped as (
+  select label, distance / da as a, day_of_week / db as b,
+    sum(case when label = 1 then ratio else 1 end) as w
+  from numbers, spread group by label, distance, day_of_week, da, db),
+{_newton_steps(8, 0.01)}"""
+
 _KEPT = ", ".join(
     f"""coalesce("{name}", '') as "{name}\"""" for name in MESSAGE_FIELDS if name != "CANCELLATION_REASON"
 )
@@ -271,6 +320,15 @@ select "column", value, idx, case when value is null then -1 else idx end as hot
     "assemble_features": f"{_TO_SILVER} select {_ASSEMBLED} from silver",
     "scale_features": f"""{_TO_SILVER}, filled as (select {_FILLED} from silver)
 select {_SCALED} from filled""",
+    "logistic_newton": f"""{_NEWTON}
+select 'intercept' as feature, round(x, 6) as coefficient, null::double as deviation from c8
+union all select 'distance', round(y, 6), round(da, 6) from c8, spread
+union all select 'day_of_week', round(z, 6), round(db, 6) from c8, spread""",
+    "logistic_scores": f"""{_NEWTON}
+select distance, day_of_week, count(*) as n, sum(label)::bigint as cancelled,
+  round(1 / (1 + exp(-(any_value(x) + any_value(y) * distance / any_value(da)
+    + any_value(z) * day_of_week / any_value(db)))), 6) as probability
+from numbers, c8, spread group by distance, day_of_week""",
     "metric_auc": f"""with {_GUESSED}, per_score as (
   select score, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg
   from guessed group by score),
