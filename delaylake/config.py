@@ -19,6 +19,9 @@ REGULARIZATION = 0.01
 #: Files that a micro-batch takes at most, and so what is landed again after a failure.
 FILES_PER_BATCH = 1000
 
+#: How long after its first sending a message may come again and is still known.
+ONCE_WITHIN = "7 days"
+
 
 @dataclass(frozen=True)
 class KafkaTopic:
@@ -77,6 +80,7 @@ class LakeConfig:
     max_iterations: int = MAX_ITERATIONS
     regularization: float = REGULARIZATION
     line_breaks: bool | None = None
+    once_within: str | None = ONCE_WITHIN
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import SLICES, TRAIN_SHARE, LakeConfig
+from delaylake.config import ONCE_WITHIN, SLICES, TRAIN_SHARE, LakeConfig
 from delaylake.functions import rules
 from delaylake.functions.messages import MESSAGE_FIELDS, parse_messages, to_messages
 from delaylake.operators import (
@@ -25,8 +25,13 @@ from delaylake.operators import (
 from delaylake.plans import flow
 from delaylake.sources.csv_records import read_csv_records, source_row_count
 from delaylake.sources.lineitem_records import flight_records, table
-from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
-from delaylake.streaming.replay import replay, stage_slices
+from delaylake.streaming.bronze import (
+    drain_bronze,
+    read_bronze,
+    read_keyed_landing,
+    read_landing,
+)
+from delaylake.streaming.replay import message_key, replay, stage_slices
 from delaylake.workspace import fresh_dir, written
 
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -172,6 +177,35 @@ def bronze_replay(spark, sf_dir):
     return _slice_ranges(landed.select(number.alias("slice"), event.alias("event_id")))
 
 
+def bronze_exactly_once(spark, sf_dir):
+    """Rows per slice in bronze, after one slice was sent again to a stream that was stopped in
+    between, and another one twice at once."""
+    home = fresh_dir(spark, "exactly_once")
+    sliced = _sliced_events(spark, sf_dir).withColumn("key", message_key(1, "event_id"))
+    columns = [c for c in sliced.columns if c not in ("slice", "key")]
+    staged = stage_slices(sliced, f"{home}/sliced")
+
+    def send(rows):
+        messages = to_messages(rows, columns, "key").withColumn("timestamp", F.current_timestamp())
+        messages.write.mode("append").parquet(f"{home}/landing")
+
+    def land():
+        source = read_keyed_landing(spark, f"{home}/landing")
+        drain_bronze(
+            source, f"{home}/bronze", f"{home}/checkpoint", keep=["key"], once_within=ONCE_WITHIN
+        )
+
+    send(staged)
+    send(staged.filter(F.col("slice") == 2))
+    land()
+    send(staged.filter(F.col("slice") == 4))
+    land()
+    number = F.split("key", "/")[1].cast("int")
+    event = F.get_json_object("json", "$.event_id").cast("bigint")
+    landed = read_bronze(spark, f"{home}/bronze")
+    return _slice_ranges(landed.select(number.alias("slice"), event.alias("event_id")))
+
+
 def event_json_parse(spark, sf_dir):
     parsed = F.from_json("props", "k string")
     return table(spark, sf_dir, "events").select(
@@ -501,6 +535,7 @@ QUERIES = {
     "json_envelope": json_envelope,
     "bronze_stream": bronze_stream,
     "bronze_replay": bronze_replay,
+    "bronze_exactly_once": bronze_exactly_once,
     "json_parse": parsed_of,
     "event_json_parse": event_json_parse,
     "date_parts": date_parts,

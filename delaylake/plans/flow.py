@@ -2,8 +2,8 @@
 
 Every step may be run again: ingest finishes what was cut off and adds what is new in the
 source, the bronze stream goes on from its checkpoint and is compared with what was published,
-tables are overwritten, and the load empties its table first. Only a slice that was being sent
-to Kafka when a run was cut off is sent again, whole.
+tables are overwritten, and the load empties its table first. A slice that was being sent to Kafka
+when a run was cut off is sent again, whole, and landed once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
 from delaylake.streaming.replay import (
+    message_key,
     publish_all,
     publish_slice,
     publishing_began,
@@ -56,8 +57,9 @@ def ingest(spark: SparkSession, cfg: LakeConfig, records: DataFrame | None = Non
     if not (cfg.kafka or cfg.pause_seconds or publishing_began(spark, landing)):
         publish_all(sliced, landing, columns)
     else:
+        keyed = sliced.withColumn("key", message_key(last.number, *POSITION))
         staged = stage_slices(
-            sliced.drop(*POSITION), generations.folder(cfg.sliced, last.number)
+            keyed.drop(*POSITION), generations.folder(cfg.sliced, last.number)
         )
         for number in range(1, last.slices + 1):
             if number > 1:
@@ -84,13 +86,14 @@ def land(spark: SparkSession, cfg: LakeConfig) -> int:
     """Land the published messages; returns the rows of the bronze table.
 
     ``files_per_batch``, or the topic's own limit, bounds a micro-batch, and so what has to
-    be landed again after a failure.
+    be landed again after a failure. Messages that were sent to Kafka again are landed once.
     """
     if cfg.kafka:
-        source = read_kafka(spark, cfg.kafka)
+        source, within = read_kafka(spark, cfg.kafka), cfg.once_within
     else:
-        source = read_landing(spark, cfg.landing, cfg.files_per_batch)
-    drain_bronze(source, cfg.bronze, cfg.bronze_checkpoint)
+        # Files that were published once are landed once by the stream itself.
+        source, within = read_landing(spark, cfg.landing, cfg.files_per_batch), None
+    drain_bronze(source, cfg.bronze, cfg.bronze_checkpoint, once_within=within)
     landed = read_bronze(spark, cfg.bronze).count()
     published = generations.rows_published(spark, cfg)
     if not cfg.kafka and published is not None and landed != published:

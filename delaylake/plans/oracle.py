@@ -267,6 +267,7 @@ from sliced group by slice""",
 from ({_REC_ROWS})""",
     "bronze_stream": _REC_ROWS,
     "bronze_replay": _SLICE_RANGES,
+    "bronze_exactly_once": _SLICE_RANGES,
     "json_parse": _REC_ROWS,
     "event_json_parse": "select event_id, cast(props->>'k' as integer) as k from events",
     "date_parts": f"{_TO_SILVER} select flight_date, year, month, day_of_week from silver",

@@ -7,6 +7,7 @@ or contacts a broker before a query runs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from delaylake.config import KafkaTopic
 
@@ -31,10 +32,15 @@ def sink_options(topic: KafkaTopic) -> dict[str, str]:
 
 
 def read_kafka(spark: SparkSession, topic: KafkaTopic) -> DataFrame:
-    """Unbounded frame of messages with the payload in ``value``."""
-    return spark.readStream.format("kafka").options(**source_options(topic)).load()
+    """Unbounded frame of messages with the payload in ``value``. A message that was sent without
+    a ``key`` has its place in the topic as one, so that no two share it."""
+    messages = spark.readStream.format("kafka").options(**source_options(topic)).load()
+    place = F.concat_ws(":", "topic", "partition", "offset")
+    return messages.withColumn("key", F.coalesce(F.col("key").cast("string"), place))
 
 
 def write_kafka(messages: DataFrame, topic: KafkaTopic) -> None:
-    """Send the ``value`` of every row, without a key; returns when all are acknowledged."""
-    messages.select("value").write.format("kafka").options(**sink_options(topic)).save()
+    """Send the ``key``, if there is one, and ``value`` of every row; returns when all are
+    acknowledged."""
+    sent = [c for c in ("key", "value") if c in messages.columns]
+    messages.select(*sent).write.format("kafka").options(**sink_options(topic)).save()

@@ -24,15 +24,37 @@ def read_landing(
     return reader.parquet(path).select("value", F.col("_metadata.file_path").alias("src_path"))
 
 
+def read_keyed_landing(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_landing``, of messages with a ``key`` and the ``timestamp`` of their sending."""
+    schema = "value string, key string, timestamp timestamp"
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    return reader.parquet(path).select("value", "key", "timestamp")
+
+
+def first_of_each_key(messages: DataFrame, within: str) -> DataFrame:
+    """Of the messages with one ``key`` the first that arrives.
+
+    What is sent again up to ``within`` (such as '1 day') after the first time, by the messages'
+    own ``timestamp``, is left out, also after a restart. Keys older than that are forgotten, which
+    bounds the state; a message that comes so late that newer ones have passed it by more
+    than ``within`` is left out too, so choose it well above any delay of a slice.
+    """
+    return messages.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["key"])
+
+
 def start_bronze(
     messages: DataFrame,
     path: str,
     checkpoint: str,
     keep: Iterable[str] = (),
     seconds: float | None = None,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Append the text of every message, once, to Parquet.
 
+    The stream itself lands what it is given once; with ``once_within`` a message that was sent
+    several times under the same ``key`` is landed once too (see ``first_of_each_key``).
+
     The table has the one column ``json``, and columns named in ``keep`` (such as topic,
     partition, offset, timestamp) to tell where a message came from. By default the query
     takes what is there and ends; ``seconds`` makes it run on, one micro-batch per period.
@@ -41,6 +63,8 @@ def start_bronze(
         trigger = {"availableNow": True}
     else:
         trigger = {"processingTime": f"{seconds} seconds"}
+    if once_within:
+        messages = first_of_each_key(messages, once_within)
     return (
         messages.select(F.col("value").cast("string").alias("json"), *keep)
         .writeStream.format("parquet")

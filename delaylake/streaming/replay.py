@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +15,12 @@ from delaylake.sources.kafka import write_kafka
 from delaylake.streaming.bronze import drain_bronze, read_landing
 
 
+def message_key(generation: int, *place: str) -> Column:
+    """What tells a message from all others, and is the same when it is sent again: the
+    generation, the slice, and the columns that say which row of the source it is."""
+    return F.concat_ws("/", F.lit(generation), "slice", *place)
+
+
 def stage_slices(sliced: DataFrame, path: str) -> DataFrame:
     """Write the rows by slice, so that each slice can be read on its own.
 
@@ -63,13 +69,14 @@ def send_slice(
     """Send one slice to Kafka, unless a marker below ``sent`` says that all of it was.
 
     The marker is written when every message is acknowledged. A run that is cut off in a
-    slice sends that slice, and none before it, again.
+    slice sends that slice, and none before it, again; by their ``key`` (see ``message_key``)
+    its messages are known as the same.
     """
     marker = f"{sent}/slice={number}"
     if _published(staged.sparkSession, marker):
         return False
     rows = staged.filter(F.col("slice") == number)
-    write_kafka(to_messages(rows, columns), topic)
+    write_kafka(to_messages(rows, columns, *(["key"] if "key" in rows.columns else [])), topic)
     rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(marker)
     return True
 

@@ -1,4 +1,5 @@
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,54 @@ def test_kafka_options():
         "topic": "records",
         "kafka.linger.ms": "50",
     }
+
+
+def keyed(spark, keys, at, path):
+    rows = [(f"message {k}", k, at) for k in keys]
+    frame = spark.createDataFrame(rows, "value string, key string, timestamp timestamp")
+    frame.coalesce(1).write.mode("append").parquet(path)
+
+
+def landed_keys(spark, places):
+    source = bronze.read_keyed_landing(spark, places[0])
+    bronze.drain_bronze(source, places[1], places[2], keep=["key"], once_within="2 hours")
+    return sorted(r.key for r in bronze.read_bronze(spark, places[1]).collect())
+
+
+def test_a_message_sent_again_is_landed_once(spark, tmp_path):
+    places = [str(tmp_path / d) for d in ("in", "out", "ck")]
+    start = datetime(2024, 1, 1)
+    keyed(spark, ["a", "b", "a"], start, places[0])
+    assert landed_keys(spark, places) == ["a", "b"]
+    # After a restart, with new ones beside it.
+    keyed(spark, ["b", "c"], start + timedelta(hours=1), places[0])
+    assert landed_keys(spark, places) == ["a", "b", "c"]
+    assert landed_keys(spark, places) == ["a", "b", "c"]
+
+
+def test_keys_are_forgotten_so_that_the_state_stays_bounded(spark, tmp_path):
+    places = [str(tmp_path / d) for d in ("in", "out", "ck")]
+    start, kept = datetime(2024, 1, 1), []
+    for day in range(4):
+        keyed(spark, [f"{day}-{i}" for i in range(50)], start + timedelta(days=day), places[0])
+        source = bronze.read_keyed_landing(spark, places[0])
+        query = bronze.drain_bronze(
+            source, places[1], places[2], keep=["key"], once_within="2 hours"
+        )
+        progress = query.lastProgress
+        kept.append(sum(op["numRowsTotal"] for op in progress["stateOperators"]))
+    assert bronze.read_bronze(spark, places[1]).count() == 200
+    assert max(kept) <= 100
+
+
+def test_messages_sent_to_kafka_have_their_key(spark, tmp_path, monkeypatch):
+    rows = spark.range(6).withColumn("slice", F.lit(1))
+    staged = rows.withColumn("key", replaying.message_key(3, "id"))
+    got = []
+    monkeypatch.setattr(
+        replaying, "write_kafka", lambda m, _: got.append({r.key: r.value for r in m.collect()})
+    )
+    for folder in ("sent", "sent again"):
+        topic = KafkaTopic("broker:9092", "records")
+        replaying.send_slice(staged, 1, topic, str(tmp_path / folder), ["id"])
+    assert got[0] == got[1] == {f"3/1/{i}": f'{{"id":{i}}}' for i in range(6)}
