@@ -81,6 +81,8 @@ class LakeConfig:
     regularization: float = REGULARIZATION
     line_breaks: bool | None = None
     once_within: str | None = ONCE_WITHIN
+    #: Silver takes only what is new in bronze, in parts by batch, and keeps states of summaries.
+    incremental: bool = False
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"

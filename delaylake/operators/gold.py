@@ -53,6 +53,30 @@ def _summary(fact: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def partial_summary(fact: DataFrame, *keys: str) -> DataFrame:
+    """What ``merge_summaries`` makes the summary by the keys from: counts, and sums that are exact
+    as long as the delays are whole numbers."""
+    return fact.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("flights"),
+        F.sum("cancelled_flag").alias("cancelled"),
+        F.count_if(F.col("delay_bucket") == "DELAYED").alias("delayed"),
+        *[F.sum(c).alias(f"{c}_sum") for c in ("dep_delay", "arr_delay")],
+        *[F.count(c).alias(f"{c}_n") for c in ("dep_delay", "arr_delay")],
+    )
+
+
+def merge_summaries(states: DataFrame, *keys: str) -> DataFrame:
+    """The summary by the keys, of all fact rows that the states were made from."""
+    merged = states.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in states.columns if c not in keys]
+    )
+    averages = [
+        F.round(F.col(f"{c}_sum") / F.nullif(F.col(f"{c}_n"), F.lit(0)), 6).alias(f"avg_{c}")
+        for c in ("dep_delay", "arr_delay")
+    ]
+    return merged.select(*keys, "flights", "cancelled", "delayed", *averages)
+
+
 def mart_airline(fact: DataFrame) -> DataFrame:
     return _summary(fact, "airline")
 

@@ -87,6 +87,7 @@ def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ())
     return read_silver(silver.sparkSession, path)
 
 
-def read_silver(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table with its columns in their order, also where some name folders."""
-    return spark.read.schema(SILVER_SCHEMA).parquet(path).select(*SILVER_COLUMNS)
+def read_silver(spark: SparkSession, path: str, part: str = "true") -> DataFrame:
+    """The stored table with its columns in their order, also where some name folders; ``part`` is
+    a condition, which may be on columns that only name folders."""
+    return spark.read.schema(SILVER_SCHEMA).parquet(path).where(part).select(*SILVER_COLUMNS)

@@ -31,6 +31,7 @@ from delaylake.streaming.bronze import (
     read_keyed_landing,
     read_landing,
 )
+from delaylake.streaming.increments import merged_mart
 from delaylake.streaming.replay import message_key, replay, stage_slices
 from delaylake.workspace import fresh_dir, written
 
@@ -266,6 +267,32 @@ def silver_by_month(spark, sf_dir):
     )
 
 
+def _in_two_generations(spark, sf_dir):
+    """A lake whose silver was brought up to date after each of two generations."""
+    home = fresh_dir(spark, "increments")
+    lines = lines_of(spark, sf_dir)
+    early = F.col("l_orderkey") % 3 == 0
+    cfg = LakeConfig(root=home, incremental=True)
+    for part in (lines.filter(early), lines.filter(~early)):
+        to_messages(flight_records(part)).write.mode("append").parquet(cfg.landing)
+        drain_bronze(read_landing(spark, cfg.landing), cfg.bronze, cfg.bronze_checkpoint)
+        flow.refine(spark, cfg)
+    return cfg
+
+
+def silver_incremental(spark, sf_dir):
+    cfg = _in_two_generations(spark, sf_dir)
+    return silver.read_silver(spark, cfg.silver).drop("ingest_ts")
+
+
+def mart_route_merged(spark, sf_dir):
+    return merged_mart(spark, _in_two_generations(spark, sf_dir).path("marts"), "route")
+
+
+def mart_airline_merged(spark, sf_dir):
+    return merged_mart(spark, _in_two_generations(spark, sf_dir).path("marts"), "airline")
+
+
 def code_standardize(spark, sf_dir):
     return gold.standard_codes(silver_of(spark, sf_dir)).select("origin", "dest", "airline")
 
@@ -547,6 +574,7 @@ QUERIES = {
     "fill_defaults": fill_defaults,
     "silver_table": silver_table,
     "silver_by_month": silver_by_month,
+    "silver_incremental": silver_incremental,
     "code_standardize": code_standardize,
     "gold_fact": stored_fact,
     "fact_preview": fact_preview,
@@ -574,6 +602,8 @@ QUERIES = {
     "mart_route": mart_route,
     "mart_calendar": mart_calendar,
     "bucket_summary": bucket_summary,
+    "mart_route_merged": mart_route_merged,
+    "mart_airline_merged": mart_airline_merged,
     "end_to_end": end_to_end,
     "reingest": reingest,
 }

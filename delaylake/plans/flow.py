@@ -22,6 +22,7 @@ from delaylake.sources.csv_records import POSITION
 from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka
 from delaylake.streaming.bronze import drain_bronze, read_bronze, read_landing
+from delaylake.streaming.increments import refine_new
 from delaylake.streaming.replay import (
     message_key,
     publish_all,
@@ -102,7 +103,13 @@ def land(spark: SparkSession, cfg: LakeConfig) -> int:
 
 
 def refine(spark: SparkSession, cfg: LakeConfig) -> int:
-    """Bronze to silver; returns the rows written."""
+    """Bronze to silver; returns the rows of the table."""
+    if cfg.incremental:
+        refine_new(
+            spark, cfg.bronze, cfg.silver, cfg.path("checkpoint/silver"), cfg.path("marts"),
+            cfg.files_per_batch,
+        )
+        return silver.read_silver(spark, cfg.silver).count()
     table = silver.to_silver(parse_messages(read_bronze(spark, cfg.bronze)))
     return silver.write_silver(table, cfg.silver, cfg.silver_partitions).count()
 

@@ -279,6 +279,7 @@ from ({_REC_ROWS})""",
     "delay_bucket": f"{_TO_SILVER} select dep_delay, delay_bucket from silver",
     "fill_defaults": f"{_TO_SILVER} select cancelled_flag from silver",
     "silver_table": f"{_TO_SILVER} select * from silver",
+    "silver_incremental": f"{_TO_SILVER} select * from silver",
     "silver_by_month": f"""{_TO_SILVER}
 select year, month, count(*) as n, cast(sum(cancelled_flag) as bigint) as cancelled
 from silver group by year, month""",
@@ -356,6 +357,10 @@ select round(sum(actual * case when p + r = 0 then 0 else 2 * p * r / (p + r) en
 from rates""",
     "mart_airline": f"{_TO_FACT} select airline, {_SUMMARY} from fact group by airline",
     "mart_route": f"{_TO_FACT} select origin, dest, {_SUMMARY} from fact group by origin, dest",
+    "mart_airline_merged": f"{_TO_FACT} select airline, {_SUMMARY} from fact group by airline",
+    "mart_route_merged": (
+        f"{_TO_FACT} select origin, dest, {_SUMMARY} from fact group by origin, dest"
+    ),
     "mart_calendar": f"""{_TO_FACT}
 select cast(year(flight_date) as integer) as year, cast(month(flight_date) as integer) as month,
        cast(dayofweek(flight_date) + 1 as integer) as day_of_week, {_SUMMARY}
