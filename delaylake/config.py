@@ -15,6 +15,8 @@ TRAIN_SHARE = 0.8
 SPLIT_SEED = 42
 MAX_ITERATIONS = 20
 REGULARIZATION = 0.01
+RETRIES = 1
+RETRY_SECONDS = 300
 
 #: Files that a micro-batch takes at most, and so what is landed again after a failure.
 FILES_PER_BATCH = 1000
@@ -83,6 +85,10 @@ class LakeConfig:
     once_within: str | None = ONCE_WITHIN
     #: Silver takes only what is new in bronze, in parts by batch, and keeps states of summaries.
     incremental: bool = False
+    #: Note each attempt at a step, try again after a failure, and take up a run that was cut off.
+    ledger: bool = False
+    retries: int = RETRIES
+    retry_seconds: float = RETRY_SECONDS
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"

@@ -35,7 +35,7 @@ SILVER_SCHEMA = (
 FILL_DEFAULTS = {"cancelled_flag": 0}
 
 
-def canonical_columns(parsed: DataFrame) -> DataFrame:
+def canonical_columns(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Lower-case names and proper types; the flag is still text."""
     return parsed.select(
         rules.as_date(F.col("FL_DATE")).alias("flight_date"),
@@ -47,6 +47,7 @@ def canonical_columns(parsed: DataFrame) -> DataFrame:
         rules.as_number(F.col("ARR_DELAY")).alias("arr_delay"),
         F.col("CANCELLED").alias("cancelled"),
         F.col("CANCELLATION_REASON").alias("cancellation_reason"),
+        *keep,
     )
 
 
@@ -61,9 +62,11 @@ def date_parts(typed: DataFrame) -> DataFrame:
     )
 
 
-def to_silver(parsed: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """The 15-column table, one row per message."""
-    typed = date_parts(canonical_columns(parsed))
+def to_silver(
+    parsed: DataFrame, ingest_ts: Column | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """The 15-column table, one row per message, and after them the columns named in ``keep``."""
+    typed = date_parts(canonical_columns(parsed, keep))
     ruled = typed.withColumns(
         {
             "cancelled_flag": rules.cancelled_flag(F.col("cancelled")),
@@ -72,7 +75,7 @@ def to_silver(parsed: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
             "ingest_ts": F.current_timestamp() if ingest_ts is None else ingest_ts,
         }
     )
-    return ruled.select(*SILVER_COLUMNS).fillna(FILL_DEFAULTS)
+    return ruled.select(*SILVER_COLUMNS, *keep).fillna(FILL_DEFAULTS)
 
 
 def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -306,8 +306,18 @@ def stage_counts(spark, sf_dir):
     return quality.stage_counts(silver_of(spark, sf_dir), training_data.in_training(content))
 
 
-def quality_report(spark, sf_dir):
-    """Some numbers are spoiled, and some messages cut short or emptied, before the report."""
+def observed_counts(spark, sf_dir):
+    """As ``stage_counts``, seen by the pass that writes silver."""
+    content = [F.col(c) for c in ("flight_date", "origin", "dest", "airline")]
+    table, seen = quality.observed_stages(
+        silver_of(spark, sf_dir), training_data.in_training(content)
+    )
+    silver.write_silver(table, fresh_dir(spark, "silver"))
+    return spark.createDataFrame(list(seen.get.items()), "stage string, n bigint")
+
+
+def _damaged(spark, sf_dir):
+    """Some numbers are spoiled, and some messages cut short or emptied."""
     lines = lines_of(spark, sf_dir)
     spoiled = F.when(F.col("l_orderkey") % 101 == 0, "late").otherwise(F.col("ARR_DELAY"))
     records = flight_records(lines, "l_orderkey").withColumn("ARR_DELAY", spoiled)
@@ -317,7 +327,27 @@ def quality_report(spark, sf_dir):
         .when(F.col("value").contains('"DEST":"D9"'), F.lit(" "))
         .when(~F.col("value").contains('"DEST":"D11"'), F.col("value"))
     )
-    return quality.quality_report(messages.select(damaged.alias("json")))
+    return messages.select(damaged.alias("json"))
+
+
+def quality_report(spark, sf_dir):
+    return quality.quality_report(_damaged(spark, sf_dir))
+
+
+def quarantine(spark, sf_dir):
+    """Rows on both sides, by all their faults; of the accepted ones also how many are cancelled."""
+    path = fresh_dir(spark, "routed")
+    quality.route_messages(_damaged(spark, sf_dir), path)
+    sides = spark.read.parquet(path)
+    return sides.groupBy(
+        F.col("quarantined").cast("string").alias("quarantined"),
+        F.array_join("reasons", ",").alias("reasons"),
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("json").alias("kept_messages"),
+        F.count("flight_date").alias("dated"),
+        F.sum("cancelled_flag").alias("cancelled"),
+    )
 
 
 def label_prep(spark, sf_dir):
@@ -579,7 +609,9 @@ QUERIES = {
     "gold_fact": stored_fact,
     "fact_preview": fact_preview,
     "stage_counts": stage_counts,
+    "observed_counts": observed_counts,
     "quality_report": quality_report,
+    "quarantine": quarantine,
     "label_prep": label_prep,
     "numeric_fill": numeric_fill,
     "class_counts": class_counts,

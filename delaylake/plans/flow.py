@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from delaylake.config import SPLIT_SEED, TRAIN_SHARE, LakeConfig
 from delaylake.functions.messages import parse_messages
-from delaylake.operators import gold, metrics, model, silver, slicing, training_data
+from delaylake.operators import gold, metrics, model, quality, silver, slicing, training_data
 from delaylake.plans import generations
+from delaylake.plans.ledger import Ledger, run_steps
 from delaylake.sources.csv_records import POSITION
 from delaylake.sources.jdbc import load_fact
 from delaylake.sources.kafka import read_kafka
@@ -111,7 +112,9 @@ def refine(spark: SparkSession, cfg: LakeConfig) -> int:
         )
         return silver.read_silver(spark, cfg.silver).count()
     table = silver.to_silver(parse_messages(read_bronze(spark, cfg.bronze)))
-    return silver.write_silver(table, cfg.silver, cfg.silver_partitions).count()
+    table, seen = quality.observed(table, {"rows": F.count(F.lit(1))})
+    silver.write_silver(table, cfg.silver, cfg.silver_partitions)
+    return seen.get["rows"]
 
 
 def stage_training(
@@ -159,9 +162,10 @@ def train(spark: SparkSession, cfg: LakeConfig) -> dict[str, float]:
 
 def load(spark: SparkSession, cfg: LakeConfig) -> int:
     """Silver to the fact table, and on to the database if one is configured."""
-    gold.to_fact(silver.read_silver(spark, cfg.silver)).write.mode("overwrite").parquet(cfg.fact)
-    fact = spark.read.parquet(cfg.fact)
-    return load_fact(fact, cfg.jdbc) if cfg.jdbc else fact.count()
+    fact = gold.to_fact(silver.read_silver(spark, cfg.silver))
+    fact, seen = quality.observed(fact, {"rows": F.count(F.lit(1))})
+    fact.write.mode("overwrite").parquet(cfg.fact)
+    return load_fact(spark.read.parquet(cfg.fact), cfg.jdbc) if cfg.jdbc else seen.get["rows"]
 
 
 def run_flow(
@@ -170,7 +174,11 @@ def run_flow(
     records: DataFrame | None = None,
     steps: Iterable[str] = STEPS,
 ) -> dict:
-    """Run the steps in their order; returns what each of them reported."""
+    """Run the steps in their order; returns what each of them reported.
+
+    With ``cfg.ledger`` a step that fails is tried again, and a run that was cut off is taken up
+    at the first step that has not ended, when the same steps are asked for again.
+    """
     work = {
         "ingest": lambda: ingest(spark, cfg, records),
         "bronze": lambda: land(spark, cfg),
@@ -181,4 +189,8 @@ def run_flow(
     chosen = set(steps)
     if chosen - set(STEPS):
         raise ValueError(f"unknown steps {sorted(chosen - set(STEPS))}")
-    return {name: work[name]() for name in STEPS if name in chosen}
+    planned = {name: work[name] for name in STEPS if name in chosen}
+    if cfg.ledger:
+        ledger = Ledger(spark, cfg.path("ledger"))
+        return run_steps(ledger, planned, cfg.retries, cfg.retry_seconds)
+    return {name: act() for name, act in planned.items()}

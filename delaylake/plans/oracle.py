@@ -152,17 +152,40 @@ _SENT_FIELDS = ", ".join(
     for name in MESSAGE_FIELDS
 )
 
-_QUALITY = f"""
+_SENT = f"""
 with lines as (
   select {_REC_COLUMNS}, l_orderkey % 101 = 0 as spoiled,
-         l_partkey % 30 in (7, 9, 11) as unparsed, l_partkey % 30 in (9, 11) as empty
+         l_partkey % 30 in (7, 9, 11) as unparsed, l_partkey % 30 in (9, 11) as empty,
+         l_partkey % 30 = 11 as absent
   from lineitem),
-sent as (select unparsed, empty, {_SENT_FIELDS} from lines)
-""" + " union all ".join(
-    f"""select '{name}' as "check", count(*) filter ({test}) as n from sent"""
+sent as (select unparsed, empty, absent, {_SENT_FIELDS} from lines)"""
+
+_QUALITY = _SENT + " union all ".join(
+    f""" select '{name}' as "check", count(*) filter ({test}) as n from sent"""
     for name, test in _CHECKS.items()
 )
 
+_STAGES = f"""{_TO_SILVER}, sides as (
+  select flight_date,
+         {_hash_bits("flight_date", "origin", "dest", "airline")} < 0.8 * 4294967296 as in_training from silver)
+select 'silver' as stage, count(*) as n from sides
+union all select 'fact', count(flight_date) from sides
+union all select 'train', count(*) filter (in_training) from sides
+union all select 'test', count(*) filter (not in_training) from sides"""
+
+_FAULTS = [name for name in _CHECKS if name not in ("messages", "dropped_by_gold")]
+_QUARANTINE = f"""{_SENT}, faulty as (
+  select *, list_filter([{", ".join(f"case when {_CHECKS[n]} then '{n}' end" for n in _FAULTS)}],
+    lambda r: r is not null) as reasons from sent),
+routed as (
+  select *, list_has_any(
+    reasons, ['empty_message', 'unparseable', 'missing_date', 'invalid_date']) as held from faulty)
+select cast(held as varchar) as quarantined, array_to_string(reasons, ',') as reasons,
+  count(*) as n, count(*) filter (held and not absent) as kept_messages,
+  count(try_cast("FL_DATE" as date)) as dated,
+  sum(case when try_cast("CANCELLED" as double) = 1.0 then 1 else 0 end)::bigint as cancelled
+from routed group by held, reasons"""
+
 _CATEGORY_INDEX = " union all ".join(
     f"""
 select '{c}' as "column", {c} as value,
@@ -294,14 +317,10 @@ order by flight_date nulls last, origin nulls last, dest nulls last, airline nul
          distance nulls last, dep_delay nulls last, arr_delay nulls last,
          cancelled_flag nulls last, distance_bucket nulls last, delay_bucket nulls last
 limit 5""",
-    "stage_counts": f"""{_TO_SILVER}, sides as (
-  select flight_date,
-         {_hash_bits("flight_date", "origin", "dest", "airline")} < 0.8 * 4294967296 as in_training from silver)
-select 'silver' as stage, count(*) as n from sides
-union all select 'fact', count(flight_date) from sides
-union all select 'train', count(*) filter (in_training) from sides
-union all select 'test', count(*) filter (not in_training) from sides""",
+    "stage_counts": _STAGES,
+    "observed_counts": _STAGES,
     "quality_report": _QUALITY,
+    "quarantine": _QUARANTINE,
     "label_prep": f"{_TO_SILVER} select cancelled_flag, cancelled_flag as label from silver",
     "numeric_fill": f"{_TO_SILVER} select {_FILLED} from silver",
     "class_counts": f"""{_TO_SILVER}

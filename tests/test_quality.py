@@ -1,0 +1,109 @@
+"""Counts of the pass that writes, and the side table of messages."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from delaylake.config import LakeConfig
+from delaylake.operators import quality, silver
+from delaylake.plans import checks, flow
+
+SF = "/root/testdata/sf0.001"
+
+
+def jobs_of(spark, act):
+    """Number of jobs that a call takes."""
+    spark.sparkContext.setJobGroup("watched", "watched")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("watched"))
+        act()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("watched")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_counting_takes_no_job_of_its_own(spark, tmp_path):
+    cfg = LakeConfig(root=str(tmp_path / "lake"))
+    checks.bronze_of(spark, SF).limit(500).write.parquet(cfg.bronze)
+    read = spark.read.schema("json string").parquet(cfg.bronze)
+
+    def write_only():
+        from delaylake.functions.messages import parse_messages
+
+        table = silver.to_silver(parse_messages(read))
+        table.write.mode("overwrite").parquet(str(tmp_path / "other"))
+
+    alone = jobs_of(spark, write_only)
+    found = {}
+    # One more job reads the schema of the bronze table.
+    assert jobs_of(spark, lambda: found.update(n=flow.refine(spark, cfg))) <= alone + 1
+    assert found["n"] == 500
+    assert flow.load(spark, cfg) == spark.read.parquet(cfg.fact).count() > 0
+
+
+def test_observed_is_what_a_count_gives(spark, tmp_path):
+    table = checks.silver_of(spark, SF)
+    side = F.col("distance") > 500
+    wanted = {r.stage: r.n for r in quality.stage_counts(table, side).collect()}
+    watched, seen = quality.observed_stages(table, side)
+    silver.write_silver(watched, str(tmp_path / "silver"), ["year"])
+    assert seen.get == wanted and wanted["silver"] == wanted["train"] + wanted["test"] + (
+        table.where("distance is null").count()
+    )
+
+
+def message(**fields):
+    return json.dumps({"FL_DATE": "2024-01-05", "ORIGIN": "AAA", "DEST": "BBB", "AIRLINE": "X"} | fields)
+
+
+CASES = [
+    (message(), None),
+    (message(DISTANCE="far", ARR_DELAY="late"), None),
+    (message(ORIGIN=None), None),
+    (message(FL_DATE=None), ["missing_date"]),
+    (message(FL_DATE="", DEP_DELAY="x"), ["missing_date", "non_numeric_dep_delay"]),
+    (message(FL_DATE="soon", CANCELLED="yes"), ["invalid_date", "non_numeric_cancelled"]),
+    ("{cut short", ["unparseable", "missing_date", "missing_origin", "missing_dest", "missing_airline"]),
+    ("  ", ["empty_message", "missing_date", "missing_origin", "missing_dest", "missing_airline"]),
+    (None, ["empty_message", "missing_date", "missing_origin", "missing_dest", "missing_airline"]),
+]
+
+
+def test_every_message_is_on_one_side(spark, tmp_path):
+    path = str(tmp_path / "routed")
+    bronze = spark.createDataFrame([(m,) for m, _ in CASES], "json string")
+    quality.route_messages(bronze, path)
+    held = quality.quarantined(spark, path).collect()
+    assert sorted((r.json or "", r.reasons) for r in held) == sorted(
+        (m or "", reasons) for m, reasons in CASES if reasons
+    )
+    good = quality.accepted(spark, path)
+    assert good.columns == list(silver.SILVER_COLUMNS)
+    assert good.count() + len(held) == len(CASES)
+    assert good.where("flight_date is null").count() == 0
+
+
+def test_what_blocks_can_be_chosen(spark, tmp_path):
+    path = str(tmp_path / "routed")
+    bronze = spark.createDataFrame([(m,) for m, _ in CASES], "json string")
+    quality.route_messages(bronze, path, ["non_numeric_arr_delay"])
+    assert [r.json for r in quality.quarantined(spark, path).collect()] == [CASES[1][0]]
+    quality.route_messages(bronze, path, [])
+    assert quality.quarantined(spark, path).count() == 0
+    assert quality.accepted(spark, path).count() == len(CASES)
+    with pytest.raises(ValueError, match="unknown faults"):
+        quality.route_messages(bronze, path, ["no_such"])
+
+
+def test_routing_is_one_pass(spark, tmp_path):
+    bronze = checks.bronze_of(spark, SF).limit(300)
+    bronze.write.parquet(str(tmp_path / "bronze"))
+    stored = spark.read.schema("json string").parquet(str(tmp_path / "bronze"))
+    assert jobs_of(spark, lambda: quality.route_messages(stored, str(tmp_path / "routed"))) == 1
+
+
+def test_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "routed")
+    quality.route_messages(spark.createDataFrame([], "json string"), path)
+    assert quality.accepted(spark, path).count() == quality.quarantined(spark, path).count() == 0
