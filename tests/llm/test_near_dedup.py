@@ -8,8 +8,8 @@ from cases import AWKWARD_TEXTS, documents, with_clashes
 from oracle_check import connect, differences
 
 from delaylake.llm import near_dedup
-from delaylake.llm.common import read
 from delaylake.llm.components import components
+from delaylake.llm.common import read
 from delaylake.llm.near_dedup import (
     REGISTERS,
     find_near_duplicates,
@@ -210,3 +210,32 @@ def test_pair_at_the_threshold_whose_registers_agree_seldom(spark, monkeypatch,
     monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "_stars", lambda *args: stars(*args).where("false"))
     check(spark, [" ".join(text), " ".join(other)])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_components_of_random_graphs(spark, seed):
+    """Chains, stars around any node, rings, repeated and empty edges, against a search."""
+    rng = random.Random(seed)
+    n = 60
+    edges = [(i, i + 1) for i in range(0, 12)] + [(40, i) for i in range(30, 40)]
+    edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(8 * seed)] + [(5, 5), (30, 40)]
+    rng.shuffle(edges)
+    near = {i: {i} for e in edges for i in e}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    wanted = {}
+    for start in sorted(near):
+        open_ = [start] if start not in wanted else []
+        while open_:
+            node = open_.pop()
+            if node not in wanted:
+                wanted[node] = start
+                open_ += near[node]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    linked = {i for a, b in edges if a != b for i in (a, b)}
+    assert sorted(map(tuple, found)) == sorted((i, r) for i, r in wanted.items() if i in linked)
+
+
+def test_components_without_edges(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
