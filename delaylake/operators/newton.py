@@ -105,7 +105,12 @@ def _sums(groups: DataFrame, model: NewtonModel) -> tuple[float, np.ndarray, np.
     return row[0], np.array(row[1 : 1 + len(z)]), products
 
 
+def numbers(silver: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Label and the numeric features of silver rows, without NULL; also of a stream."""
+    labelled = training_data.with_label(silver).select("label", *features)
+    return training_data.fill_numeric(labelled, features)
+
+
 def labelled_numbers(silver: DataFrame, features: Sequence[str]) -> DataFrame:
     """Label, class weight and the numeric features of silver rows, without NULL."""
-    labelled = training_data.with_label(silver).select("label", *features)
-    return training_data.with_class_weight(training_data.fill_numeric(labelled, features))
+    return training_data.with_class_weight(numbers(silver, features))

@@ -33,6 +33,7 @@ from delaylake.streaming.bronze import (
 )
 from delaylake.streaming.increments import merged_mart
 from delaylake.streaming.replay import message_key, replay, stage_slices
+from delaylake.streaming.scoring import score_new
 from delaylake.workspace import fresh_dir, written
 
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -510,6 +511,32 @@ def logistic_scores(spark, sf_dir):
     )
 
 
+def score_stream(spark, sf_dir):
+    """As ``logistic_scores``, of rows that a stream scored in two runs, after silver had grown."""
+    home = fresh_dir(spark, "score_stream")
+    _, fitted = _newton(spark, sf_dir)
+
+    def score(rows):
+        return newton.numbers(rows, NEWTON_FEATURES).withColumn("p", fitted.probability())
+
+    lines = lines_of(spark, sf_dir)
+    early = F.col("l_orderkey") % 3 == 0
+    for part in (lines.filter(early), lines.filter(~early)):
+        messages = to_messages(flight_records(part)).withColumnRenamed("value", "json")
+        rows = silver.to_silver(parse_messages(messages))
+        rows.write.mode("append").parquet(f"{home}/silver")
+        score_new(spark, f"{home}/silver", f"{home}/scores", f"{home}/checkpoint", score)
+    return (
+        spark.read.parquet(f"{home}/scores")
+        .groupBy(*NEWTON_FEATURES)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("label").alias("cancelled"),
+            F.round(F.max("p"), 6).alias("probability"),
+        )
+    )
+
+
 def _quantity_score(spark, sf_dir):
     """A fixed score in place of a model: returned goods, guessed from the quantity."""
     chance = F.col("l_quantity") / 50
@@ -627,6 +654,7 @@ QUERIES = {
     "model_metrics": model_metrics,
     "logistic_newton": logistic_newton,
     "logistic_scores": logistic_scores,
+    "score_stream": score_stream,
     "metric_auc": metric_auc,
     "metric_confusion": metric_confusion,
     "metric_weighted": metric_weighted,

@@ -263,6 +263,12 @@ grouped as (
   from numbers, spread group by label, distance, day_of_week, da, db),
 {_newton_steps(8, 0.01)}"""
 
+_SCORES = f"""{_NEWTON}
+select distance, day_of_week, count(*) as n, sum(label)::bigint as cancelled,
+  round(1 / (1 + exp(-(any_value(x) + any_value(y) * distance / any_value(da)
+    + any_value(z) * day_of_week / any_value(db)))), 6) as probability
+from numbers, c8, spread group by distance, day_of_week"""
+
 _KEPT = ", ".join(
     f"""coalesce("{name}", '') as "{name}\"""" for name in MESSAGE_FIELDS if name != "CANCELLATION_REASON"
 )
@@ -345,11 +351,8 @@ select {_SCALED} from filled""",
 select 'intercept' as feature, round(x, 6) as coefficient, null::double as deviation from c8
 union all select 'distance', round(y, 6), round(da, 6) from c8, spread
 union all select 'day_of_week', round(z, 6), round(db, 6) from c8, spread""",
-    "logistic_scores": f"""{_NEWTON}
-select distance, day_of_week, count(*) as n, sum(label)::bigint as cancelled,
-  round(1 / (1 + exp(-(any_value(x) + any_value(y) * distance / any_value(da)
-    + any_value(z) * day_of_week / any_value(db)))), 6) as probability
-from numbers, c8, spread group by distance, day_of_week""",
+    "logistic_scores": _SCORES,
+    "score_stream": _SCORES,
     "metric_auc": f"""with {_GUESSED}, per_score as (
   select score, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg
   from guessed group by score),

@@ -1,0 +1,50 @@
+"""A stream scores as a batch does, with a saved model and categories that it has not seen."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from delaylake.operators import model, silver
+from delaylake.plans import checks, flow
+from delaylake.streaming.scoring import score_new
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(df):
+    names = ("origin", "airline", "label", "prediction")
+    return Counter(
+        (*(r[n] for n in names), round(r.probability, 9), round(r.margin, 9)) for r in df.collect()
+    )
+
+
+def test_a_saved_model_on_a_stream(spark, tmp_path):
+    places = [str(tmp_path / d) for d in ("silver", "scores", "checkpoint")]
+    rows = checks.silver_of(spark, SF)
+    known, _ = flow.stage_training(rows.where("origin <> 'O003'"), str(tmp_path / "training"))
+    model.save(model.fit(known), str(tmp_path / "model"))
+
+    def score(frame):
+        return model.score(model.load(spark, str(tmp_path / "model")), model.prepare(frame))
+
+    silver.write_silver(rows.where("month <= 6"), places[0])
+    assert sum(p["numInputRows"] for p in score_new(spark, *places, score).recentProgress) > 0
+    first = spark.read.parquet(places[1]).count()
+    rows.where("month > 6 or month is null").write.mode("append").parquet(places[0])
+    query = score_new(spark, *places, score)
+    stored = silver.read_silver(spark, places[0])
+    assert sum(p["numInputRows"] for p in query.recentProgress) == stored.count() - first
+    found = rows_of(spark.read.parquet(places[1]))
+    assert found == rows_of(score(stored))
+    assert any(origin == "O003" for origin, *_ in found) and any(o is None for o, *_ in found)
+    # Nothing new, no new scores.
+    score_new(spark, *places, score)
+    assert spark.read.parquet(places[1]).count() == stored.count()
+
+
+def test_files_per_batch(spark, tmp_path):
+    places = [str(tmp_path / d) for d in ("silver", "scores", "checkpoint")]
+    checks.silver_of(spark, SF).limit(60).repartition(3).write.parquet(places[0])
+    query = score_new(spark, *places, lambda r: r.withColumn("p", F.lit(0.5)), files_per_batch=1)
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [20, 20, 20]
+    assert spark.read.parquet(places[1]).count() == 60
