@@ -14,6 +14,7 @@ from delaylake.functions.messages import MESSAGE_FIELDS, parse_messages, to_mess
 from delaylake.operators import (
     features,
     gold,
+    layout,
     metrics,
     model,
     newton,
@@ -569,6 +570,18 @@ def mart_route(spark, sf_dir):
     return gold.mart_route(fact_of(spark, sf_dir))
 
 
+def _laid_out(spark, sf_dir):
+    home = fresh_dir(spark, "fact_by_route")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = home.rsplit("/", 1)[-1].replace("-", "_")
+    return layout.lay_out(fact_of(spark, sf_dir), name, home, ("origin", "dest"), buckets)
+
+
+def mart_route_laid_out(spark, sf_dir):
+    """As ``mart_route``, over the fact in buckets by its keys."""
+    return gold.mart_route(_laid_out(spark, sf_dir))
+
+
 def mart_calendar(spark, sf_dir):
     return gold.mart_calendar(fact_of(spark, sf_dir))
 
@@ -660,6 +673,7 @@ QUERIES = {
     "metric_weighted": metric_weighted,
     "mart_airline": mart_airline,
     "mart_route": mart_route,
+    "mart_route_laid_out": mart_route_laid_out,
     "mart_calendar": mart_calendar,
     "bucket_summary": bucket_summary,
     "mart_route_merged": mart_route_merged,

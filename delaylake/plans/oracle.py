@@ -379,6 +379,9 @@ select round(sum(actual * case when p + r = 0 then 0 else 2 * p * r / (p + r) en
 from rates""",
     "mart_airline": f"{_TO_FACT} select airline, {_SUMMARY} from fact group by airline",
     "mart_route": f"{_TO_FACT} select origin, dest, {_SUMMARY} from fact group by origin, dest",
+    "mart_route_laid_out": (
+        f"{_TO_FACT} select origin, dest, {_SUMMARY} from fact group by origin, dest"
+    ),
     "mart_airline_merged": f"{_TO_FACT} select airline, {_SUMMARY} from fact group by airline",
     "mart_route_merged": (
         f"{_TO_FACT} select origin, dest, {_SUMMARY} from fact group by origin, dest"

@@ -1,0 +1,69 @@
+import datetime as dt
+
+import pytest
+from oracle_check import connect, differences
+from test_gold import SILVER, row
+
+from delaylake.operators import gold, layout
+from delaylake.plans.checks import _laid_out, mart_route_laid_out
+from delaylake.plans.oracle import ORACLE_SQL
+from delaylake.workspace import fresh_dir
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture()
+def fact(spark):
+    hot = [row(arr_delay=float(i)) for i in range(300)]
+    others = [row(origin=f"O{i % 40}", dest=f"D{i % 7}", dep_delay=None) for i in range(600)]
+    odd = [row(origin="", dest=""), row(origin=None, dest=None), row(origin=None, dest=None)]
+    silver = spark.createDataFrame([*hot, *others, *odd], SILVER)
+    return silver.select(*gold.FACT_COLUMNS).repartition(5)
+
+
+def laid_out(spark, fact, name, buckets=6):
+    return layout.lay_out(fact, name, fresh_dir(spark, name), ("origin", "dest"), buckets)
+
+
+def test_grouping_by_the_keys_has_no_exchange(spark, fact):
+    table = laid_out(spark, fact, "by_route")
+    summary = gold.mart_route(table)
+    assert "Exchange" not in plan_of(summary)
+    assert rows_of(summary) == rows_of(gold.mart_route(fact))
+    finer = table.groupBy("origin", "dest", "airline").count()
+    assert "Exchange" not in plan_of(finer)
+    assert rows_of(finer) == rows_of(fact.groupBy("origin", "dest", "airline").count())
+    # The plain table needs one, so the check above can fail.
+    assert "Exchange" in plan_of(gold.mart_route(fact))
+
+
+def test_rows_are_all_there_and_a_table_is_replaced(spark, fact):
+    assert rows_of(laid_out(spark, fact, "replaced")) == rows_of(fact)
+    again = laid_out(spark, fact.where("origin = 'AAA'"), "replaced", buckets=3)
+    assert again.count() == 300
+
+
+def test_empty(spark, fact):
+    table = laid_out(spark, fact.where("false"), "empty")
+    assert table.columns == list(gold.FACT_COLUMNS) and gold.mart_route(table).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_table(spark, sf):
+    found = mart_route_laid_out(spark, f"/root/testdata/{sf}")
+    assert "Exchange" not in plan_of(found)
+    sql = ORACLE_SQL["mart_route_laid_out"]
+    assert differences(found, connect(f"/root/testdata/{sf}"), sql) == ""
+
+
+def test_columns_are_pruned_and_dates_pushed_down(spark):
+    table = _laid_out(spark, "/root/testdata/sf0.001")
+    plan = plan_of(gold.mart_route(table.where(table.flight_date > dt.date(1995, 1, 1))))
+    read = plan[plan.index("ReadSchema") :].split("\n")[0]
+    assert "airline" not in read and "GreaterThan(flight_date" in plan
