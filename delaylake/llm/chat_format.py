@@ -153,25 +153,68 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
+#: Of the texts, by a checksum, one in so many takes each of the ways to its final form.
+WAYS = 4
+
+
 def log_of(conversations: DataFrame) -> DataFrame:
-    """Finished turns as a log: each text streamed line by line. Every row is a message of its
-    own; rows of one turn are ordered by role and a hash of the text."""
+    """Finished turns as a log that ends in them. Every row is a message of its own; rows of one
+    turn are ordered by role and a hash of the text.
+
+    A text is streamed line by line: ``open`` and ``delta``. By the checksum of the text, some of the
+    messages got there by other ways: a draft and the start of its next line, thrown away by
+    ``regenerate`` before the lines; a draft whose place an ``edit`` with the first line takes; a
+    second message, opened beside the first and retracted. Events are listed last first."""
     messages = conversations.select(
         "conv_id",
         F.monotonically_increasing_id().alias("message"),
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.md5("text")).alias("_row"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.split(F.coalesce("text", F.lit("")), r"(?<=\n)").alias("_lines"),
+        F.pmod(F.crc32(F.coalesce("text", F.lit(""))), F.lit(WAYS)).alias("_way"),
     )
-    lines = messages.select(
-        "conv_id", "message", "_row", "role",
-        F.posexplode(F.split("text", r"(?<=\n)")).alias("_line", "text"),
+    message, beside = F.col("message"), -1 - F.col("message")
+    regenerated, edited, retracted = (F.col("_way") == i for i in (1, 2, 3))
+
+    def event(place: int | Column, kind: str | Column, text: Column, of: Column = message) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        place = F.lit(place) if isinstance(place, int) else place
+        return F.struct(
+            of.alias("message"), place.alias("place"), kind.alias("kind"), text.alias("text")
+        )
+
+    draft = F.concat(F.lit("draft: "), F.reverse(F.get("_lines", F.lit(0))))
+    first = F.when(regenerated, "delta").when(edited, "edit").otherwise("open")
+    before = (
+        F.when(
+            regenerated,
+            F.array(
+                event(0, "open", draft), event(1, "delta", F.lit("and")),
+                event(2, "regenerate", F.lit(None).cast("string")),
+            ),
+        )
+        .when(edited, F.array(event(0, "open", draft)))
+        .when(
+            retracted,
+            F.array(
+                event(0, "open", draft, beside),
+                event(1, "retract", F.lit(None).cast("string"), beside),
+            ),
+        )
+        .otherwise(F.array())
     )
-    return lines.select(
+    lines = F.transform(
+        "_lines",
+        lambda line, i: event(i + 3, F.when(i == 0, first).otherwise("delta"), line),
+    )
+    events = messages.select(
+        "conv_id", "role", "_row", F.explode(F.reverse(F.concat(before, lines))).alias("_event")
+    )
+    return events.select(
         "conv_id",
-        "message",
-        F.struct("_row", "_line").alias("seq"),
-        F.when(F.col("_line") == 0, F.lit("open")).otherwise(F.lit("delta")).alias("kind"),
+        F.col("_event.message").alias("message"),
+        F.struct("_row", F.col("_event.place").alias("_place")).alias("seq"),
+        F.col("_event.kind").alias("kind"),
         "role",
-        "text",
+        F.col("_event.text").alias("text"),
     )

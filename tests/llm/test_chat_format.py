@@ -93,6 +93,33 @@ def test_a_long_conversation(spark):
     assert r.loss_text == "".join(f"text # {i}" for i in range(1, 5000, 2))
 
 
+def test_the_log_takes_every_way(spark):
+    texts = [f"line {i}\nand # more\n" for i in range(40)] + ["", None, "\n"]
+    rows = [(i % 5, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    log = chat.log_of(frame)
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == {"open", "delta", "edit", "regenerate", "retract"}
+    # Each kind matters: without it other texts come out.
+    right = back(chat.format_chats(log))
+    for kind in ("edit", "regenerate", "retract"):
+        assert back(chat.format_chats(log.where(F.col("kind") != kind))) != right
+    said = {c: [t.text for t in r.turns] for c, r in right.items()}
+    assert said == {c: [t or "" for i, _, _, t in rows if i == c] for c in range(5)}
+    # Events come out of sequence.
+    listed = [(r.message, r.seq) for r in log.coalesce(1).collect()]
+    assert any(a[0] == b[0] and a[1] > b[1] for a, b in zip(listed, listed[1:]))
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join(f"line {i} # </turn>" for i in range(250_000))
+    frame = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "x" * 6_000_000)],
+                                  "conv_id long, turn int, role string, text string")
+    r = back(chat.format_chats(chat.log_of(frame)))[1]
+    assert len(text) > 4_000_000 and r.loss_text == text
+    assert [len(t.text) for t in r.turns] == [len(text), 6_000_000]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     found = op5_chat_formatting(spark, f"/root/testdata/{sf}")
