@@ -9,7 +9,7 @@ half goes to words that training never saw.
 Data flow: tasks number the words of a block of documents; one row for each block and word is
 added up over the corpus and goes back to its block, so that what is shuffled are vocabularies
 and numbered documents, and no task holds more than a block. The model is started on at most
-``SEED_DOCS`` training documents (the first ``SEED_TOKENS`` tokens of each); then every task goes on
+``SEED_DOCS`` training documents (the first ``SEED_TOKENS`` tokens of each, cut in the tasks); then every task goes on
 with every token of all training documents of its own, block by block, and the mean of the tasks'
 weights by their tokens is the model, so that what it learns from grows with the corpus.
 
@@ -45,9 +45,8 @@ BLOCK_TOKENS = 3_000_000
 END_HASH = -1
 UNSEEN_SHARE = 0.5
 SEED_DOCS, SEED_TOKENS, SEED_STEPS = 400, 4096, 250
-#: One in so many training documents is learned from: all of them.
-SHARE = 1
-LANES = 64
+SEED_LANES, SEED_RATE = 64, 0.02
+LANES, RATE = 256, 0.016
 MEAN_OF = 64
 
 
@@ -241,6 +240,9 @@ def with_numbers(numbered: DataFrame, counted: DataFrame, corpus: Corpus) -> Dat
     docs = numbered.where("vocabulary is null").select("block", "doc_id", "held_out", "ids")
     found = counted.join(corpus.head_table(numbered.sparkSession), "word", "left")
     vocabulary = found.select("block", "i", "c", "head")
+    # As many tasks as blocks, however many partitions other shuffles have.
+    blocks = max(1, numbered.where("vocabulary is not null").select("block").distinct().count())
+    docs, vocabulary = (x.repartition(blocks, "block") for x in (docs, vocabulary))
     return (
         docs.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(run, schema)
     )
@@ -255,11 +257,11 @@ def learn_all(model: rnn.Params, streams: Iterable[np.ndarray]) -> tuple[rnn.Par
         own.append(text)
         pending += len(text)
         if pending >= BLOCK_TOKENS:
-            model = rnn.train(model, np.concatenate(own), LANES, None, 0.004)
+            model = rnn.train(model, np.concatenate(own), LANES, None, RATE)
             n, pending = n + pending, 0
             own.clear()
     if own:
-        model = rnn.train(model, np.concatenate(own), LANES, None, 0.004)
+        model = rnn.train(model, np.concatenate(own), LANES, None, RATE)
     return model, n + pending
 
 
@@ -267,12 +269,21 @@ def fit(docs: DataFrame, corpus: Corpus) -> rnn.Params:
     """Started on a bounded sample, then learned on in every task; the mean of all."""
     trained = docs.where("not held_out")
     cut = F.xxhash64("doc_id")
-    sample = trained.orderBy(cut, "doc_id").limit(SEED_DOCS).select("ids").collect()
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut_ = [numbers(x, "<u2")[:SEED_TOKENS].tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.record_batch({"start": pa.array(cut_, pa.binary())})
+
+    sample = (
+        trained.orderBy(cut, "doc_id").limit(SEED_DOCS).select("ids")
+        .mapInArrow(starts, "start binary").collect()
+    )
     model = rnn.initial(corpus.counts)
     if not sample:
         return model
-    stream = np.concatenate([numbers(r.ids, "<u2")[:SEED_TOKENS] for r in sample])
-    model = rnn.train(model, stream, LANES, SEED_STEPS, 0.02)
+    stream = np.concatenate([np.frombuffer(r.start, dtype="<u2") for r in sample])
+    model = rnn.train(model, stream, SEED_LANES, SEED_STEPS, SEED_RATE)
     start = rnn.pack(model)
     schema = "part long, n long, weights binary"
     arrow = arrow_schema(docs.sparkSession, schema)
@@ -291,8 +302,7 @@ def fit(docs: DataFrame, corpus: Corpus) -> rnn.Params:
         columns = {"part": [key[0].as_py()], "n": [int(n.sum())], "weights": [weights.tobytes()]}
         return pa.Table.from_batches([to_batch(columns, arrow)], schema=arrow)
 
-    chosen = trained.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE).cast("long")) == 0)
-    models = written(chosen.select("ids").mapInArrow(learn, schema), "models")
+    models = written(trained.select("ids").mapInArrow(learn, schema), "models")
     while (parts := models.count()) > 1:
         groups = -(-parts // MEAN_OF)
         spread = models.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(groups).cast("long")))

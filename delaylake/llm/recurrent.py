@@ -25,7 +25,7 @@ LANES = 512
 #: Class of each token.
 CLASS_OF = np.concatenate(
     [[0], 1 + np.arange(HEAD) // CLASS_WORDS, 1 + HEAD_CLASSES + np.arange(BINS)]
-)
+).astype(np.uint8)
 
 Params = dict[str, np.ndarray]
 
@@ -50,99 +50,129 @@ def initial(counts: np.ndarray) -> Params:
     }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def run_states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: list | None = None):
+def run_states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: dict | None = None):
     """States after each step of a window (steps, lanes); an input of 0 starts a new text.
-    ``keep`` gets what the backward pass needs."""
-    out = np.empty((*inputs.shape, HIDDEN), dtype=np.float32)
-    read = p["input"][inputs]
-    for t, x in enumerate(inputs):
-        h = np.where((x == 0)[:, None], np.float32(0), h)
-        from_input, from_state = read[t], h @ p["state"]
-        gates = sigmoid(from_input[:, : 2 * HIDDEN] + from_state[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        part = from_state[:, 2 * HIDDEN :]
-        new = np.tanh(from_input[:, 2 * HIDDEN :] + r * part)
+    ``keep`` gets what the backward pass needs, for all steps at once. Inside, lanes are the last
+    axis, so that gates are whole blocks."""
+    steps, lanes = inputs.shape
+    out = np.empty((steps, HIDDEN, lanes), dtype=np.float32)
+    # A gate is (tanh(x / 2) + 1) / 2.
+    half = np.ones(3 * HIDDEN, dtype=np.float32)
+    half[: 2 * HIDDEN] = 0.5
+    state = np.ascontiguousarray((p["state"] * half).T)
+    read = np.ascontiguousarray((p["input"] * half)[inputs].transpose(0, 2, 1))
+    starts = inputs == 0
+    h = np.ascontiguousarray(h.T)
+    if keep is not None:
+        keep["gates"] = np.empty((steps, 2 * HIDDEN, lanes), dtype=np.float32)
+        keep |= {k: np.empty_like(out) for k in ("before", "part", "new")}
+    for t in range(steps):
+        if starts[t].any():
+            h = np.where(starts[t], np.float32(0), h)
+        both = state @ h
+        gates, part, new = both[: 2 * HIDDEN], both[2 * HIDDEN :], None
         if keep is not None:
-            keep.append((x, h, z, r, part, new))
-        h = new + z * (h - new)
-        out[t] = h
-    return out, h
+            keep["before"][t], keep["part"][t] = h, part
+            new = keep["new"][t]
+        gates += read[t, : 2 * HIDDEN]
+        gates = np.tanh(gates, out=gates if keep is None else keep["gates"][t])
+        gates *= 0.5
+        gates += 0.5
+        new = np.multiply(gates[HIDDEN:], part, out=new)
+        new += read[t, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        step = np.subtract(h, new, out=out[t])
+        step *= gates[:HIDDEN]
+        step += new
+        h = step
+    return out.transpose(0, 2, 1), h.T
 
 
 def softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logarithm of the probability of each row's chosen column; all columns' probabilities
+    """Logarithm of the probability of each column's chosen row; all rows' probabilities
     before and the sum that they are divided by. ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), chosen]
+    x -= x.max(axis=0)
+    picked = x[chosen, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    whole = x @ np.ones(x.shape[1], dtype=x.dtype)
+    whole = np.ones(len(x), dtype=x.dtype) @ x
     return picked - np.log(whole), x, whole
 
 
 def log_probabilities(p: Params, h: np.ndarray, targets: np.ndarray, grads=None) -> np.ndarray:
     """Natural logarithm of each target's probability given its state. ``grads`` gets the
     gradients of their negative sum, also that of the states under "h"."""
+    # By class, so that the states of a class lie together.
+    order = np.argsort(CLASS_OF[targets], kind="stable")
+    targets, h = targets[order], h[order]
     classes = CLASS_OF[targets]
-    rows = np.arange(len(targets))
-    logs, d, whole = softmax(h @ p["classes"] + p["class_bias"], classes)
-    out = logs.astype(np.float64)
+    logs, d, whole = softmax(p["classes"].T @ h.T + p["class_bias"][:, None], classes)
+    found = logs.astype(np.float64)
     if grads is not None:
-        d /= whole[:, None]
-        d[rows, classes] -= 1
-        grads["classes"], grads["class_bias"] = h.T @ d, d.sum(axis=0)
-        grads["h"] = d @ p["classes"].T
+        d /= whole
+        d[classes, np.arange(len(targets))] -= 1
+        grads["classes"], grads["class_bias"] = h.T @ d.T, d.sum(axis=1)
+        d_h = d.T @ p["classes"].T
         grads["words"] = np.zeros_like(p["words"])
         grads["word_bias"] = np.zeros_like(p["word_bias"])
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(1, HEAD_CLASSES + 2))
+    cuts = np.searchsorted(classes, np.arange(1, HEAD_CLASSES + 2))
     for k in range(HEAD_CLASSES):
-        at = order[cuts[k] : cuts[k + 1]]
-        if not len(at):
+        at = slice(cuts[k], cuts[k + 1])
+        if at.start == at.stop:
             continue
-        word = targets[at] - 1 - k * CLASS_WORDS
+        word = targets[at].astype(np.int64) - (1 + k * CLASS_WORDS)
         own = h[at]
-        logs, d, whole = softmax(own @ p["words"][k] + p["word_bias"][k], word)
-        out[at] += logs
+        logs, d, whole = softmax(p["words"][k].T @ own.T + p["word_bias"][k][:, None], word)
+        found[at] += logs
         if grads is not None:
-            d /= whole[:, None]
-            d[np.arange(len(at)), word] -= 1
-            grads["words"][k], grads["word_bias"][k] = own.T @ d, d.sum(axis=0)
-            grads["h"][at] += d @ p["words"][k].T
+            d /= whole
+            d[word, np.arange(len(word))] -= 1
+            grads["words"][k], grads["word_bias"][k] = own.T @ d.T, d.sum(axis=1)
+            d_h[at] += d.T @ p["words"][k].T
+    out = np.empty_like(found)
+    out[order] = found
+    if grads is not None:
+        grads["h"] = np.empty_like(d_h)
+        grads["h"][order] = d_h
     return out
 
 
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
     """Gradients of a window's mean loss, the state after it, and the loss."""
-    kept: list = []
+    kept: dict = {}
     states, last = run_states(p, inputs, h, kept)
     grads: Params = {}
     logs = log_probabilities(p, states.reshape(-1, HIDDEN), targets.ravel(), grads)
-    d_states = grads.pop("h").reshape(states.shape)
-    x, before, z, r, part, new = (np.stack(k) for k in zip(*kept, strict=True))
+    d_states = np.ascontiguousarray(grads.pop("h").reshape(states.shape).transpose(0, 2, 1))
+    before, part, new = kept["before"], kept["part"], kept["new"]
+    z, r = kept["gates"][:, :HIDDEN], kept["gates"][:, HIDDEN:]
     # What a step's gradient is multiplied with, for all steps at once.
     to_new, to_z = (1 - z) * (1 - new * new), (before - new) * z * (1 - z)
-    to_r, cut = part * r * (1 - r), (x != 0).astype(np.float32)[..., None]
-    d_input = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-    d_state = np.empty_like(d_input)
-    d_next, back = np.zeros_like(h), np.ascontiguousarray(p["state"].T)
-    for t in reversed(range(len(kept))):
-        dh = d_states[t] + d_next
-        d_new = dh * to_new[t]
-        np.multiply(dh, to_z[t], out=d_state[t, :, :HIDDEN])
-        np.multiply(d_new, to_r[t], out=d_state[t, :, HIDDEN : 2 * HIDDEN])
-        np.multiply(d_new, r[t], out=d_state[t, :, 2 * HIDDEN :])
-        d_input[t, :, 2 * HIDDEN :] = d_new
-        d_next = (dh * z[t] + d_state[t] @ back) * cut[t]
-    d_input[..., : 2 * HIDDEN] = d_state[..., : 2 * HIDDEN]
-    grads["state"] = before.reshape(-1, HIDDEN).T @ d_state.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(x, axis=None, kind="stable")
-    read, first = np.unique(x.ravel()[order], return_index=True)
+    to_r, starts = part * r * (1 - r), inputs == 0
+    steps, lanes = inputs.shape
+    d_new = np.empty_like(d_states)
+    d_state = np.empty((steps, 3 * HIDDEN, lanes), dtype=np.float32)
+    d_next = np.zeros((HIDDEN, lanes), dtype=np.float32)
+    for t in reversed(range(steps)):
+        dh = d_states[t]
+        dh += d_next
+        own = np.multiply(dh, to_new[t], out=d_new[t])
+        np.multiply(dh, to_z[t], out=d_state[t, :HIDDEN])
+        np.multiply(own, to_r[t], out=d_state[t, HIDDEN : 2 * HIDDEN])
+        np.multiply(own, r[t], out=d_state[t, 2 * HIDDEN :])
+        d_next = p["state"] @ d_state[t]
+        dh *= z[t]
+        d_next += dh
+        if starts[t].any():
+            d_next[:, starts[t]] = 0
+    grads["state"] = np.matmul(before, d_state.transpose(0, 2, 1)).sum(axis=0)
+    d_state[:, 2 * HIDDEN :] = d_new
+    order = np.argsort(inputs, axis=None, kind="stable")
+    read = inputs.ravel()[order]
+    first = np.flatnonzero(np.r_[True, read[1:] != read[:-1]])
     grads["input"] = np.zeros_like(p["input"])
-    grads["input"][read] = np.add.reduceat(d_input.reshape(-1, 3 * HIDDEN)[order], first)
+    grads["input"][read[first]] = np.add.reduceat(
+        d_state.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first
+    )
     n = targets.size
     return {k: g / n for k, g in grads.items()}, last, -logs.sum() / n
 
@@ -182,10 +212,10 @@ def train(
     if not len(stream):
         return p
     laid = np.array_split(stream, min(lanes, max(1, len(stream) // WINDOW)))
-    targets = np.zeros((len(laid[0]), len(laid)), dtype=np.int64)
+    targets = np.zeros((len(laid[0]), len(laid)), dtype=np.uint16)
     for lane, own in enumerate(laid):
         targets[: len(own), lane] = own
-    inputs = np.vstack([np.zeros((1, len(laid)), dtype=np.int64), targets[:-1]])
+    inputs = np.vstack([np.zeros((1, len(laid)), dtype=np.uint16), targets[:-1]])
     all_windows = windows([len(own) for own in laid])
     steps = len(all_windows) if steps is None else steps
     adam, h = Adam(p, rate), np.zeros((len(laid), HIDDEN), dtype=np.float32)

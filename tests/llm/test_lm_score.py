@@ -139,7 +139,6 @@ def test_weights_pack():
 
 
 def test_weights_are_averaged_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SHARE", 1)
     monkeypatch.setattr(lm_score, "MEAN_OF", 2)
     texts = [f"a b c d e f g {i % 5} " * 20 for i in range(300)]
     rows = lm_scores(documents(spark, texts).repartition(7)).collect()
