@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-Method: Pareto order sampling. A source whose target is t words of its s has t / s expected
-copies of each document. The whole part is certain: every document gets that many copies. The
-rest, f, is an inclusion probability: documents are ranked by odds(u) / odds(f), u being uniform
-by a hash of the document, and the sample is fixed in size: it takes documents in rank order as
-long as their words fit the rest of the target, and then the largest document that still fits.
+Method: Pareto order sampling with unequal probabilities. Within a source longer documents are
+preferred: those of a size class have ``min(most, rate * weight of the class)`` expected copies, and
+the source's rate is the one at which the expected words are its target. The whole part is certain:
+every document gets that many copies. The rest, f, is an inclusion probability of its class:
+documents are ranked by odds(u) / odds(f), u being uniform by a hash of the document, and the sample
+is fixed in size: it takes documents of all classes in rank order as long as their words fit the
+rest of the target, and then the largest document that still fits.
 The place where a source's sample ends is found by histograms of the ranks, 256 times finer at
 each of three levels, so that no task sorts a source.
 
@@ -13,13 +15,16 @@ Targets: sources in code point order, null last, weigh ``weights`` in turn, repe
 shared again by weight.
 
 Everything is DataFrame expressions. Defined results: a null text has size 0; rows of one source
-with the same id (or without one) are taken or left together; documents of size 0 get the whole
+and size class with the same id (or without one) are taken or left together; documents of size 0 get the whole
 copies, and the sampled one if they rank before the end; a source of size 0 has target 0 and no
 copies; empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,10 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2.0
 
+#: Size classes start at these words, and their documents' expected copies are as these weights.
+CLASS_STARTS = (0, 64, 512)
+CLASS_WEIGHTS = (2.0, 3.0, 4.0)
+
 SEED = "mix-1"
 DIGITS = 256
 LEVELS = 3
@@ -41,6 +50,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
 
 
+def size_class(size: Column) -> Column:
+    return sum((size >= start).cast("int") for start in CLASS_STARTS[1:])
+
+
 def source_key(source: Column) -> Column:
     """Tells a null source from an empty one, and is never null."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
@@ -91,23 +104,61 @@ def targets(
     return weighed.select("key", "source_size", share.alias("target"))
 
 
+def expected_copies(words: list[Column], target: Column, most: float) -> Column:
+    """Of a document of each class, as an array, from the source's words by class and its target.
+
+    The classes of most weight reach ``most`` first; the rate is the first one that holds for the
+    others with those before them full."""
+    order = sorted(range(len(words)), key=lambda c: -CLASS_WEIGHTS[c])
+    rates = []
+    for j, c in enumerate(order):
+        full = reduce(add, (words[i] for i in order[:j]), F.lit(0))
+        left = reduce(add, (words[i] * CLASS_WEIGHTS[i] for i in order[j:]))
+        rate = (target - F.lit(most) * full) / F.nullif(left, F.lit(0.0))
+        rates.append(F.when(rate * CLASS_WEIGHTS[c] <= most, rate))
+    rate = F.coalesce(*rates)
+    return F.array(*[F.coalesce(F.least(F.lit(most), rate * w), F.lit(most)) for w in CLASS_WEIGHTS])
+
+
+def _rest(size_class: Column) -> Column:
+    """The probability of one more copy than the certain ones."""
+    expected = F.get("expected", size_class)
+    return expected - F.floor(expected)
+
+
 def plan(sizes: DataFrame, **options) -> DataFrame:
-    """Per source: key, source_size, target, the certain ``copies``, the probability ``rest`` of
-    one more, and the sample: up to (``last_rank``, ``last_doc``), and those of ``extra``."""
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    """Per source: key, source_size, target, the ``expected`` copies by class, and the sample: up to
+    (``last_rank``, ``last_doc``, ``last_class``), and those of ``extra``."""
+    most = options.get("most", MOST)
+    classes = range(len(CLASS_STARTS))
+    by_class = sizes.groupBy("key").agg(
+        *[
+            F.sum(F.when(F.col("class") == c, F.col("size")).otherwise(0)).alias(f"words_{c}")
+            for c in classes
+        ]
+    )
+    words = [F.col(f"words_{c}") for c in classes]
+    nothing = F.array(*[F.lit(0.0) for _ in classes])
+    expected = expected_copies(words, F.col("target"), most)
+    certain = reduce(add, (F.floor(F.col("expected")[c]) * words[c] for c in classes))
     sources = written(
         targets(sizes, **options)
-        .withColumn("copies", F.floor(expected))
-        .withColumn("rest", expected - F.col("copies"))
-        .withColumn("room", F.col("target") - F.col("copies") * F.col("source_size")),
+        .join(by_class, "key")
+        .withColumn("expected", F.when(F.col("source_size") > 0, expected).otherwise(nothing))
+        .withColumn("room", F.col("target") - certain)
+        .select("key", "source_size", "target", "expected", "room"),
         "plan",
     )
-    sampled = sources.where("rest > 0").select("key", "rest", "room")
+    sampled = sources.where(F.exists("expected", lambda e: e > F.floor(e)))
     docs = written(
-        sizes.groupBy("key", "doc_id")
+        sizes.groupBy("key", "doc_id", "class")
         .agg(F.sum("size").alias("words"))
-        .join(sampled.select("key", "rest"), "key")
-        .select("key", "doc_id", "words", rank(F.col("doc_id"), F.col("rest")).alias("rank")),
+        .join(sampled.select("key", "expected"), "key")
+        .withColumn("rest", _rest(F.col("class")))
+        .where("rest > 0")
+        .select(
+            "key", "doc_id", "class", "words", rank(F.col("doc_id"), F.col("rest")).alias("rank")
+        ),
         "ranks",
     )
     ends = sampled.select(
@@ -116,13 +167,14 @@ def plan(sizes: DataFrame, **options) -> DataFrame:
     for level in range(1, LEVELS + 1):
         ends = _refined(docs, ends, level)
     in_last = docs.join(ends, "key").where(_bucket(LEVELS) == F.col("bucket"))
-    order = Window.partitionBy("key").orderBy("rank", "doc_id")
+    order = Window.partitionBy("key").orderBy("rank", "doc_id", "class")
     up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fit = in_last.withColumn("words_to", F.col("before") + F.sum("words").over(up_to)).where(
         "words_to <= room"
     )
     last = fit.groupBy("key").agg(
-        F.max(F.struct("rank", "doc_id")).alias("last"), F.max("words_to").alias("words_to")
+        F.max(F.struct("rank", "doc_id", "class")).alias("last"),
+        F.max("words_to").alias("words_to")
     )
     ends = written(
         ends.join(last, "key", "left").select(
@@ -130,6 +182,7 @@ def plan(sizes: DataFrame, **options) -> DataFrame:
             F.coalesce("words_to", "before").alias("words_to"),
             F.col("last")["rank"].alias("last_rank"),
             F.col("last")["doc_id"].alias("last_doc"),
+            F.col("last")["class"].alias("last_class"),
         ),
         "ends",
     )
@@ -137,13 +190,24 @@ def plan(sizes: DataFrame, **options) -> DataFrame:
         ~_sampled() & (F.col("words") > 0) & (F.col("words") <= F.col("room") - F.col("words_to"))
     )
     extra = left.groupBy("key").agg(
-        F.max(F.struct("words", (-F.col("rank")).alias("r"), (-F.col("doc_id")).alias("d")))["d"]
-        .alias("extra")
+        F.max(
+            F.struct(
+                "words", (-F.col("rank")).alias("r"), (-F.col("doc_id")).alias("d"),
+                (-F.col("class")).alias("c"),
+            )
+        ).alias("extra")
     )
     return written(
         sources.drop("room")
         .join(ends.drop("room", "words_to"), "key", "left")
-        .join(extra.withColumn("extra", -F.col("extra")), "key", "left"),
+        .join(
+            extra.select(
+                "key",
+                F.struct((-F.col("extra.d")).alias("doc_id"), (-F.col("extra.c")).alias("class"))
+                .alias("extra"),
+            ),
+            "key", "left",
+        ),
         "mix",
     )
 
@@ -187,23 +251,26 @@ def _refined(docs: DataFrame, ends: DataFrame, level: int) -> DataFrame:
 
 
 def _sampled() -> Column:
-    """Whether (rank, doc_id) is in the sample, the extra document aside."""
-    in_order = F.struct(F.col("rank"), F.col("doc_id")) <= F.struct("last_rank", "last_doc")
+    """Whether (rank, doc_id, class) is in the sample, the extra document aside."""
+    last = F.struct("last_rank", "last_doc", "last_class")
+    in_order = F.struct(F.col("rank"), F.col("doc_id"), F.col("class")) <= last
     part = _bucket(LEVELS)
     return F.coalesce(
         (part < F.col("bucket")) | (F.col("last_rank").isNotNull() & in_order), F.lit(False)
     )
 
 
-def copies_taken(planned: DataFrame) -> Column:
-    """Copies of a document, from the columns of ``plan`` and its doc_id."""
-    extra = F.coalesce(F.col("extra") == F.col("doc_id"), F.lit(False))
-    more = F.when(F.col("rest") > 0, (_sampled() | extra).cast("long")).otherwise(0)
-    return F.coalesce(F.col("copies"), F.lit(0)) + more
+def copies_taken() -> Column:
+    """Copies of a document, from the columns of ``_joined``."""
+    is_extra = (F.col("extra.doc_id") == F.col("doc_id")) & (F.col("extra.class") == F.col("class"))
+    sampled = _sampled() | F.coalesce(is_extra, F.lit(False))
+    more = F.when(F.col("rest") > 0, sampled.cast("long")).otherwise(0)
+    return F.coalesce(F.floor(F.get("expected", F.col("class"))), F.lit(0)) + more
 
 
 def _joined(sizes: DataFrame, planned: DataFrame) -> DataFrame:
-    both = sizes.join(planned, "key", "left")
+    """The rows with their source's plan, ``rest`` and rank."""
+    both = sizes.join(planned, "key", "left").withColumn("rest", _rest(F.col("class")))
     return both.withColumn(
         "rank", F.when(F.col("rest") > 0, rank(F.col("doc_id"), F.col("rest")))
     )
@@ -213,7 +280,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source", source_key(F.col("source")).alias("key"),
         word_count(F.col("text")).alias("size"),
-    )
+    ).withColumn("class", size_class(F.col("size")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -225,7 +292,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         "size",
         "source_size",
         "target",
-        (copies_taken(planned) * F.col("size")).cast("long").alias("taken"),
+        (copies_taken() * F.col("size")).cast("long").alias("taken"),
     )
 
 
@@ -233,12 +300,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with their columns."""
     planned = plan(written(sizes_of(docs), "sizes"), **options)
     wrapped = docs.select(
-        "doc_id", source_key(F.col("source")).alias("key"), F.struct(*docs.columns).alias("_doc")
-    )
-    times = F.sequence(F.lit(1).cast("long"), copies_taken(planned))
+        "doc_id", source_key(F.col("source")).alias("key"),
+        size_class(word_count(F.col("text"))).alias("class"), F.struct(*docs.columns).alias("_doc"),
+    )
+    times = F.sequence(F.lit(1).cast("long"), copies_taken())
     return (
         _joined(wrapped, planned)
-        .where(copies_taken(planned) > 0)
+        .where(copies_taken() > 0)
         .select("_doc", F.explode(times).alias("_copy"))
         .select("_doc.*")
     )

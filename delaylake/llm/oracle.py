@@ -70,22 +70,46 @@ targets as (
   select source, source_size,
     least(2.0::double * source_size, coalesce(level * weight, 2.0::double * source_size)) as target
   from units, level),
+classes as (
+  select source, sum(case when size >= 512 then size else 0 end)::bigint as w2,
+    sum(case when size >= 64 and size < 512 then size else 0 end)::bigint as w1,
+    sum(case when size < 64 then size else 0 end)::bigint as w0
+  from sizes group by source),
+tried as (
+  select t.*, w0, w1, w2,
+    target / nullif(w2 * 4.0::double + w1 * 3.0::double + w0 * 2.0::double, 0) as r2,
+    (target - 2.0::double * w2) / nullif(w1 * 3.0::double + w0 * 2.0::double, 0) as r1,
+    (target - 2.0::double * (w2 + w1)) / nullif(w0 * 2.0::double, 0) as r0
+  from targets t join classes c on t.source is not distinct from c.source),
+rates as (
+  select *, case when r2 * 4.0::double <= 2 then r2 when r1 * 3.0::double <= 2 then r1
+    when r0 * 2.0::double <= 2 then r0 end as rate
+  from tried),
 expected as (
-  select *, case when source_size > 0 then target / source_size else 0.0::double end as e
-  from targets),
+  select *, case when source_size > 0 then least(2.0::double, coalesce(rate * 2.0::double, 2)) else 0 end as e0,
+    case when source_size > 0 then least(2.0::double, coalesce(rate * 3.0::double, 2)) else 0 end as e1,
+    case when source_size > 0 then least(2.0::double, coalesce(rate * 4.0::double, 2)) else 0 end as e2
+  from rates),
 plan as (
-  select *, floor(e) as copies, e - floor(e) as rest, target - floor(e) * source_size as room
+  select *, target - (floor(e0) * w0 + floor(e1) * w1 + floor(e2) * w2) as room
   from expected),
+chances as (
+  select s.*, p.source_size, p.target, p.room,
+    case when size >= 512 then 2 when size >= 64 then 1 else 0 end as class,
+    case when size >= 512 then e2 when size >= 64 then e1 else e0 end as e
+  from sizes s join plan p on s.source is not distinct from p.source),
 drawn as (
-  select s.doc_id, s.source, s.size, p.source_size, p.target, p.copies, p.rest, p.room,
-    (('0x' || substr(md5('mix-1:' || s.doc_id::varchar), 1, 13))::bigint + 0.5::double)
+  select *, floor(e) as copies, e - floor(e) as rest,
+    (('0x' || substr(md5('mix-1:' || doc_id::varchar), 1, 13))::bigint + 0.5::double)
       / 4503599627370496.0::double as u
-  from sizes s join plan p on s.source is not distinct from p.source),
+  from chances),
 ranked as (
-  select *, (u / (1 - u)) * ((1 - rest) / rest) / (1 + (u / (1 - u)) * ((1 - rest) / rest)) as rank
+  select *, case when rest > 0 then
+    (u / (1 - u)) * ((1 - rest) / rest) / (1 + (u / (1 - u)) * ((1 - rest) / rest)) end as rank
   from drawn),
 summed as (
-  select *, sum(size) over (partition by source order by rank, doc_id
+  select *, sum(case when rest > 0 then size else 0 end) over (partition by source
+                            order by rank nulls last, doc_id, class
                             rows between unbounded preceding and current row) as words_to
   from ranked),
 fit as (
@@ -97,7 +121,7 @@ extra as (
   select *, row_number() over (
       partition by source,
         (rest > 0 and not sampled and size > 0 and size <= room - fit_words)
-      order by size desc, rank, doc_id) = 1
+      order by size desc, rank, doc_id, class) = 1
     and rest > 0 and not sampled and size > 0 and size <= room - fit_words as added
   from fit)
 select doc_id, size, source_size, target,

@@ -6,6 +6,7 @@ import pytest
 from cases import AWKWARD_TEXTS, documents, with_clashes
 from oracle_check import connect, differences
 
+from delaylake.llm import mixing
 from delaylake.llm.common import read
 from delaylake.llm.mixing import mix, mixed_documents
 from delaylake.llm.oracle import ORACLE_SQL
@@ -106,6 +107,49 @@ def test_sample_follows_the_probability(spark):
     assert abs(sum(taken[:1000]) - sum(taken[1000:])) < 150
 
 
+def by_size(rows):
+    """Mean copies of a document of each size."""
+    copies = defaultdict(list)
+    for r in rows:
+        copies[r.size].append(r.taken / r.size)
+    return {k: sum(v) / len(v) for k, v in copies.items()}
+
+
+def test_probabilities_are_unequal_and_followed(spark):
+    # 3 sizes of one class each; "a" has as many words again in "b", so that nothing is full.
+    sizes = [10] * 4000 + [100] * 800 + [600] * 200
+    texts = ["w " * n for n in sizes] * 3
+    docs = documents(spark, texts, source=["a"] * 5000 + ["b"] * 5000 + ["c"] * 5000)
+    rows = mix(docs).collect()
+    for source in range(3):
+        own = [r for r in rows if r.doc_id // 5000 == source]
+        words, target = sum(r.size for r in own), own[0].target
+        assert abs(sum(r.taken for r in own) - target) <= 10
+        found = by_size(own)
+        if target >= 2 * words:
+            assert set(found.values()) == {2.0}
+            continue
+        # 40000, 80000 and 120000 words that weigh 2, 3 and 4.
+        rate = target / (2 * 40_000 + 3 * 80_000 + 4 * 120_000)
+        if 4 * rate <= 2:
+            for n, weight in ((10, 2), (100, 3), (600, 4)):
+                assert abs(found[n] - rate * weight) < 0.08
+
+
+def test_the_odds_matter(spark, monkeypatch):
+    texts = ["w " * n for n in [10, 100, 600] * 400]
+    docs = documents(spark, texts, source=["a"] * 600 + ["b"] * 300 + ["c"] * 300)
+    right = sorted(mix(docs).collect())
+    monkeypatch.setattr(mixing, "rank", lambda doc_id, probability: mixing.uniform(doc_id))
+    assert sorted(mix(docs).collect()) != right
+
+
+def test_a_very_long_text(spark):
+    docs = documents(spark, ["word " * 1_200_000, "a b", "c " * 70] * 2, source=["s", "t"] * 3)
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    check(mix(docs).collect(), given)
+
+
 def test_documents_are_repeated_whole(spark):
     docs = with_clashes(read(spark, "/root/testdata/sf0.001", "documents"), "key", "_copy")
     out = mixed_documents(docs)
