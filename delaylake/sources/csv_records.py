@@ -55,7 +55,7 @@ def read_csv_records(
 
     Spark's reader can split a file among tasks only if no record spans lines, so by default
     (``line_breaks=None``) each file is looked at first, and those with line breaks in quotes
-    are split by ``split_records``, which reads them twice more and shuffles their lines.
+    are split by ``split_records``, which reads them four times more and shuffles few of their lines.
     Say True or False to save that look. Breaks in quotes become line feeds.
 
     ``with_position`` adds file, split and row number columns that give the order of

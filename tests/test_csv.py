@@ -224,6 +224,20 @@ def test_where_splits_begin(spark, tmp_path):
         assert row.begins_inside == (state == "inside"), row
 
 
+def test_whole_records_stay_in_the_task_that_reads_them(spark, tmp_path):
+    write(tmp_path / "a.csv", *[f'{i},"x\ny, {"z" * 50}",,' for i in range(2000)])
+    with splits_of(spark, 20_000):
+        records = split_records(spark, str(tmp_path))
+        files = len(records.select("src_file", "src_block").distinct().collect())
+        cut = [
+            n for n in records.where("src_row >= 0").select("record").collect() if n[0].endswith(",,")
+        ]
+        plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert files > 4 and len(cut) == 2000
+    # Only the lines at the ends of splits are grouped, and nothing is put in order.
+    assert "MapInArrow" in plan and "Window" not in plan and plan.count("Aggregate") == 1
+
+
 def test_an_empty_source_is_refused_and_one_record_is_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text('A,B\n"x\n",y')
     found = split_records(spark, str(tmp_path)).orderBy("src_row").collect()
