@@ -18,6 +18,9 @@ REGULARIZATION = 0.01
 RETRIES = 1
 RETRY_SECONDS = 300
 
+#: How messages and staged records are stored: they repeat names and values over long stretches.
+MESSAGE_CODEC = "zstd"
+
 #: Files that a micro-batch takes at most, and so what is landed again after a failure.
 FILES_PER_BATCH = 1000
 

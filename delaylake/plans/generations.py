@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import LakeConfig
+from delaylake.config import MESSAGE_CODEC, LakeConfig
 from delaylake.operators import slicing
 from delaylake.sources.csv_records import POSITION, read_csv_records
 
@@ -92,10 +92,10 @@ def begin(
         source = cfg.source_csv if number == 1 else names
         read_csv_records(
             spark, source, line_breaks=cfg.line_breaks, with_position=True
-        ).write.mode("overwrite").parquet(path)
+        ).write.mode("overwrite").parquet(path, compression=MESSAGE_CODEC)
         new.write.mode("overwrite").parquet(folder(cfg.path("manifest/files"), number))
     else:
-        records.write.mode("overwrite").parquet(path)
+        records.write.mode("overwrite").parquet(path, compression=MESSAGE_CODEC)
         digest = _digest(spark.read.parquet(path))
         if before and digest == before.digest:
             return None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from delaylake.config import KafkaTopic
+from delaylake.config import MESSAGE_CODEC, KafkaTopic
 from delaylake.functions.messages import to_messages
 from delaylake.sources.kafka import write_kafka
 from delaylake.streaming.bronze import drain_bronze, read_landing
@@ -44,9 +44,8 @@ def publish_all(sliced: DataFrame, landing: str, columns: Iterable[str]) -> None
     """Write all slices as messages, in one job, each in its own folder of ``landing``."""
     if _published(sliced.sparkSession, landing):
         return
-    to_messages(sliced, columns, "slice").write.mode("overwrite").partitionBy("slice").parquet(
-        landing
-    )
+    messages = to_messages(sliced, columns, "slice")
+    messages.write.mode("overwrite").partitionBy("slice").parquet(landing, compression=MESSAGE_CODEC)
 
 
 def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterable[str]) -> bool:
@@ -59,7 +58,8 @@ def publish_slice(staged: DataFrame, number: int, landing: str, columns: Iterabl
     if any(_published(staged.sparkSession, f) for f in (landing, folder)):
         return False
     rows = staged.filter(F.col("slice") == number)
-    to_messages(rows, columns).write.mode("overwrite").parquet(folder)
+    messages = to_messages(rows, columns)
+    messages.write.mode("overwrite").parquet(folder, compression=MESSAGE_CODEC)
     return True
 
 

@@ -9,6 +9,8 @@ from delaylake.functions.messages import parse_messages
 from delaylake.operators import gold, metrics, silver, slicing, training_data
 from delaylake.plans import checks
 from delaylake.plans.flow import stage_training
+from delaylake.streaming import bronze as bronze_stream
+from delaylake.streaming import replay
 from delaylake.workspace import fresh_dir
 from pyspark.sql import functions as F
 
@@ -102,3 +104,17 @@ def test_no_query_joins_everything_with_everything(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "NestedLoop", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text
+
+
+def test_messages_are_stored_and_told_apart_by_little(spark, tmp_path):
+    sliced = spark.range(20).select((F.col("id") % 2).alias("slice"), F.col("id").cast("string"))
+    replay.publish_all(sliced, f"{tmp_path}/landing", ["id"])
+    source = bronze_stream.read_landing(spark, f"{tmp_path}/landing")
+    bronze_stream.drain_bronze(source, f"{tmp_path}/bronze", f"{tmp_path}/checkpoint")
+    for table in ("landing", "bronze"):
+        files = [p.name for p in (tmp_path / table).rglob("*.parquet")]
+        assert files and all(n.endswith(".zstd.parquet") for n in files)
+    read = bronze_stream.read_bronze(spark, f"{tmp_path}/bronze")
+    counted = checks.landed_rows(read)
+    assert tuple(counted.first()) == (20, 20)
+    assert re.search(r"hashpartitioning\(\w*unhex", plan(counted))
