@@ -10,10 +10,11 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     OneHotEncoderModel,
     StandardScaler,
+    StandardScalerModel,
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def category_counts(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) ->
     return values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """Rows (column, value, idx): values by falling frequency, ties in text order, and NULL,
+def counted_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Rows (column, value, n, idx): values by falling frequency, ties in text order, and NULL,
     where it occurs, after the last. For any number of values: nothing but the totals of
     their range partitions meets in one task.
     """
@@ -46,10 +47,15 @@ def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> D
     # One row per column.
     first = numbered.groupBy("column").agg(F.min("place").alias("first"))
     return numbered.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("place") - F.col("first")).cast("int").alias("idx")
+        "column", "value", "n", (F.col("place") - F.col("first")).cast("int").alias("idx")
     )
 
 
+def category_index(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Rows (column, value, idx) of ``counted_index``."""
+    return counted_index(df, categorical).select("column", "value", "idx")
+
+
 def category_sizes(index: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> dict[str, int]:
     """Number of known values of each column: one row per column comes to the driver."""
     known = index.filter(F.col("value").isNotNull()).groupBy("column").count().collect()
@@ -100,11 +106,49 @@ def scaler() -> StandardScaler:
     )
 
 
+def fitted_scaler(
+    df: DataFrame, index: DataFrame, sizes: dict[str, int], numeric: Sequence[str] = NUMERIC
+) -> StandardScalerModel:
+    """What ``scaler`` learns from the assembled rows, without assembling them.
+
+    The deviation of a place that is 1 for n of N rows follows from the ``counted_index``, those
+    of the numbers from one aggregate. The scaler itself learns them from two rows, 0 and the
+    deviations times the root of 2; both are as long as the model, which the driver has anyway.
+    """
+    total = F.count(F.lit(1)).alias("_rows")
+    numbers = df.agg(total, *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(c) for c in numeric])
+    order = F.create_map(*[F.lit(x) for pair in zip(sizes, range(len(sizes))) for x in pair])
+    n, rows = F.col("n").cast("double"), F.col("_rows").cast("double")
+    share = F.try_divide(n * (rows - n), rows * (rows - 1))
+    hot = (
+        index.filter(F.col("value").isNotNull() & F.col("column").isin(list(sizes)))
+        .join(F.broadcast(numbers.select("_rows")))
+        .select(
+            order[F.col("column")].alias("block"),
+            "idx",
+            F.coalesce(F.sqrt(share), F.lit(0.0)).alias("deviation"),
+        )
+    )
+    given = numbers.select(
+        F.lit(len(sizes)).alias("block"), F.posexplode(F.array(*numeric)).alias("idx", "deviation")
+    )
+    places = F.array_sort(F.collect_list(F.struct("block", "idx", "deviation")))
+    two = hot.unionByName(given).agg(places.alias("places")).select(
+        F.explode(F.array(F.lit(0.0), F.sqrt(F.lit(2.0)))).alias("times"), "places"
+    )
+    vector = array_to_vector(F.transform("places", lambda p: p["deviation"] * F.col("times")))
+    return scaler().fit(two.select(vector.alias("raw_features")))
+
+
 def feature_stages(
-    spark: SparkSession, sizes: dict[str, int], numeric: Sequence[str] = NUMERIC
+    spark: SparkSession,
+    sizes: dict[str, int],
+    numeric: Sequence[str] = NUMERIC,
+    scaled: StandardScaler | StandardScalerModel | None = None,
 ) -> list[Estimator | Transformer]:
-    """Stages for a pipeline over rows that have their category index."""
-    return [one_hot_encoder(spark, sizes), assembler(list(sizes), numeric), scaler()]
+    """Stages for a pipeline over rows that have their category index; the last one learns from
+    these rows, unless it is given."""
+    return [one_hot_encoder(spark, sizes), assembler(list(sizes), numeric), scaled or scaler()]
 
 
 def hot_positions(df: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:

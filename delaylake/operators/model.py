@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from delaylake.config import MAX_ITERATIONS, REGULARIZATION
 from delaylake.operators import training_data
 from delaylake.operators.features import (
-    category_index,
     category_sizes,
+    counted_index,
     feature_stages,
+    fitted_scaler,
     with_category_index,
 )
-from delaylake.workspace import written
+from delaylake.workspace import fresh_dir, written
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,13 @@ class CancellationModel:
 def fit(train: DataFrame, params: ModelParams = ModelParams()) -> CancellationModel:
     """Weighted logistic regression over one-hot categories and scaled numbers.
 
-    Scans: one for the classes, one for the category values, one for the deviations, and
-    one to fill the blocks that the solver caches for its iterations.
+    Scans: one for the classes, one for the category values, one for the numbers' deviations, and
+    of the assembled rows those of the solver: one for its own deviations, and one to fill the
+    blocks that it caches for its iterations.
     """
     needed = train.select("label", *params.categorical, *params.numeric)
     weighted = training_data.with_class_weight(needed)
-    categories = written(category_index(needed, params.categorical), "categories")
+    categories = written(counted_index(needed, params.categorical), "categories")
     sizes = category_sizes(categories, params.categorical)
     regression = LogisticRegression(
         featuresCol="features",
@@ -70,11 +72,20 @@ def fit(train: DataFrame, params: ModelParams = ModelParams()) -> CancellationMo
         maxIter=params.max_iterations,
         regParam=params.regularization,
     )
-    stages = feature_stages(train.sparkSession, sizes, params.numeric)
+    scaled = fitted_scaler(needed, categories, sizes, params.numeric)
+    stages = feature_stages(train.sparkSession, sizes, params.numeric, scaled)
     indexed = with_category_index(weighted, categories, sizes)
-    return CancellationModel(
-        categories, sizes, Pipeline(stages=[*stages, regression]).fit(indexed)
-    )
+    fitted = Pipeline(stages=[*stages, regression]).fit(indexed)
+    return CancellationModel(categories, sizes, _without_summary(train.sparkSession, fitted))
+
+
+def _without_summary(spark: SparkSession, fitted: PipelineModel) -> PipelineModel:
+    """The fitted regression holds its training rows' plan, which would go along with every task
+    that scores; the stored one does not."""
+    *stages, regression = fitted.stages
+    path = fresh_dir(spark, "regression")
+    regression.write().save(path)
+    return PipelineModel([*stages, LogisticRegressionModel.load(path)])
 
 
 def save(model: CancellationModel, path: str) -> None:

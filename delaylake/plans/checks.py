@@ -409,11 +409,13 @@ def one_hot(spark, sf_dir):
 
 def _numeric_features(spark, sf_dir, vector):
     rows = model.prepare(stored_silver(spark, sf_dir))
-    index = written(features.category_index(rows), "categories")
+    index = written(features.counted_index(rows), "categories")
     sizes = features.category_sizes(index)
-    stages = features.feature_stages(spark, sizes)
     if vector == "raw_features":
-        stages = stages[:-1]
+        stages = features.feature_stages(spark, sizes)[:-1]
+    else:
+        scaled = features.fitted_scaler(rows, index, sizes)
+        stages = features.feature_stages(spark, sizes, scaled=scaled)
     indexed = features.with_category_index(rows, index, sizes)
     assembled = Pipeline(stages=stages).fit(indexed).transform(indexed)
     return features.numeric_block(assembled, vector, sizes)

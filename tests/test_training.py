@@ -4,6 +4,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator,
     MulticlassClassificationEvaluator,
@@ -311,3 +312,35 @@ def test_label_that_is_never_predicted(spark):
     for name, metric in (("f1", "f1"), ("weighted_precision", "weightedPrecision")):
         evaluator = MulticlassClassificationEvaluator(metricName=metric)
         assert found[name] == pytest.approx(evaluator.evaluate(df), abs=1e-12)
+
+
+def test_scaler_from_counts_is_that_of_the_assembled_rows(spark, silver):
+    """Also of a constant number, a value that all rows have, and NULL as a value."""
+    rows = model.prepare(silver).withColumns({"month": F.lit(3), "dest": F.lit("X")})
+    index = features.counted_index(rows).cache()
+    sizes = features.category_sizes(index)
+    stages = features.feature_stages(spark, sizes)
+    indexed = features.with_category_index(rows, index, sizes)
+    for some in (indexed, indexed.limit(1).cache()):
+        known = features.counted_index(some)
+        there = features.category_sizes(known)
+        if there != sizes:
+            stages = features.feature_stages(spark, there)
+            some = features.with_category_index(some.select(rows.columns), known, there)
+        assembled = Pipeline(stages=stages[:-1]).fit(some).transform(some)
+        found = features.fitted_scaler(some, known, there)
+        assert list(found.std) == pytest.approx(list(stages[-1].fit(assembled).std), rel=1e-12)
+        assert found.std[sizes["origin"] if some is indexed else 1] == 0.0
+
+
+def test_fit_scans_the_assembled_rows_for_the_solver_only(spark, silver, monkeypatch):
+    seen, fit = [], features.StandardScaler.fit
+
+    def watched(self, rows, *args):
+        seen.append(rows.count())
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(features.StandardScaler, "fit", watched)
+    fitted = model.fit(model.prepare(silver))
+    assert seen == [2]
+    assert not fitted.pipeline.stages[-1].hasSummary
