@@ -21,30 +21,35 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    while not _settled(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _starred(both, F.col("b") > F.col("a"))
-        edges = _starred(large.select(F.col("b").alias("a"), F.col("a").alias("b")), F.lit(True))
+        smallest = _smallest(both)
+        if smallest.where("is_open").isEmpty():
+            break
+        large = written(_starred(both, smallest, F.col("b") > F.col("a")), "edges")
+        turned = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        edges = written(_starred(turned, _smallest(turned), F.lit(True)).distinct(), "edges")
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
 
-def _starred(near: DataFrame, moved: F.Column) -> DataFrame:
-    """Each neighbour b of a that is ``moved``, and a itself, connected with the smallest node
-    among a and its neighbours."""
-    smallest = written(
-        near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), "smallest"
+def _smallest(near: DataFrame) -> DataFrame:
+    """a, root: the smallest node among a and its neighbours; and, of edges that are all different,
+    is_open: a is neither the smaller end of all its edges nor the larger end of a single one. Where
+    no node is, another step would change nothing."""
+    below = F.count_if(F.col("b") < F.col("a"))
+    return written(
+        near.groupBy("a").agg(
+            F.least(F.col("a"), F.min("b")).alias("root"),
+            ((below > 1) | ((below > 0) & (F.max("b") > F.col("a")))).alias("is_open"),
+        ),
+        "smallest",
     )
-    moves = near.join(smallest, "a").where(moved).select(F.col("root").alias("a"), "b")
-    own = smallest.select(F.col("root").alias("a"), F.col("a").alias("b"))
-    return written(moves.unionByName(own).where("a < b").distinct(), "edges")
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Every node is either the smaller end of its edges or the larger end of a single one: then
-    another step would change nothing."""
-    ends = edges.select("a", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(
-        edges.select(F.col("b").alias("a"), F.lit(0).alias("low"), F.lit(1).alias("high"))
-    )
-    per_node = ends.groupBy("a").agg(F.max("low").alias("low"), F.sum("high").alias("high"))
-    return per_node.where((F.col("high") > 1) | ((F.col("low") > 0) & (F.col("high") > 0))).isEmpty()
+def _starred(near: DataFrame, smallest: DataFrame, moved: F.Column) -> DataFrame:
+    """Each neighbour b of a that is ``moved``, and a itself, connected with the smallest node
+    among a and its neighbours. An edge may come several times."""
+    moves = near.join(smallest, "a").where(moved).select(F.col("root").alias("a"), "b")
+    own = smallest.select(F.col("root").alias("a"), F.col("a").alias("b"))
+    return moves.unionByName(own).where("a < b")

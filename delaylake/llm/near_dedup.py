@@ -156,22 +156,23 @@ def sign(docs: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 bands = mix((found.reshape(-1, BANDS, ROWS) * keys).sum(axis=2, dtype=np.uint64))
             size = len(counts)
-            offsets = np.arange(size + 1, dtype=np.int32) * BANDS
+            offsets = np.arange(size + 1, dtype=np.int32)
+            digits = (found & U64(0xFFFF)).astype(np.uint16).view(np.int16)
             yield {
                 "_row": batch.column("_row").slice(first, size),
                 "doc_id": batch.column("doc_id").slice(first, size),
                 "one": one.view(np.int64),
                 "two": two.view(np.int64),
                 "size": sizes,
-                "bands": pa.ListArray.from_arrays(offsets, bands.ravel().view(np.int64)),
-                "registers": [r.tobytes() for r in (found & U64(0xFFFF)).astype("<u2")],
+                "bands": pa.ListArray.from_arrays(offsets * BANDS, bands.ravel().view(np.int64)),
+                "registers": pa.ListArray.from_arrays(offsets * REGISTERS, digits.ravel()),
             }
 
     return map_batches(
         docs.select("_row", "doc_id", F.coalesce("text", F.lit("")).alias("text")),
         work,
         "_row long, doc_id long, one long, two long, size long, bands array<long>, "
-        "registers binary",
+        "registers array<short>",
     )
 
 
@@ -303,7 +304,7 @@ MEMBER = ("node", "root", "size", "registers")
 
 def _across(labelled: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs of a band in different classes so far, whose registers agree often enough."""
-    registers = signed.select(F.col("_row").alias("node"), _registers().alias("registers"))
+    registers = signed.select(F.col("_row").alias("node"), "registers")
     members = written(labelled.join(registers, "node"), "members")
     a, b = (
         members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in MEMBER]) for s in "ab"
@@ -374,8 +375,8 @@ def _in_tiles(many: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
         query, outside = (
             table.column(n).to_numpy(zero_copy_only=False) for n in ("query", "outside")
         )
-        registers = np.frombuffer(
-            b"".join(table.column("registers").to_pylist()), dtype="<u2"
+        registers = np.concatenate(
+            [c.flatten().to_numpy() for c in table.column("registers").chunks]
         ).reshape(-1, REGISTERS)
         hashes = np.array(table.column("bands").to_pylist(), dtype=np.int64)
         bags_ = _overlaps(pa.concat_arrays(table.column("text").chunks))
@@ -417,13 +418,6 @@ def _this_band(hashes: np.ndarray, query: np.ndarray) -> int:
     return int(same.argmax())
 
 
-def _registers() -> Column:
-    digits = F.hex("registers")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring(digits, 4 * i + 1, F.lit(4))
-    )
-
-
 def _with_class(signed: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     classed = written(
         signed.select("_row", "doc_id", "one", "two")

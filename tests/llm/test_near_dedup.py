@@ -239,3 +239,30 @@ def test_components_of_random_graphs(spark, seed):
 
 def test_components_without_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_registers_are_two_bytes_each_wherever_they_are_moved(spark):
+    """As text they took sixteen, in the shuffle by nodes and in the one by bands."""
+    rows = near_dedup.numbered(spark.createDataFrame([(1, "a b c d e f"), (2, "")], "doc_id long, text string"))
+    signed = near_dedup.sign(rows)
+    assert dict(signed.dtypes)["registers"] == "array<smallint>"
+    registers = {r.doc_id: r.registers for r in signed.collect()}
+    assert len(registers[1]) == len(registers[2]) == REGISTERS
+    assert any(registers[1]) and not any(registers[2])
+
+
+def test_end_of_components_is_told_by_the_smallest_neighbours(spark, monkeypatch):
+    from delaylake.llm import components as module
+
+    labels, write = [], module.written
+
+    def watched(df, label):
+        labels.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(module, "written", watched)
+    # Steps, and the table that says that nothing is left to do: no other pass looks for that.
+    found = components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    steps = labels.count("smallest") // 2
+    assert labels == ["edges", *["smallest", "edges"] * 2 * steps, "smallest"]
