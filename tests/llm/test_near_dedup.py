@@ -266,3 +266,33 @@ def test_end_of_components_is_told_by_the_smallest_neighbours(spark, monkeypatch
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1)]
     steps = labels.count("smallest") // 2
     assert labels == ["edges", *["smallest", "edges"] * 2 * steps, "smallest"]
+
+
+def test_tables_of_components_have_files_by_their_edges(spark, monkeypatch):
+    """Not one for each shuffle partition that has rows, which made each step as many tasks."""
+    from delaylake.llm import components as module
+
+    tables, write = [], module.written
+
+    def watched(df, label):
+        tables.append(write(df, label))
+        return tables[-1]
+
+    edges = [(i, i + 1) for i in range(200)]
+    monkeypatch.setattr(module, "written", watched)
+    settings = {
+        "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for rows, most in ((100_000, 1), (50, 5)):
+            monkeypatch.setattr(module, "FILE_ROWS", rows)
+            tables.clear()
+            found = components(spark.createDataFrame(edges, "a long, b long"))
+            assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(201)]
+            assert max(len(t.inputFiles()) for t in tables[1:]) == most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
