@@ -20,6 +20,9 @@ RETRY_SECONDS = 300
 
 #: How messages and staged records are stored: they repeat names and values over long stretches.
 MESSAGE_CODEC = "zstd"
+#: Rows of a file of messages, of silver or of the training table at most. A few large files pack badly
+#: into the tasks of the next step: one more file than cores takes twice as long.
+FILE_ROWS = 250_000
 
 #: Files that a micro-batch takes at most, and so what is landed again after a failure.
 FILES_PER_BATCH = 1000

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from delaylake.config import FILE_ROWS
 from delaylake.functions import rules
 
 # Fixed values
@@ -86,7 +87,8 @@ def write_silver(silver: DataFrame, path: str, partition_by: Sequence[str] = ())
     small file nor, when it is a large share of the data, left to one task.
     """
     rows = silver.hint("rebalance", *partition_by) if partition_by else silver
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    files = rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+    files.partitionBy(*partition_by).parquet(path)
     return read_silver(silver.sparkSession, path)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.config import SPLIT_SEED, TRAIN_SHARE, LakeConfig
+from delaylake.config import FILE_ROWS, SPLIT_SEED, TRAIN_SHARE, LakeConfig
 from delaylake.functions.messages import parse_messages
 from delaylake.operators import gold, metrics, model, quality, silver, slicing, training_data
 from delaylake.plans import generations
@@ -139,7 +139,8 @@ def stage_training(
     narrow = model.prepare(marked, params).select(
         "label", *params.categorical, *params.numeric, "known"
     )
-    narrow.write.mode("overwrite").partitionBy("known").parquet(path)
+    files = narrow.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+    files.partitionBy("known").parquet(path)
     sides = rows.sparkSession.read.schema(narrow.schema).parquet(path)
     return sides.filter("known").drop("known"), sides.filter("not known").drop("known")
 

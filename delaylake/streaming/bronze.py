@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from delaylake.config import MESSAGE_CODEC, PAUSE_SECONDS
+from delaylake.config import FILE_ROWS, MESSAGE_CODEC, PAUSE_SECONDS
 
 
 def read_landing(
@@ -71,6 +71,7 @@ def start_bronze(
         .outputMode("append")
         .option("path", path)
         .option("compression", MESSAGE_CODEC)
+        .option("maxRecordsPerFile", FILE_ROWS)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

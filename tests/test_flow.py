@@ -10,6 +10,7 @@ from delaylake.operators import model, silver
 from delaylake.plans import flow
 from delaylake.plans.checks import records_of
 from delaylake.plans.flow import run_flow
+from delaylake.streaming import bronze
 from delaylake.streaming.bronze import read_bronze
 from delaylake.workspace import fresh_dir, shared_dir
 
@@ -153,3 +154,22 @@ def test_shared_folder_is_the_one_the_session_names(spark):
         assert shared_dir(spark) == configured.rstrip("/")
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
     assert fresh_dir(spark, "x").startswith(shared_dir(spark))
+
+
+def test_tables_between_the_steps_have_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    """One file for each task of the step before filled the next one's tasks unevenly."""
+    for module in (bronze, silver, flow):
+        monkeypatch.setattr(module, "FILE_ROWS", 10)
+    source = str(tmp_path / "source")
+    days = spark.range(100).coalesce(1)
+    days.selectExpr(
+        "'2024-01-02' FL_DATE", "concat('C', id) AIRLINE", "'O' ORIGIN", "'D' DEST", "id DISTANCE",
+        "1 DEP_DELAY", "2 ARR_DELAY", "id % 2 CANCELLED", "'' CANCELLATION_REASON",
+    ).write.option("header", True).csv(source)
+    cfg = LakeConfig(root=str(tmp_path / "lake"), source_csv=source, slices=1, max_iterations=1)
+    flow.run_flow(spark, cfg)
+    for path in (cfg.bronze, cfg.silver, cfg.training):
+        table = spark.read.parquet(path)
+        by_file = table.groupBy(F.input_file_name()).count().collect()
+        assert max(r["count"] for r in by_file) <= 10
+        assert table.count() == 100
